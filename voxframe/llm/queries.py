@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from voxframe.llm.pii import sanitise
 from voxframe.llm.quality_rules import quality_rules
+from voxframe.llm.secrets import SecretParams, find_secrets, identifier_samples, random_samples, train, word_samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +28,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.array_join("base_spans", ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"), "n_term"
+    )
+
+
+def secret_model(spark: SparkSession, sf_dir: str, p: SecretParams = SecretParams()) -> list[float]:
+    """Trained from generated labelled strings and the words of a bounded sample of labelled documents."""
+    words = word_samples(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), p)
+    return train(random_samples(spark, p.random_samples).unionByName(identifier_samples(spark, p.identifier_samples)).unionByName(words), p)
+
+
+@query
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), secret_model(spark, sf_dir))
+    return out.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.array_join("base_spans", ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"), "n_markov"
+    )

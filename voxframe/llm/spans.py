@@ -43,3 +43,31 @@ def rendered(kind: str, spans: Column) -> Column:
     return F.transform(
         spans, lambda s: F.concat(F.lit(kind + ":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))
     )
+
+
+TAGGED = "array<struct<start:int,end:int,kind:string>>"
+
+
+def tagged(kind: str, spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+
+
+def replaced(text: Column, spans: Column) -> Column:
+    """text with each (start, end, kind) span replaced by [KIND]; of overlapping spans the first stays."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc, s):
+        put = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        fits = s["start"] >= acc["at"]
+        return F.struct(
+            F.when(fits, s["end"]).otherwise(acc["at"]).alias("at"), F.when(fits, put).otherwise(acc["out"]).alias("out")
+        )
+
+    return F.when(F.size(spans) == 0, text).otherwise(
+        F.aggregate(F.array_sort(spans), zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
+    )
+
+
+def outside(spans: Column, others: Column) -> Column:
+    """spans that overlap none of others."""
+    return F.filter(spans, lambda s: ~F.exists(others, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxframe.llm.html_extract import extract
 from voxframe.llm.pii import sanitise
 from voxframe.llm.quality_rules import quality_rules
+from voxframe.llm.repeats import remove_repeats
 from voxframe.llm.secrets import SecretParams, find_secrets, identifier_samples, random_samples, train, word_samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +52,15 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.array_join("base_spans", ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"), "n_markov"
     )
+
+
+@query
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

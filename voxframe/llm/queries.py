@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxframe.llm.html_extract import extract
+from voxframe.llm.packing import pack
 from voxframe.llm.pii import sanitise
 from voxframe.llm.quality_rules import quality_rules
 from voxframe.llm.repeats import remove_repeats
 from voxframe.llm.secrets import SecretParams, find_secrets, identifier_samples, random_samples, train, word_samples
+from voxframe.llm.token_store import read_store, write_store
+from voxframe.storage import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +67,20 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
+@query
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_store(table(spark, sf_dir, "documents"), new_path(spark, "token-store"), tokenizer_path())
+    return read_store(spark, manifest)

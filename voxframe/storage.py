@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Shuffle files of a finished query are of no use once its result is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN: dict[str, str] = {}
 
 
@@ -26,14 +28,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/voxframe/{name}-{uuid.uuid4().hex}"
 
 
+def prepare(spark: SparkSession) -> None:
+    """Session settings that the operators count on: early clean-up, and Arrow batches of few rows, as texts are long."""
+    spark.conf.set(CLEANUP, "true")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends at files any executor can reread."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    prepare(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``written`` returned and that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        drop_path(table.sparkSession, folder)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

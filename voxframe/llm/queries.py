@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxframe.llm.html_extract import extract
+from voxframe.llm.near_dedup import near_duplicates
 from voxframe.llm.packing import pack
 from voxframe.llm.pii import sanitise
 from voxframe.llm.quality_rules import quality_rules
@@ -84,3 +85,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_store(table(spark, sf_dir, "documents"), new_path(spark, "token-store"), tokenizer_path())
     return read_store(spark, manifest)
+
+
+@query
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_class")

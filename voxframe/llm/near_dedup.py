@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxframe.llm.arrays import array_sum
 from voxframe.operators.components import connected_components
 from voxframe.storage import prepare, written
 
@@ -94,30 +95,20 @@ def weights(h: np.ndarray, tf: np.ndarray, sketch: np.ndarray, docs: int, p: Nea
 
 def frequency_sketch(docs: DataFrame, p: NearParams = NearParams(), text: str = "text") -> tuple[np.ndarray, int]:
     """Count-min sketch of document frequencies over all documents, and their number."""
-    width, block = p.sketch_width, 4096
+    width = p.sketch_width
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         sums, n = np.zeros((2, width), np.int64), 0
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 h, _ = shingles(t, p.words)
                 for row, cell in enumerate(_cells(h, width)):
-                    sums[row] += np.bincount(cell, minlength=width)
+                    np.add.at(sums[row], cell, 1)
                 n += 1
-        flat = np.concatenate((sums.ravel(), [n])).astype(np.int64)
-        parts = [flat[a : a + block] for a in range(0, len(flat), block)]
-        salt = int(xxhash.xxh3_64_intdigest(flat.tobytes()) % 256)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([salt] * len(parts), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["block", "salt", "data"])
-
-    def add(table: pa.Table) -> pa.Table:
-        sums = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("data"))
-        return pa.table({"block": table.column("block").slice(0, 1), "salt": table.column("salt").slice(0, 1), "data": pa.array([sums.tobytes()], pa.binary())})
-
-    schema = "block int, salt int, data binary"
-    parts = docs.select(text).mapInArrow(count, schema).groupBy("block", "salt").applyInArrow(add, schema)
-    rows = parts.groupBy("block").applyInArrow(add, schema).collect()  # 2 * width counters, whatever the corpus
-    flat = np.concatenate([np.frombuffer(r["data"], np.int64) for r in sorted(rows, key=lambda r: r["block"])]) if rows else np.zeros(2 * width + 1, np.int64)
-    return flat[: 2 * width].reshape(2, width).astype(np.float64), int(flat[-1])
+        return np.concatenate((sums.ravel(), [n]))
+
+    flat = array_sum(docs.select(text), count, 2 * width + 1)
+    return flat[: 2 * width].reshape(2, width), int(flat[-1])
 
 
 def _draw(h: np.ndarray, logw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

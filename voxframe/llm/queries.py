@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxframe.llm.decontaminate import find_leaks
 from voxframe.llm.html_extract import extract
 from voxframe.llm.near_dedup import near_duplicates
 from voxframe.llm.packing import pack
@@ -90,3 +91,9 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_class")
+
+
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select("doc_id", "item_id", F.round("lcs_share", 6).alias("lcs_share"), "answer_found")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxframe.llm.decontaminate import find_leaks
 from voxframe.llm.html_extract import extract
+from voxframe.llm.license_scan import scan_licenses
 from voxframe.llm.near_dedup import near_duplicates
 from voxframe.llm.packing import pack
 from voxframe.llm.pii import sanitise
@@ -97,3 +98,9 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
     return found.select("doc_id", "item_id", F.round("lcs_share", 6).alias("lcs_share"), "answer_found")
+
+
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"))
+    return scan_licenses(docs).select("doc_id", "license", F.round("cosine", 6).alias("cosine"), "origin", "licensed_by")

@@ -1,21 +1,25 @@
 """Whole-text token ids with a word cache in front of the tokenizers library.
 
 The tokenizer's pieces never span a space, tab or line feed, so a text's ids are those of its space-separated words
-in order. Words are encoded once each while they stay in a bounded cache that lives as long as the Python worker.
+in order; of Latin-1 texts, those of its pieces, if the tokenizer cuts as ``PIECES`` does. Words are encoded once each while they stay in a bounded cache that lives as long as the Python worker.
 New words are encoded together, joined by a separator whose ids mark the borders. ``check_separable`` refuses
 tokenizers for which this does not hold.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 import numpy as np
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 CHARS_AT_ONCE = 2_000_000
 #: A private-use character: a word of its own, and rare in texts (words with it are encoded alone).
 MARK = "\ue000"
+_SPACE, _LETTER, _NUMBER = r"\t-\r \x85\xa0", "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
+#: Pieces of lower-case Latin-1 text: contractions, letters, single digits, and other characters.
+PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -35,6 +39,7 @@ class WordEncoder:
         self.limit, self.cache = cache_words, {"": b""}
         self.mark = np.array(self._plain(MARK), self.dtype)
         self.check_separable()
+        self.latin = self._lowers_pieces()
 
     def _plain(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
@@ -44,21 +49,15 @@ class WordEncoder:
         if self._plain(" ".join(probe)) != [i for w in probe for i in self._plain(w)] or not len(self.mark):
             raise ValueError("this tokenizer's pieces span spaces; encode whole texts instead")
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        cache, together = self.cache, []
-        for w in words:
-            if w[-1] in ".," and len(w) > 1 and w[-2].isalpha() and w[:-1] in cache:
-                tail = cache.get(w[-1])
-                if tail is None:
-                    tail = cache[w[-1]] = self._bytes(self._plain(w[-1]))
-                cache[w] = cache[w[:-1]] + tail
-            elif MARK in w or len(w) > 1000:
-                cache[w] = self._bytes(self._plain(w))
-            else:
-                together.append(w)
+    def _lowers_pieces(self) -> bool:
+        """Whether the tokenizer lowers its text and cuts it as PIECES does; else words between spaces are the parts."""
+        probe = "Ab'ré, x1.²½ 's «ß»...é\xa0µº-Ÿ?!'ll 'LL \x1c a\x85b".replace("Ÿ", "ÿ")
+        return self._plain(probe) == [i for w in PIECES.findall(probe.lower()) for i in self._plain(w)]
+
+    def _learn(self, words: Iterable[str]) -> None:
+        """Put each word's own ids into the cache."""
+        alone = [w for w in words if MARK in w or len(w) > 1000]
+        together = sorted(set(words).difference(alone))
         for a in range(0, len(together), 5000):
             some = together[a : a + 5000]
             ids = np.array(self._plain(f" {MARK} ".join(some)), self.dtype)
@@ -68,18 +67,29 @@ class WordEncoder:
             for j in range(1, k):
                 hit = hit[ids[hit + j] == self.mark[j]]
             if len(hit) != len(some) - 1:
-                for w in some:
-                    cache[w] = self._bytes(self._plain(w))
+                alone += some
                 continue
-            starts, ends = [0, *(hit + k)], [*hit, len(ids)]
-            for w, s, e in zip(some, starts, ends, strict=True):
-                cache[w] = ids[s:e].tobytes()
+            raw, size = ids.tobytes(), self.dtype.itemsize
+            starts, ends = [0, *((hit + k) * size).tolist()], [*(hit * size).tolist(), len(raw)]
+            self.cache.update((w, raw[s:e]) for w, s, e in zip(some, starts, ends, strict=True))
+        for w in alone:
+            self.cache[w] = np.array(self._plain(w), self.dtype).tobytes()
+
+    def _words(self, text: str) -> list[str]:
+        """Parts of a text whose ids, one after the other, are the text's."""
+        if self.latin and "<|" not in text:
+            try:
+                text.encode("latin-1")  # no character that normalisation would compose or lower by its neighbours
+                return PIECES.findall(text.lower())
+            except UnicodeEncodeError:
+                pass
+        return text.replace("\n", " ").replace("\t", " ").split(" ")
 
     def encode(self, texts: Iterable[str | None]) -> Iterable[np.ndarray]:
         """Ids of each text (null: none), in order."""
         group, size = [], 0
         for t in texts:
-            group.append((t or "").replace("\n", " ").replace("\t", " ").split(" "))
+            group.append(self._words(t or ""))
             size += len(t or "")
             if size > CHARS_AT_ONCE:
                 yield from self._group(group)
@@ -87,12 +97,12 @@ class WordEncoder:
         yield from self._group(group)
 
     def _group(self, group: list[list[str]]) -> Iterable[np.ndarray]:
-        new = set().union(*group) - self.cache.keys()
+        new = set().union(*group).difference(self.cache)
         if new:
             if len(self.cache) + len(new) > self.limit:
                 self.cache = {"": b""}
                 new = set().union(*group) - {""}
-            self._learn(sorted(new, key=len))
+            self._learn(new)
         get = self.cache.__getitem__
         for words in group:
             yield np.frombuffer(b"".join(map(get, words)), self.dtype)

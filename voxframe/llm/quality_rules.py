@@ -16,10 +16,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxframe.llm.columns import computed_once
+from voxframe.storage import written
+
 GAP = r"[\x20\x09-\x0D]+"
 HAS_WORD = r"[^\x20\x09-\x0D]"
-#: Character classes of the histogram; what is in a word and in none of them is the last class.
-CLASSES = {"upper": r"\p{Lu}", "lower": r"\p{Ll}", "digit": r"\p{N}", "symbol": r"#*$%&|<>", "mark": r".,;:!?'\"()\-"}
+#: Character classes of the histogram; all other characters (small letters and spaces, mostly) are the last class.
+CLASSES = {"upper": r"\p{Lu}", "digit": r"0-9", "symbol": r"#*$%&|<>", "mark": r".,;:!?'\"()\-"}
 POOLED = "*"
 
 
@@ -28,13 +31,13 @@ class QualityParams:
     min_base_words: int = 20
     max_repeat_percent: int = 30
     window: int = 8
-    #: Common words: the most frequent ones of at most this many letters.
-    common_words: int = 40
-    common_word_letters: int = 5
+    #: Common words: the most frequent ones of at most this many characters.
+    common_words: int = 32
+    common_word_chars: int = 5
     #: Guard: shorter documents have histograms too coarse to compare.
     min_words: int = 80
     max_char_divergence: float = 0.08
-    max_word_divergence: float = 0.45
+    max_word_divergence: float = 0.60
     max_languages: int = 512
 
 
@@ -42,6 +45,19 @@ def _count(text: Column, chars: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{chars}]+", "")).cast("long")
 
 
+def _windowed(df: DataFrame, w: int) -> DataFrame:
+    """Hashes of w neighbours from ``_qr_h``, the hashes of one: each step joins two shorter windows, so a word is
+    visited log2(w) times."""
+    have = 1
+    while have < w:
+        step = min(have, w - have)
+        h = F.col("_qr_h")
+        df = df.withColumn("_qr_h", F.zip_with(h, F.slice(h, F.lit(step + 1), F.greatest(F.size(h), F.lit(0))), lambda a, b: F.xxhash64(a, b)))
+        have += step
+    h = F.col("_qr_h")
+    return df.withColumn("_qr_h", F.slice(h, F.lit(1), F.greatest(F.size(h) - (w - 1), F.lit(0))))
+
+
 def features(docs: DataFrame, p: QualityParams = QualityParams(), text: str = "text") -> DataFrame:
     """docs plus the exact base columns, ``_qr_chars`` (class counts) and ``_qr_words``."""
     w = p.window
@@ -53,11 +69,13 @@ def features(docs: DataFrame, p: QualityParams = QualityParams(), text: str = "t
     df = df.select(
         *[c for c in df.columns],
         n.cast("long").alias("n_words"),
-        F.length(F.regexp_replace(t, GAP, "")).cast("long").alias("word_chars"),
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+        F.length(t).cast("long").alias("_qr_all"),
         *[_count(t, c).alias(f"_qr_{k}") for k, c in CLASSES.items()],
         lines.alias("_qr_lines"),
-        F.when(n >= w, F.transform(F.sequence(F.lit(1), n - (w - 1)), lambda i: F.xxhash64(F.slice(words, i, w)))).alias("_qr_h"),
+        F.transform(words, lambda x: F.xxhash64(x)).alias("_qr_h"),
     )
+    df = _windowed(df, w)
     h = F.col("_qr_h")
     df = df.withColumn(
         "_qr_sorted",
@@ -84,7 +102,7 @@ def features(docs: DataFrame, p: QualityParams = QualityParams(), text: str = "t
         F.col("_qr_symbol").alias("n_symbols"),
         (F.size("_qr_lines") - F.size(F.array_distinct("_qr_lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(st) > 0, covered).otherwise(0).cast("long").alias("n_repeat_words"),
-        F.array(*[F.col(f"_qr_{k}").cast("double") for k in CLASSES], F.greatest(F.col("word_chars") - known, F.lit(0)).cast("double")).alias("_qr_chars"),
+        F.array(*[F.col(f"_qr_{k}").cast("double") for k in CLASSES], (F.col("_qr_all") - known).cast("double")).alias("_qr_chars"),
     )
     return df.withColumn(
         "base_failed",
@@ -93,7 +111,7 @@ def features(docs: DataFrame, p: QualityParams = QualityParams(), text: str = "t
 
 
 def _short_words(text: Column, p: QualityParams) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda x: (F.length(x) > 0) & (F.length(x) <= p.common_word_letters))
+    return F.filter(F.split(text, GAP), lambda x: F.length(x).between(1, p.common_word_chars))
 
 
 def fit_references(docs: DataFrame, p: QualityParams = QualityParams(), text: str = "text", lang: str = "lang") -> DataFrame:
@@ -105,19 +123,21 @@ def fit_references(docs: DataFrame, p: QualityParams = QualityParams(), text: st
     own = (
         d.where(F.col("lang").isNotNull())
         .groupBy("lang")
-        .agg(F.count("*").alias("docs"), *[F.sum(_count(F.col("t"), c)).alias(k) for k, c in CLASSES.items()], F.sum(F.length(F.regexp_replace("t", GAP, ""))).alias("chars"))
+        .agg(F.count("*").alias("docs"), *[F.sum(_count(F.col("t"), c)).alias(k) for k, c in CLASSES.items()], F.sum(F.length("t")).alias("chars"))
     )
+    own = written(own, "class-counts")
     pooled = own.agg(F.lit(POOLED).alias("lang"), *[F.sum(c).alias(c) for c in ("docs", *CLASSES, "chars")])
     kept = own.orderBy(F.desc("docs"), "lang").limit(p.max_languages)
     chars = kept.unionByName(pooled.where(F.col("docs").isNotNull()))
     known = sum((F.col(k) for k in CLASSES), F.lit(0))
-    chars = chars.select("lang", F.array(*[F.col(k).cast("double") for k in CLASSES], F.greatest(F.col("chars") - known, F.lit(0)).cast("double")).alias("char_hist"))
+    chars = chars.select("lang", F.array(*[F.col(k).cast("double") for k in CLASSES], (F.col("chars") - known).cast("double")).alias("char_hist"))
     counts = (
         d.where(F.col("lang").isNotNull())
         .select("lang", F.explode(_short_words(F.col("t"), p)).alias("w"))
         .groupBy("lang", "w")
         .agg(F.count("*").alias("n"))
     )
+    counts = written(counts, "word-counts")
     everywhere = counts.groupBy("w").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "w", "n")
     counts = counts.unionByName(everywhere)
     top = (
@@ -126,30 +146,35 @@ def fit_references(docs: DataFrame, p: QualityParams = QualityParams(), text: st
         .groupBy("lang")
         .agg(F.sort_array(F.collect_list(F.struct("rk", "w", "n"))).alias("top"))
     )
-    return chars.join(top, "lang", "left").select(
+    out = chars.join(top, "lang", "left").select(
         "lang",
         "char_hist",
         F.coalesce(F.transform("top", lambda x: x["w"]), F.array().cast("array<string>")).alias("words"),
         F.coalesce(F.transform("top", lambda x: x["n"].cast("double")), F.array().cast("array<double>")).alias("word_hist"),
     )
+    return out.select("lang", "words", *[F.transform(c, _part_of(_total(F.col(c)))).alias(c) for c in ("char_hist", "word_hist")])
 
 
 def _total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
 
 
-def js_divergence(p: Column, q: Column) -> Column:
-    """Jensen-Shannon divergence in bits of two count arrays of one length; null if either is all zero."""
+def _part_of(total: Column):
+    return lambda x: x / F.nullif(total, F.lit(0.0))
+
 
-    def half(x, m):
-        return F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
+def js_divergence(p: Column, total: Column, q: Column) -> Column:
+    """Jensen-Shannon divergence in bits of a count array with this total and an array of shares; null for total 0.
 
-    a, b = F.nullif(_total(p), F.lit(0.0)), F.nullif(_total(q), F.lit(0.0))
-    return F.aggregate(
-        F.zip_with(p, q, lambda x, y: half(x / a, (x / a + y / b) / 2) + half(y / b, (x / a + y / b) / 2)),
-        F.lit(0.0),
-        lambda x, y: x + y,
-    ) / 2
+    total is a column of its own: as an expression it would be worked out again for every element.
+    """
+
+    def half(x, y):
+        return F.when(x > 0, x * (1 - F.log2(1 + y / x))).otherwise(0.0)
+
+    return F.when(
+        total > 0, F.aggregate(F.zip_with(p, q, lambda x, y: half(x / total, y) + half(y, x / total)), F.lit(0.0), lambda a, x: a + x) / 2
+    )
 
 
 def quality_rules(docs: DataFrame, p: QualityParams = QualityParams(), text: str = "text", lang: str = "lang", references: DataFrame | None = None) -> DataFrame:
@@ -175,16 +200,17 @@ def quality_rules(docs: DataFrame, p: QualityParams = QualityParams(), text: str
         or_pooled("_qr_ref_hist", "word_hist", "array<double>"),
     )
     common = F.col("_qr_ref_words")
-    df = df.withColumn("_qr_hits", F.filter(_short_words(F.coalesce(F.col(text), F.lit("")), p), lambda x: F.array_contains(common, x)))
+    df = df.withColumn("_qr_hits", F.filter("_qr_words", lambda x: (F.length(x) <= p.common_word_chars) & F.array_contains(common, x)))
     hits = F.col("_qr_hits")
     df = df.withColumn("_qr_hist", F.transform(common, lambda w: (F.size(hits) - F.size(F.array_remove(hits, w))).cast("double")))
-    df = df.withColumn("char_divergence", js_divergence(F.col("_qr_chars"), F.col("_qr_ref_chars")))
-    df = df.withColumn("word_divergence", js_divergence(F.col("_qr_hist"), F.col("_qr_ref_hist")))
+    df = df.withColumn("_qr_chars_n", _total(F.col("_qr_chars"))).withColumn("_qr_hist_n", F.size(hits).cast("double"))
+    df = df.withColumn("char_divergence", js_divergence(F.col("_qr_chars"), F.col("_qr_chars_n"), F.col("_qr_ref_chars")))
+    df = df.withColumn("word_divergence", js_divergence(F.col("_qr_hist"), F.col("_qr_hist_n"), F.col("_qr_ref_hist")))
     guarded = F.col("n_words") < p.min_words
     fine = (F.coalesce(F.col("char_divergence"), F.lit(0.0)) <= p.max_char_divergence) & (
         F.coalesce(F.col("word_divergence"), F.lit(1.0)) <= p.max_word_divergence
     )
-    df = df.withColumn("kept", ~F.col("base_failed") & (guarded | fine))
+    df = df.withColumn("kept", computed_once(~F.col("base_failed") & (guarded | fine)))
     return df.select(
         *docs.columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_divergence", "word_divergence", "kept"
     )

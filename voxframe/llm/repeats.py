@@ -7,10 +7,11 @@ ordered by digits, most significant first, and a group of one is dropped before
    windows have equal minimisers, and neighbouring windows share one, so a *run* of windows is one record;
 2. the second digit is the whole span of the run. Runs with equal spans repeat in all their windows;
 3. minimisers that stand in different spans (the borders of repeats) go on to the full depth: one run of each
-   distinct span gives a record for each of its windows, and equal windows are the repeats that are left.
+   distinct span brings its bytes, and equal windows in them are the repeats that are left. A minimiser with up to
+   ``SPANS_AT_ONCE`` distinct spans (a bounded group) is compared in place; one with more gives a record per window.
 
-Groups are only ever counted with map-side partial aggregates and joined back on their key, so a string that a third
-of all documents hold is never gathered in one task. Windows are compared by 64-bit polynomial hashes of their bytes.
+Otherwise groups are only counted with map-side partial aggregates and joined back on their key, so a string that a
+third of all documents hold is never gathered in one task. Windows are compared by 64-bit polynomial hashes of their bytes.
 
 Defined cases: null text counts as empty; texts below ``length`` bytes lose nothing; repeated rows are repeats of each
 other; an empty table gives an empty result; other columns pass through (inner columns are prefixed ``_rep_``); very
@@ -28,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from voxframe.storage import written
+from voxframe.storage import discard, written
 
-LENGTH, GRAM, PIECE = 200, 64, 1 << 21
+LENGTH, GRAM, PIECE, SPANS_AT_ONCE = 200, 64, 1 << 21, 20_000
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _TABLE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -106,7 +107,7 @@ def _arrow(batch: pa.RecordBatch, name: str) -> list:
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = True) -> DataFrame:
-    """docs plus n_bytes, n_removed, n_spans, kept_sha256 and, with_text, ``kept_text`` (the remaining bytes)."""
+    """The columns of docs but text, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, ``kept_text`` (what remains)."""
     if not 0 < gram <= length:
         raise ValueError("gram must be between 1 and length")
     source = docs.withColumn("_rep_bytes", F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))
@@ -135,45 +136,98 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     records = written(work.where(F.col("_rep_n") >= length).mapInArrow(find_runs, "anchor long, span long, key long, n int, lo int, hi int"), "runs")
     again = records.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     repeated = written(records.join(again, "anchor", "left_semi"), "repeated-runs")
+    discard(records)
 
     spans = repeated.groupBy("anchor", "span").agg(F.count("*").alias("c"), F.min(F.struct("key", "n", "lo", "hi")).alias("rep"))
+    spans = written(spans, "spans")
     whole = repeated.join(spans.where("c > 1").select("anchor", "span"), ["anchor", "span"], "left_semi").select("key", "n", "lo", "hi")
-    several = spans.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
-    borders = spans.join(several, "anchor", "left_semi").select("rep.*").groupBy("key", "n").agg(F.collect_set(F.struct("lo", "hi")).alias("_rep_at"))
-
-    def find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["window", "key", "n", "at"]
-        for batch in batches:
-            for raw, key, n, at in zip(*(_arrow(batch, c) for c in ("_rep_bytes", "_rep_key", "_rep_n", "_rep_at")), strict=True):
-                h = Hashes(np.frombuffer(raw, np.uint8))
-                starts = np.concatenate([np.arange(x["lo"], x["hi"] + 1) for x in at])
-                k = len(starts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.of(starts, starts + length).view(np.int64)), pa.array(np.full(k, key, np.int64)), pa.array(np.full(k, n, np.int32)), pa.array(starts.astype(np.int32))], names
-                )
-
+    several = spans.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1")
+    borders = (
+        spans.join(several, "anchor").select("anchor", "k", "rep.*")
+        .groupBy("key", "n").agg(F.collect_list(F.struct("anchor", "k", "lo", "hi")).alias("_rep_at"))
+    )
     on = [F.col("_rep_key") == F.col("key"), F.col("_rep_n") == F.col("n")]
-    deep = work.join(borders, on).select("_rep_bytes", "_rep_key", "_rep_n", "_rep_at")
-    windows = written(deep.mapInArrow(find_windows, "window long, key long, n int, at int"), "windows")
-    place = F.struct("key", "n", "at")
-    same = windows.groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("window")
-    single = windows.join(same, "window", "left_semi").select("key", "n", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    found = whole.unionByName(single).distinct().groupBy("key", "n").agg(F.collect_list(F.struct("lo", "hi")).alias("_rep_at"))
-
-    given = source.schema[: len(docs.columns)]
+    at = F.col("at")
+    deep = (
+        work.join(borders, on)
+        .select("_rep_bytes", "key", "n", F.explode("_rep_at").alias("at"))
+        .select("key", "n", "at.anchor", "at.k", "at.lo", F.substr("_rep_bytes", at["lo"] + 1, at["hi"] - at["lo"] + length).alias("bytes"))
+    )
+    deep = written(deep, "borders")
+
+    def windows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place in its row, hash) of each window of a batch's spans."""
+        raw = _arrow(batch, "bytes")
+        sizes = np.array([len(x) for x in raw], np.int64)
+        first = np.cumsum(sizes) - sizes
+        count = sizes - (length - 1)
+        row = np.repeat(np.arange(len(raw)), count)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        start = first[row] + place
+        return row, place, Hashes(np.frombuffer(b"".join(raw), np.uint8)).of(start, start + length)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Equal windows of the spans of each minimiser; rows come sorted by it."""
+
+        def told(batch: pa.RecordBatch) -> pa.RecordBatch:
+            row, place, h = windows_of(batch)
+            _, back, times = np.unique(h, return_inverse=True, return_counts=True)
+            row, place = row[times[back] > 1], place[times[back] > 1]
+            head = np.concatenate(([True], (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1))) if len(row) else np.zeros(0, bool)
+            a = np.flatnonzero(head)
+            b = np.concatenate((a[1:], [len(row)])) - 1 if len(a) else a
+            key, n, lo = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("key", "n", "lo"))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(key[row[a]]), pa.array(n[row[a]]), pa.array((lo[row[a]] + place[a]).astype(np.int32)), pa.array((lo[row[a]] + place[b]).astype(np.int32))], ["key", "n", "lo", "hi"]
+            )
+
+        held = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            held = pa.Table.from_batches(([*held.to_batches()] if held else []) + [batch]).combine_chunks()
+            anchor = held.column("anchor").to_numpy()
+            cut = int(np.searchsorted(anchor, anchor[-1]))
+            if cut:
+                yield told(held.slice(0, cut).combine_chunks().to_batches()[0])
+                held = held.slice(cut)
+        if held:
+            yield told(held.combine_chunks().to_batches()[0])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                row, place, h = windows_of(part)
+                key, n, lo = (part.column(part.schema.get_field_index(c)).to_numpy() for c in ("key", "n", "lo"))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(key[row]), pa.array(n[row]), pa.array((lo[row] + place).astype(np.int32))], ["window", "key", "n", "lo"])
+
+    few = deep.where(F.col("k") <= SPANS_AT_ONCE).select("anchor", "key", "n", "lo", "bytes")
+    few = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "key long, n int, lo int, hi int")
+    windows = deep.where(F.col("k") > SPANS_AT_ONCE).mapInArrow(spread, "window long, key long, n int, lo int")
+    same = windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select("window")
+    single = windows.join(same, "window", "left_semi").select("key", "n", "lo", F.col("lo").alias("hi"))
+    found = whole.unionByName(few).unionByName(single).groupBy("key", "n").agg(F.collect_list(F.struct("lo", "hi")).alias("_rep_at"))
+    found = written(found, "repeats")
+
+    kept = [c for c in docs.columns if c != text]
     extra = [StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept_sha256", StringType())]
-    schema = StructType([*given, *extra, *([StructField("kept_text", BinaryType())] if with_text else [])])
-    width = len(docs.columns)
+    schema = StructType([*docs.select(*kept).schema, *extra, *([StructField("kept_text", BinaryType())] if with_text else [])])
+    width = len(kept)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, shas, texts = [], [], []
-            for raw, n, at in zip(_arrow(batch, "_rep_bytes"), _arrow(batch, "_rep_n"), _arrow(batch, "_rep_at"), strict=True):
-                removed = edges = 0
-                if at:
+            held, ranges = batch.column(width), batch.column(width + 2)
+            first = ranges.offsets.to_numpy()
+            los, his = (ranges.values.field(i).to_numpy() for i in range(2))
+            for i, n in enumerate(_arrow(batch, "_rep_n")):
+                raw, removed, edges = held[i].as_py(), 0, 0
+                a, b = first[i], first[i + 1]
+                if b > a:
                     step = np.zeros(n + 1, np.int32)
-                    np.add.at(step, [x["lo"] for x in at], 1)
-                    np.subtract.at(step, [x["hi"] + length for x in at], 1)
+                    np.add.at(step, los[a:b], 1)
+                    np.subtract.at(step, his[a:b] + length, 1)
                     gone = np.cumsum(step[:-1]) > 0
                     removed = int(gone.sum())
                     edges = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
@@ -186,6 +240,6 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
             columns += [pa.array(texts, pa.binary())] if with_text else []
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    joined = source.join(found, on, "left").select(*docs.columns, "_rep_bytes", "_rep_n", "_rep_at")
+    joined = source.join(found, on, "left").select(*kept, "_rep_bytes", "_rep_n", "_rep_at")
     out = joined.mapInArrow(remove, schema)
     return out.withColumn("kept_text", F.decode("kept_text", "UTF-8")) if with_text else out

@@ -23,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxframe.llm.columns import computed_once
+
 #: Short notices and key sentences of common licences.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (
@@ -163,7 +165,7 @@ def scan_licenses(files: DataFrame, p: LicenseParams = LicenseParams(), path: st
         F.regexp_replace("_lic_path", r"/?[^/]*$", "").alias("_lic_dir"),
         F.col("_lic_best.license").alias("_lic_own"),
         F.coalesce(F.col("_lic_best.cosine"), F.lit(0.0)).alias("_lic_cosine"),
-        (F.when(F.size("_lic_scores") > 0, named | (share >= p.min_file_share * F.size(_terms(t)))).otherwise(False)).alias("_lic_file"),
+        computed_once(F.when(F.size("_lic_scores") > 0, named | (share >= p.min_file_share * F.size(_terms(t)))).otherwise(False)).alias("_lic_file"),
     )
     holds = df.where("_lic_file and _lic_own is not null").groupBy(F.col("_lic_dir").alias("_lic_at")).agg(
         F.min(F.struct((-F.col("_lic_cosine")).alias("c"), F.col("_lic_path").alias("path"), F.col("_lic_own").alias("license"))).alias("h")

@@ -66,8 +66,7 @@ def word_hashes(words: list[str]) -> np.ndarray:
     except KeyError:
         if len(_HASHES) > _HASH_LIMIT:
             _HASHES.clear()
-        for w in set(words) - _HASHES.keys():
-            _HASHES[w] = xxhash.xxh3_64_digest(w)
+        _HASHES.update((w, xxhash.xxh3_64_digest(w)) for w in set(words).difference(_HASHES))
         return np.frombuffer(b"".join(map(_HASHES.__getitem__, words)), np.uint64)
 
 
@@ -160,7 +159,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def near_duplicates(docs: DataFrame, p: NearParams = NearParams(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs plus class_id and n_class, the number of rows in the class."""
+    """docs plus class_id, n_class (the number of rows in the class) and class_key (a hash that is the class's own)."""
     spark = docs.sparkSession
     prepare(spark)
     sketch, total = frequency_sketch(docs, p, text)
@@ -228,22 +227,21 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams(), doc_id: str =
     more = verified(written(rest, "rest-pairs"), "rest-links")
     if not more.isEmpty():
         parts = written(connected_components(links.union(more).union(loops)), "components")
-    by_text = source.select("_nd_key", "_nd_id").join(parts, F.col("_nd_key") == F.col("node"), "left")
+    keyed = parts.select("node", "component")
     wordless = ~F.lower(F.coalesce(F.col(text), F.lit(""))).rlike(r"[\p{L}\p{N}]")
-    by_text = by_text.withColumn("_nd_class", F.coalesce("component", "_nd_key"))
-    classes = by_text.groupBy("_nd_class").agg(F.min("_nd_id").alias("class_id"), F.count("*").alias("n_class"))
-    keyed = parts.select(F.col("node"), F.col("component"))
     out = source.withColumn("_nd_wordless", wordless).join(keyed, F.col("_nd_key") == F.col("node"), "left")
-    out = out.withColumn("_nd_of", F.coalesce("component", "_nd_key")).join(classes, F.col("_nd_of") == F.col("_nd_class"), "left")
-    return out.select(
+    out = out.withColumn("_nd_of", F.when(F.col("_nd_wordless"), F.xxhash64(F.lit("wordless"), "_nd_key", "_nd_id")).otherwise(F.coalesce("component", "_nd_key")))
+    by_text = source.select("_nd_key", "_nd_id").join(keyed, F.col("_nd_key") == F.col("node"), "left").withColumn("_nd_class", F.coalesce("component", "_nd_key"))
+    classes = by_text.groupBy("_nd_class").agg(F.min("_nd_id").alias("class_id"), F.count("*").alias("n_class"))
+    return out.join(classes, F.col("_nd_of") == F.col("_nd_class"), "left").select(
         *docs.columns,
         F.when(F.col("_nd_wordless"), F.col("_nd_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(F.col("_nd_wordless"), F.lit(1).cast("long")).otherwise(F.col("n_class")).alias("n_class"),
+        F.col("_nd_of").alias("class_key"),
     )
 
 
 def keep_one(docs: DataFrame, p: NearParams = NearParams(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each class: the one of least doc_id (of repeated rows with that doc_id, the one of least text)."""
+    """One row of each class, of those with its least doc_id."""
     found = near_duplicates(docs, p, doc_id, text)
-    first = found.where(F.col(doc_id).eqNullSafe(F.col("class_id")))
-    return first.dropDuplicates([doc_id]).select(*docs.columns)
+    return found.where(F.col(doc_id).eqNullSafe(F.col("class_id"))).dropDuplicates(["class_key"]).select(*docs.columns)

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxframe.llm.columns import computed_once
 from voxframe.llm.spans import located, matches, outside, pieces, rendered, replaced, tagged
 
 _LOCAL = r"A-Za-z0-9._%+\-"
@@ -125,13 +126,13 @@ def sanitise(docs: DataFrame, p: PiiParams = PiiParams(), text: str = "text") ->
     ``sanitised``, the text with every span generalised to its kind."""
     found = base_spans(docs, text)
     all_base = F.concat(*[F.col(f"_pii_{k}") for k in KINDS])
-    found = found.withColumn("_pii_key", F.md5("_pii_text"))
+    found = found.withColumn("_pii_key", F.md5("_pii_text")).withColumn("_pii_any", computed_once(F.size(all_base) > 0))
     flagged = disclosing_terms(found, p)
-    values = found.where(F.size(all_base) > 0).select(
+    values = found.where("_pii_any").select(
         F.col("_pii_key").alias("_pii_k"), F.explode(F.array_distinct(F.transform(all_base, lambda s: s["value"]))).alias("entity")
     ).distinct()
     terms = values.join(flagged, "entity").groupBy("_pii_k").agg(F.sort_array(F.collect_set("term")).alias("_pii_terms"))
-    df = found.withColumn("_pii_own", F.when(F.size(all_base) > 0, F.col("_pii_text")))
+    df = found.withColumn("_pii_own", F.when(F.col("_pii_any"), F.col("_pii_text")))
     df = df.join(terms, F.col("_pii_key") == F.col("_pii_k"), "left")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("_pii_terms", "|"), F.lit(r")(?!\p{L})"))
     own = F.col("_pii_own")

@@ -46,15 +46,16 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def secret_model(spark: SparkSession, sf_dir: str, p: SecretParams = SecretParams()) -> list[float]:
+def secret_model(docs: DataFrame, labels: DataFrame, p: SecretParams = SecretParams()) -> list[float]:
     """Trained from generated labelled strings and the words of a bounded sample of labelled documents."""
-    words = word_samples(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), p)
+    spark, words = docs.sparkSession, word_samples(docs, labels, p)
     return train(random_samples(spark, p.random_samples).unionByName(identifier_samples(spark, p.identifier_samples)).unionByName(words), p)
 
 
 @query
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), secret_model(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = find_secrets(docs, secret_model(docs, table(spark, sf_dir, "labels")))
     return out.select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.array_join("base_spans", ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"), "n_markov"
     )

@@ -678,3 +678,69 @@ def vector_lookup(spark, sf_dir):
     near = lambda c, k, n: F.least(F.greatest(F.bround(F.abs(c) / k), F.lit(0.0)), F.lit(float(n))).cast("int")
     d = detections(spark, sf_dir).select("id", near("post_z", 20, 6).alias("z"), near("post_y", 3, 95).alias("y"), near("post_x", 3, 95).alias("x"))
     return d.join(voxel_table(spark, sf_dir), list(AX)).select("id", "z", "v")
+
+
+# ---- text sinks and whole plans
+
+
+@query(f"SELECT id, concat_ws(',', id::VARCHAR, printf('%.1f', post_z), printf('%.1f', post_y), printf('%.1f', post_x), printf('%.1f', post_z + vz), printf('%.1f', post_y + vy), printf('%.1f', post_x + vx), printf('%.4f', score), (label * 3)::VARCHAR) AS line FROM ({DET})")
+def detections_csv_text(spark, sf_dir):
+    from voxframe.sources.detections import csv_lines
+
+    return csv_lines(grid.partner(detections(spark, sf_dir)).withColumn("size", F.col("label") * 3))
+
+
+def _solid(spark, sf_dir):
+    """A denser foreground, whose components are large enough to be split."""
+    g = grid_of(sf_dir)
+    return voxels.threshold(voxel_table(spark, sf_dir), 160).withColumn("id", voxels.voxel_id(g, g))
+
+
+@query()
+def watershed_split(spark, sf_dir):
+    from voxframe.plans.extract import ExtractParams, split_components
+
+    lab = voxels.label(_solid(spark, sf_dir))
+    parts = split_components(lab, ExtractParams(split_min_size=20, split_min_peak_dist=2))
+    return parts.groupBy("comp", "part").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+
+
+@query()
+def elongation(spark, sf_dir):
+    import numpy as np
+    import pandas as pd
+
+    from voxframe.functions.kernels import elongation as ratio
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf[["z", "y", "x"]].to_numpy()
+        mask = np.zeros(at.max(axis=0) - at.min(axis=0) + 1, bool)
+        mask[tuple((at - at.min(axis=0)).T)] = True
+        return pd.DataFrame({"comp": [pdf["comp"].iloc[0]], "ratio": [round(ratio(mask), 6)]})
+
+    lab = voxels.label(foreground(spark, sf_dir)).select("comp", *AX)
+    big = lab.groupBy("comp").agg(F.count("*").alias("n")).where("n >= 3").select("comp")
+    return lab.join(big, "comp").groupBy("comp").applyInPandas(one, "comp long, ratio double")
+
+
+def _predicted(spark, sf_dir):
+    v = unit_voxels(spark, sf_dir)
+    return v.select("z", "y", "x", "p", *[((F.col("v") + k) % 7 - 3).cast("double").alias(f"v{a}") for k, a in enumerate(AX)])
+
+
+@query()
+def extract_detections(spark, sf_dir):
+    from voxframe.plans.extract import ExtractParams, extract
+
+    g = grid_of(sf_dir)
+    p = ExtractParams(cc_threshold=0.88, score_thr=0.9, size_thr=2, nms_radius=4.0, voxel_size=(2.0, 1.0, 1.0))
+    return extract(_predicted(spark, sf_dir), g, g, p)
+
+
+@query()
+def suppression_pass(spark, sf_dir):
+    from voxframe.plans.extract import ExtractParams, extract
+
+    g = grid_of(sf_dir)
+    p = ExtractParams(cc_threshold=0.88, score_thr=0.9, size_thr=2, loc_type="peak", suppression=True, suppression_threshold=0.95, suppression_radius=(1.0, 3.0, 3.0))
+    return extract(_predicted(spark, sf_dir), g, g, p)

@@ -5,7 +5,8 @@
 2. A randomised singular value decomposition of the passage x word TF-IDF matrix A: every partition adds up
    A^T (A Omega) for its own passages; the left singular vectors of the sum span the latent space.
 3. Windows of each document, of the items' size and at a quarter of it apart, are compared with the items' windows by
-   cosine in that space. A window above ``min_cosine`` is a candidate.
+   cosine in that space. A window above ``min_cosine`` is a candidate. Words in more than ``max_share`` of the passages
+   are left out of the space; items with too few other words are searched for word for word.
 4. A candidate counts if the longest common subsequence of the item and the words around the window covers
    ``min_lcs`` of the item, or ``min_lcs_answer`` of it while the item's answer (its last sentence) is there in order.
    Items below ``min_exact_words`` words must be there word for word; items below ``min_words`` match nothing.
@@ -21,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,10 @@ class LeakParams:
     rank: int = 48
     oversample: int = 8
     passage_words: int = 64
+    #: Words in a larger share of the passages are stop words, which the space leaves out (they count in the LCS).
+    max_share: float = 0.01
+    #: Content words that a window must have to be compared.
+    min_content: int = 3
     min_cosine: float = 0.6
     min_lcs: float = 0.75
     min_lcs_answer: float = 0.6
@@ -91,7 +97,7 @@ def encoded(docs: DataFrame, vocabulary: dict[str, int], doc_id: str = "doc_id",
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.get
         for batch in batches:
-            ids = [np.fromiter((get(w, -1) for w in words_of(t)), np.int32).tobytes() for t in batch.column(2).to_pylist()]
+            ids = [np.array(list(map(get, words_of(t), repeat(-1))), np.int32).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["doc_id", "key", "ids"])
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("text"))
@@ -125,6 +131,7 @@ def latent_space(table: DataFrame, words: int, p: LeakParams = LeakParams()) ->
 
     df = array_sum(ids, frequencies, words + 1)
     idf = np.log((1 + df[words]) / (1 + df[:words])).astype(np.float32) + np.float32(0.01)
+    idf[df[:words] > max(p.max_share * df[words], 1)] = 0  # stop words
     k = min(p.rank + p.oversample, words)
     omega = np.random.Generator(np.random.PCG64(20240229)).standard_normal((words, k)).astype(np.float32)
 
@@ -134,6 +141,7 @@ def latent_space(table: DataFrame, words: int, p: LeakParams = LeakParams()) ->
         for batch in batches:
             for a in range(0, batch.num_rows, 100):
                 w, at, _ = _passages(batch.slice(a, 100), p.passage_words)
+                w, at = w[idf[w] > 0], at[idf[w] > 0]
                 if not len(w):
                     continue
                 starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
@@ -161,6 +169,8 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]], vocabulary: dict[str, int], space: np.ndarray, p: LeakParams):
         self.p, self.rows = p, []
         queries: dict[int, list[tuple[int, np.ndarray]]] = {}
+        self.content = np.append(np.abs(space).sum(axis=1) > 0, False)  # the last entry is that of id -1
+        self.plain: list[tuple[int, bytes]] = []
         for item_id, text in rows:
             ids = [vocabulary[w] for w in words_of(text)]
             n = len(ids)
@@ -169,9 +179,15 @@ class Items:
             answer = [vocabulary[w] for w in answer_of(text)]
             self.rows.append((item_id, ids, masks_of(ids), masks_of(answer), len(answer)))
             size = window_size(n)
+            own = 0
             for a in {*range(0, max(1, n - size + 1), size // 2), max(0, n - size)}:
-                queries.setdefault(size, []).append((len(self.rows) - 1, space[ids[a : a + size]].sum(axis=0)))
-        self.queries = {s: (np.array([i for i, _ in q]), _unit(np.array([v for _, v in q]))) for s, q in queries.items()}
+                part = np.array(ids[a : a + size])
+                if self.content[part].sum() >= p.min_content + 1:
+                    queries.setdefault(size, []).append((len(self.rows) - 1, space[part].sum(axis=0)))
+                    own += 1
+            if not own:
+                self.plain.append((len(self.rows) - 1, np.array(ids, np.int32).tobytes()))
+        self.queries = {s: (np.array([i for i, _ in q]), _unit(np.array([v for _, v in q])).T.copy()) for s, q in queries.items()}
         self.longest = max((len(r[1]) for r in self.rows), default=0)
 
     def check(self, item: int, region: list[int]) -> tuple[float, bool] | None:
@@ -196,34 +212,39 @@ class Items:
 
     def _stretch(self, ids: np.ndarray, space: np.ndarray, found: dict[int, tuple[float, bool]]) -> None:
         n = len(ids)
-        known = ids >= 0
-        if known.sum() < self.p.min_words:
-            return
-        sums = np.zeros((n + 1, space.shape[1]), np.float32)
-        np.cumsum(np.where(known[:, None], space[ids], np.float32(0)), axis=0, out=sums[1:])
-        count = np.concatenate(([0], np.cumsum(known)))
-        for size, (items, vectors) in self.queries.items():
+        at = np.flatnonzero(self.content[ids])
+        if len(at) >= self.p.min_content and self.queries:
+            sums = np.zeros((len(at) + 1, space.shape[1]), np.float32)
+            np.cumsum(space[ids[at]], axis=0, out=sums[1:])
+        else:
+            at = at[:0]
+        for size, (items, vectors) in self.queries.items() if len(at) else ():
             start = np.unique(np.append(np.arange(0, max(1, n - size + 1), size // 4), max(0, n - size)))
-            end = np.minimum(start + size, n)
-            start = start[(full := count[end] - count[start] >= size // 2)]
-            end = end[full]
+            first, last = np.searchsorted(at, start), np.searchsorted(at, start + size)
+            full = last - first >= self.p.min_content
+            start, first, last = start[full], first[full], last[full]
             if not len(start):
                 continue
-            at, query = np.nonzero(_unit(sums[end] - sums[start]) @ vectors.T >= self.p.min_cosine)
-            regions: dict[int, list[list[int]]] = {}
-            for i, q in zip(at.tolist(), query.tolist(), strict=True):
+            window, query = np.nonzero(_unit(sums[last] - sums[first]) @ vectors >= self.p.min_cosine)
+            done: dict[int, int] = {}
+            for i, q in zip(window.tolist(), query.tolist(), strict=True):
                 item = int(items[q])
                 length = len(self.rows[item][1])
-                lo, hi = max(0, int(start[i]) - length), min(n, int(end[i]) + length)
-                spots = regions.setdefault(item, [])
-                if spots and lo <= spots[-1][0] + length // 2:
+                lo, hi = max(0, int(start[i]) - length), min(n, int(start[i]) + size + length)
+                if done.get(item, -1) >= int(start[i]):
                     continue
-                spots.append([lo, hi])
-            for item, spots in regions.items():
-                for lo, hi in spots:
-                    best = self.check(item, ids[lo:hi].tolist())
-                    if best and (item not in found or best > found[item]):
-                        found[item] = best
+                done[item] = int(start[i]) + length // 4
+                best = self.check(item, ids[lo:hi].tolist())
+                if best and (item not in found or best > found[item]):
+                    found[item] = best
+        if self.plain:
+            raw = ids.tobytes()
+            for item, word_for_word in self.plain:
+                i = raw.find(word_for_word)
+                while i >= 0 and i % 4:
+                    i = raw.find(word_for_word, i + 1)
+                if i >= 0:
+                    found[item] = (1.0, True)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, p: LeakParams = LeakParams(), doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

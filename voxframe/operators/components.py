@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxframe.operators.keys import dealt_anew
 from voxframe.storage import discard, written
 
 MAX_ROUNDS = 60
@@ -12,8 +13,8 @@ MAX_ROUNDS = 60
 
 def _with_least(pairs: DataFrame) -> DataFrame:
     """(u, v, m): m is the least of u and all its v. A partial aggregate joined back, so a hub is never one group."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
-    return pairs.join(least, pairs["u"] == least["_u"]).select("u", "v", "m")
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(dealt_anew("u"), F.least("u", "m").alias("m"))
+    return pairs.join(least, "u").select("u", "v", "m")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

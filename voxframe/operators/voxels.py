@@ -123,3 +123,24 @@ def reflect(i: Column, n: int) -> Column:
 
 def taper(i: Column, n: int) -> Column:
     return F.sin(F.lit(3.141592653589793) * (i + 0.5) / n)
+
+
+def cube_percentiles(vox: DataFrame, shape: tuple[int, int, int], n: int = 50, size: int = 64, seed: int = 42, low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """One row (lo, hi): percentiles pooled over n cubes at portable random offsets, cut to the volume. Cubes meet
+    voxels by coarse cells."""
+    from voxframe.operators.augment import uniform
+
+    cubes = vox.sparkSession.range(n)
+    cols = {}
+    for k, (a, s) in enumerate(zip(AXES, shape, strict=True)):
+        side = min(size, s)
+        lo = F.floor(uniform(F.col("id") * 3 + k + seed) * (s - side + 1)).cast("int")
+        cols |= {f"{a}0": lo, f"{a}1": lo + side}
+    cubes = cubes.withColumns(cols)
+    cells, cond = vox, F.lit(True)
+    for a in AXES:
+        cubes = cubes.withColumn(f"_{a}", F.explode(F.sequence(F.floor(F.col(f"{a}0") / size), F.floor((F.col(f"{a}1") - 1) / size))))
+        cells = cells.withColumn(f"_{a}", F.floor(F.col(a) / size))
+        cond = cond & (F.col(a) >= F.col(f"{a}0")) & (F.col(a) < F.col(f"{a}1"))
+    pooled = cells.join(cubes.drop("id"), [f"_{a}" for a in AXES]).where(cond)
+    return pooled.agg(F.percentile("v", [low, high]).alias("p")).select(F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))

@@ -744,3 +744,34 @@ def suppression_pass(spark, sf_dir):
     g = grid_of(sf_dir)
     p = ExtractParams(cc_threshold=0.88, score_thr=0.9, size_thr=2, loc_type="peak", suppression=True, suppression_threshold=0.95, suppression_radius=(1.0, 3.0, 3.0))
     return extract(_predicted(spark, sf_dir), g, g, p)
+
+
+@query(
+    f"""WITH c AS (SELECT i, CAST(floor({sql_u('i * 3 + 42')} * 4) AS INTEGER) AS z0, CAST(floor({sql_u('i * 3 + 43')} * 93) AS INTEGER) AS y0, CAST(floor({sql_u('i * 3 + 44')} * 93) AS INTEGER) AS x0 FROM range(50) t(i))
+ SELECT round(quantile_cont(v::DOUBLE, 0.01), 6) AS lo, round(quantile_cont(v::DOUBLE, 0.99), 6) AS hi FROM ({VOX}) JOIN c ON z >= z0 AND z < z0 + 4 AND y >= y0 AND y < y0 + 4 AND x >= x0 AND x < x0 + 4"""
+)
+def cube_percentiles(spark, sf_dir):
+    g = grid_of(sf_dir)
+    return voxels.cube_percentiles(voxel_table(spark, sf_dir), (7, g, g), 50, 4).select(*r6("lo", "hi"))
+
+
+@query(f"SELECT z, y, x, round(n * (1 - m) + m, 6) AS r, round(n * (1 - m) + 0.2 * m, 6) AS g FROM (SELECT z, y, x, (v - min(v) OVER ()) / greatest(max(v) OVER () - min(v) OVER (), 1e-8)::DOUBLE AS n, CASE WHEN v >= 225 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS m FROM ({VOX}))")
+def overlay_image(spark, sf_dir):
+    from voxframe.operators import images
+
+    v = images.grey_rgb(voxel_table(spark, sf_dir)).withColumn("m", F.when(F.col("v") >= 225, 0.5).otherwise(0.0))
+    return images.overlay(v).select("z", "y", "x", *r6("r", "g"))
+
+
+@query("SELECT n_nationkey AS z, coalesce(lead(n_nationkey) OVER (ORDER BY n_nationkey), min(n_nationkey) OVER ()) AS following FROM nation")
+def next_slice(spark, sf_dir):
+    from voxframe.operators import images
+
+    return images.next_slice(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("z")))
+
+
+@query("SELECT z FROM (SELECT n_nationkey AS z, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation) WHERE i IN (0, 4, 9, 14, 19, 24)")
+def spread_slices(spark, sf_dir):
+    from voxframe.operators import images
+
+    return images.spread_picks(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("z")))

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from voxframe.llm.arrays import array_sum
 from voxframe.operators.components import connected_components
+from voxframe.operators.keys import dealt_anew
 from voxframe.storage import prepare, written
 
 _U = np.uint64
@@ -266,7 +267,7 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams(), doc_id: str =
     out = source.withColumn("_nd_wordless", wordless).join(keyed, F.col("_nd_key") == F.col("node"), "left")
     out = out.withColumn("_nd_of", F.when(F.col("_nd_wordless"), F.xxhash64(F.lit("wordless"), "_nd_key", "_nd_id")).otherwise(F.coalesce("component", "_nd_key")))
     by_text = source.select("_nd_key", "_nd_id").join(keyed, F.col("_nd_key") == F.col("node"), "left").withColumn("_nd_class", F.coalesce("component", "_nd_key"))
-    classes = by_text.groupBy("_nd_class").agg(F.min("_nd_id").alias("class_id"), F.count("*").alias("n_class"))
+    classes = by_text.groupBy("_nd_class").agg(F.min("_nd_id").alias("class_id"), F.count("*").alias("n_class")).select(dealt_anew("_nd_class"), "class_id", "n_class")
     return out.join(classes, F.col("_nd_of") == F.col("_nd_class"), "left").select(
         *docs.columns,
         F.when(F.col("_nd_wordless"), F.col("_nd_id")).otherwise(F.col("class_id")).alias("class_id"),

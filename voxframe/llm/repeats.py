@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
+from voxframe.operators.keys import dealt_anew
 from voxframe.storage import discard, written
 
 LENGTH, GRAM, PIECE, SPANS_AT_ONCE = 200, 64, 1 << 21, 20_000
@@ -134,14 +135,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names)
 
     records = written(work.where(F.col("_rep_n") >= length).mapInArrow(find_runs, "anchor long, span long, key long, n int, lo int, hi int"), "runs")
-    again = records.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    again = records.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select(dealt_anew("anchor"))
     repeated = written(records.join(again, "anchor", "left_semi"), "repeated-runs")
     discard(records)
 
     spans = repeated.groupBy("anchor", "span").agg(F.count("*").alias("c"), F.min(F.struct("key", "n", "lo", "hi")).alias("rep"))
     spans = written(spans, "spans")
     whole = repeated.join(spans.where("c > 1").select("anchor", "span"), ["anchor", "span"], "left_semi").select("key", "n", "lo", "hi")
-    several = spans.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1")
+    several = spans.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select(dealt_anew("anchor"), "k")
     borders = (
         spans.join(several, "anchor").select("anchor", "k", "rep.*")
         .groupBy("key", "n").agg(F.collect_list(F.struct("anchor", "k", "lo", "hi")).alias("_rep_at"))
@@ -205,7 +206,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     few = deep.where(F.col("k") <= SPANS_AT_ONCE).select("anchor", "key", "n", "lo", "bytes")
     few = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "key long, n int, lo int, hi int")
     windows = deep.where(F.col("k") > SPANS_AT_ONCE).mapInArrow(spread, "window long, key long, n int, lo int")
-    same = windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select("window")
+    same = windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select(dealt_anew("window"))
     single = windows.join(same, "window", "left_semi").select("key", "n", "lo", F.col("lo").alias("hi"))
     found = whole.unionByName(few).unionByName(single).groupBy("key", "n").agg(F.collect_list(F.struct("lo", "hi")).alias("_rep_at"))
     found = written(found, "repeats")

@@ -49,7 +49,7 @@ def invert(df: DataFrame, prob: float = 0.01, seed: int = 1) -> DataFrame:
 
 
 def cutout(df: DataFrame, holes: list[tuple[int, int, int, int]]) -> DataFrame:
-    """Zero the (y0, x0, size, size) holes over all z; as in the original, the first size goes along x and the second along y."""
+    """Zero the (y0, x0, size, size) holes over all z; the first size goes along x and the second along y."""
     hit = F.lit(False)
     for y0, x0, first, second in holes:
         hit = hit | (F.col("y").between(y0, y0 + second - 1) & F.col("x").between(x0, x0 + first - 1))

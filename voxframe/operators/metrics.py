@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bounds of balanced weights, as halves of inverse shares.
 CLIP_LO, CLIP_HI = 1 / (2 * 0.9993), 1 / (2 * 7e-4)
 
 

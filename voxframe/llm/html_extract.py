@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from voxframe.storage import prepare
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[/a-zA-Z!?](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[/a-zA-Z!?][^>]*(?:>|\Z)|[^<]+|<",
@@ -207,6 +209,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 
 def extract(pages: DataFrame, column: str = "html", into: str = "text", weights: dict[str, float] | None = None) -> DataFrame:
     """pages plus ``into``, the main text."""
+    prepare(pages.sparkSession)
     learned = weights or learn(labelled_pages())
 
     def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxframe.llm.tokens import encoder
+from voxframe.storage import prepare
 
 MAGIC = b"VXTOK1\x00\x00"
 HEADER = 16
@@ -94,6 +95,7 @@ def _put(uri: str, data: bytes) -> None:
 
 def write_store(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> list[dict]:
     """Write the store and return its manifest, one entry per shard in doc_id order (also in manifest.json)."""
+    prepare(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ordered = source.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
 

@@ -24,6 +24,8 @@ HAS_WORD = r"[^\x20\x09-\x0D]"
 #: Character classes of the histogram; all other characters (small letters and spaces, mostly) are the last class.
 CLASSES = {"upper": r"\p{Lu}", "digit": r"0-9", "symbol": r"#*$%&|<>", "mark": r".,;:!?'\"()\-"}
 POOLED = "*"
+#: A language's words are ranked in so many parts first, so that its last ranking has a fixed number of rows.
+RANK_PARTS = 64
 
 
 @dataclass(frozen=True)
@@ -141,7 +143,10 @@ def fit_references(docs: DataFrame, p: QualityParams = QualityParams(), text: st
     everywhere = counts.groupBy("w").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "w", "n")
     counts = counts.unionByName(everywhere)
     top = (
-        counts.withColumn("rk", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w")))
+        counts.withColumn("part", F.pmod(F.xxhash64("w"), F.lit(RANK_PARTS)))
+        .withColumn("rk", F.row_number().over(Window.partitionBy("lang", "part").orderBy(F.desc("n"), "w")))
+        .where(F.col("rk") <= p.common_words)
+        .withColumn("rk", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w")))
         .where(F.col("rk") <= p.common_words)
         .groupBy("lang")
         .agg(F.sort_array(F.collect_list(F.struct("rk", "w", "n"))).alias("top"))

@@ -122,6 +122,23 @@ def test_decontamination(spark):
     assert {r["doc_id"] for r in left.collect()} == {d for d, _ in docs} - set(planted) - {902}
 
 
+def test_decontamination_of_frequent_leaks(spark):
+    """Copies in far more than 1 % of the passages, each with words of its own changed."""
+    rng = random.Random(12)
+    say = lambda n: ["".join(rng.choice("bcdfgaeiou") for _ in range(7)) for _ in range(n)]
+    items = [say(37), say(37)]
+    docs = [(i, " ".join(say(100))) for i in range(200)]
+    for i in range(0, 120, 2):
+        t = list(items[0])
+        for j in rng.sample(range(37), 1 + i % 3):
+            t[j] = f"changed{i}"
+        docs[i] = (i, " ".join(say(rng.randrange(60)) + t + say(60)))
+    docs[151] = (151, " ".join(say(300) + items[1][:5] + ["other"] + items[1][6:] + say(10)))
+    benchmark = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, 0) for i in range(0, 120, 2)} | {(151, 1)}
+
+
 def test_decontamination_of_nothing(spark):
     none, one = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert decontaminate.find_leaks(none, one).count() == 0

@@ -6,7 +6,9 @@
    A^T (A Omega) for its own passages; the left singular vectors of the sum span the latent space.
 3. Windows of each document, of the items' size and at a quarter of it apart, are compared with the items' windows by
    cosine in that space. A window above ``min_cosine`` is a candidate. Words in more than ``max_share`` of the passages
-   are left out of the space; items with too few other words are searched for word for word.
+   are left out of the space, be they stop words or the words of a frequent leak. Items of which a copy could then lack
+   content words are not searched for in the space: every window whose surroundings share enough of such an item's
+   words is a candidate, whatever the words' frequencies.
 4. A candidate counts if the longest common subsequence of the item and the words around the window covers
    ``min_lcs`` of the item, or ``min_lcs_answer`` of it while the item's answer (its last sentence) is there in order.
    Items below ``min_exact_words`` words must be there word for word; items below ``min_words`` match nothing.
@@ -54,6 +56,8 @@ class LeakParams:
     block_items: int = 5000
     #: Documents are worked off in stretches of this many words, which overlap by the largest region of an item.
     stretch_words: int = 20_000
+    #: Items outside the space are looked for in pieces of this many words first (a multiple of 16).
+    piece_words: int = 256
 
 
 def words_of(text: str | None) -> list[str]:
@@ -70,11 +74,9 @@ def lcs(masks: dict[int, int], n: int, words: list[int]) -> int:
     """Length of the longest common subsequence of an item, given as the bit positions of each word, and words."""
     full = (1 << n) - 1
     v = full
-    for w in words:
-        m = masks.get(w)
-        if m:
-            u = v & m
-            v = ((v + u) | (v - u)) & full
+    for m in filter(None, map(masks.get, words)):
+        u = v & m
+        v = ((v + u) | (v - u)) & full
     return n - v.bit_count()
 
 
@@ -171,6 +173,8 @@ class Items:
         queries: dict[int, list[tuple[int, np.ndarray]]] = {}
         self.content = np.append(np.abs(space).sum(axis=1) > 0, False)  # the last entry is that of id -1
         self.plain: list[tuple[int, bytes]] = []
+        self.shared: list[int] = []
+        least = min(p.min_lcs, p.min_lcs_answer)
         for item_id, text in rows:
             ids = [vocabulary[w] for w in words_of(text)]
             n = len(ids)
@@ -180,6 +184,9 @@ class Items:
             self.rows.append((item_id, ids, masks_of(ids), masks_of(answer), len(answer)))
             size = window_size(n)
             own = 0
+            if n >= p.min_exact_words and self.content[ids].sum() < (1 - least) * n + p.min_content:
+                self.shared.append(len(self.rows) - 1)
+                continue
             for a in {*range(0, max(1, n - size + 1), size // 2), max(0, n - size)}:
                 part = np.array(ids[a : a + size])
                 if self.content[part].sum() >= p.min_content + 1:
@@ -189,6 +196,12 @@ class Items:
                 self.plain.append((len(self.rows) - 1, np.array(ids, np.int32).tobytes()))
         self.queries = {s: (np.array([i for i, _ in q]), _unit(np.array([v for _, v in q])).T.copy()) for s, q in queries.items()}
         self.longest = max((len(r[1]) for r in self.rows), default=0)
+        # (word, item, positions) of the shared items by word: word w has entries first[w] to first[w + 1]
+        entries = sorted((w, k, m.bit_count()) for k, i in enumerate(self.shared) for w, m in self.rows[i][2].items())
+        self.first = np.searchsorted([w for w, _, _ in entries], np.arange(len(self.content)))
+        self.of = np.array([k for _, k, _ in entries], np.int64)
+        self.times = np.array([c for _, _, c in entries], np.float64)
+        self.needed = np.array([least * len(self.rows[i][1]) - 1e-9 for i in self.shared])
 
     def check(self, item: int, region: list[int]) -> tuple[float, bool] | None:
         _, ids, masks, answer, n_answer = self.rows[item]
@@ -219,7 +232,9 @@ class Items:
         else:
             at = at[:0]
         for size, (items, vectors) in self.queries.items() if len(at) else ():
-            start = np.unique(np.append(np.arange(0, max(1, n - size + 1), size // 4), max(0, n - size)))
+            start = np.arange(0, max(1, n - size + 1), size // 4)
+            if start[-1] < n - size:
+                start = np.append(start, n - size)
             first, last = np.searchsorted(at, start), np.searchsorted(at, start + size)
             full = last - first >= self.p.min_content
             start, first, last = start[full], first[full], last[full]
@@ -237,6 +252,9 @@ class Items:
                 best = self.check(item, ids[lo:hi].tolist())
                 if best and (item not in found or best > found[item]):
                     found[item] = best
+        if self.shared:
+            for a in range(0, n, self.p.piece_words):
+                self._piece(ids, a, found)
         if self.plain:
             raw = ids.tobytes()
             for item, word_for_word in self.plain:
@@ -247,6 +265,42 @@ class Items:
                     found[item] = (1.0, True)
 
 
+    def _piece(self, ids: np.ndarray, a: int, found: dict[int, tuple[float, bool]]) -> None:
+        """Shared items at the windows that start in one piece: the words that an item has in common with the piece, then
+        their longest common subsequence, bound that of any window, so nothing is lost by looking at them first."""
+        b = min(len(ids), a + self.p.piece_words)
+        before = max(0, a - self.longest)
+        piece = ids[before : b + 64 + self.longest]
+        there = np.zeros(len(self.content), bool)
+        there[piece] = True
+        words = np.flatnonzero(there[:-1])
+        first, count = self.first[words], self.first[words + 1] - self.first[words]
+        total = int(count.sum())
+        if not total:
+            return
+        entry = np.arange(total) + np.repeat(first - (np.cumsum(count) - count), count)
+        common = np.bincount(self.of[entry], self.times[entry], len(self.shared))
+        near = np.flatnonzero(common >= self.needed)
+        if not len(near):
+            return
+        told = piece.tolist()
+        for k in near.tolist():
+            item = self.shared[k]
+            _, own, masks, _, _ = self.rows[item]
+            n, needed = len(own), self.needed[k]
+            if lcs(masks, n, told) < needed:
+                continue
+            size = window_size(n)
+            hits = np.concatenate(([0], np.cumsum([w in masks for w in told])))
+            for start in range(a, b, size // 4):
+                lo, hi = max(0, start - n) - before, min(start + size + n - before, len(told))
+                if hits[hi] - hits[lo] < needed:
+                    continue
+                best = self.check(item, told[lo:hi])
+                if best and (item not in found or best > found[item]):
+                    found[item] = best
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, p: LeakParams = LeakParams(), doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, key, item_id, lcs_share, answer_found) of each document and item that is in it; key is the hash of the
     document's text."""

@@ -59,6 +59,21 @@ def test_pii_terms_that_disclose(spark):
     assert all(not out[100 + i]["spans"] for i in range(400))
 
 
+def test_pii_terms_count_documents(spark):
+    """One signature line in many documents, and a term with few contexts in many documents."""
+    rng = random.Random(5)
+    say = lambda n: " ".join("".join(rng.choices("bcdfgaeiou", k=6)) for _ in range(n))
+    rows = [(i, f"{say(20)} some text\nZebulon at z@corp.example.com signs\n{say(20)}") for i in range(40)]
+    lines = [f"{say(5)} Quillon knows q@corp.example.com {say(5)}" for _ in range(3)]
+    rows += [(100 + i, f"{say(8)} {lines[i % 3]} {say(8)}") for i in range(40)]
+    rows += [(200 + i, say(20) + " at some text knows signs " + say(20)) for i in range(200)]
+    rows += [(500 + i, f"{say(8)} Rare r{i}@corp.example.com {say(8)}") for i in range(2)]
+    out = {r["doc_id"]: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("Zebulon" not in out[i]["sanitised"] and "signs" in out[i]["sanitised"] for i in range(40))
+    assert all("Quillon" not in out[100 + i]["sanitised"] and "knows" in out[100 + i]["sanitised"] for i in range(40))
+    assert all(not out[200 + i]["spans"] for i in range(200)) and "Rare" in out[500]["sanitised"]
+
+
 def test_secret_spans_match_brute_force(spark):
     some = texts("aF09 =:\"'AK", ["token: ", "API_KEY=", "secret", "AKIA" + "Z9" * 9, "deadbeef" * 3, "pass", "passwd=abc", "AKIA"], 600, 2)
     some += ["token: token: abcdefgh", "secret=token=abcdefghij", "", None, "0" * 23, "0" * 24]

@@ -1,8 +1,8 @@
 """Personal data: exact patterns, and terms that disclose the entities they stand beside.
 
 Protected entities are the values found by the patterns. Over the whole corpus, n(t) counts the documents with term
-t, n(e) those with entity e, and n(t, e) the distinct contexts in which t stands within ``context_words`` words of e
-(copies of one passage are one context). A term discloses e if it stands beside e in ``min_support`` contexts and
+t, n(e) those with entity e, and n(t, e) those in which t stands within ``context_words`` words of e (copies count in
+all three). A term discloses e if it stands beside e in ``min_support`` documents and
 its pointwise mutual information with e reaches ``disclosure`` of e's information content; in documents that hold e,
 all its occurrences are then spans of kind ``term``. Everything is column expressions and joins on keys.
 
@@ -93,11 +93,12 @@ def disclosing_terms(found: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
     """(entity, term, disclosure) from base_spans' result; counts cover the whole corpus."""
     t = F.col("_pii_text")
     spans = F.concat(*[F.col(f"_pii_{k}") for k in KINDS])
-    mentions = found.select("_pii_text", F.explode(spans).alias("s")).select(
-        F.col("s.value").alias("entity"), _near(t, F.col("s"), p).alias("terms")
+    # neither an entity nor a term has a line feed, and strings are told apart by hash where structs are not
+    beside = F.flatten(F.transform(spans, lambda s: F.transform(_near(t, s, p), lambda w: F.concat(s["value"], F.lit("\n"), w))))
+    mentions = found.select(F.explode(F.array_distinct(beside)).alias("both")).select(
+        F.substring_index("both", "\n", 1).alias("entity"), F.substring_index("both", "\n", -1).alias("term")
     )
-    contexts = mentions.select("entity", F.xxhash64("terms").alias("ctx"), F.explode(F.array_distinct("terms")).alias("term")).distinct()
-    joint = contexts.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= p.min_support)
+    joint = mentions.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= p.min_support)
     held = (
         found.select(F.explode(F.array_distinct(F.transform(spans, lambda s: s["value"]))).alias("entity"))
         .groupBy("entity")

@@ -132,6 +132,21 @@ def test_quality_verdict(spark):
     assert all(kept[i] for i in range(60)) and not kept[101]
 
 
+def test_quality_verdict_without_languages(spark):
+    rng = random.Random(2)
+    prose = lambda words: " ".join(rng.choice(words) if rng.random() < 0.5 else "".join(rng.choices("aeioulnrst", k=7)) for _ in range(150)) + "."
+    en, xx = "the of and to in a is that it was".split(), "og det er en som på til av at ikke".split()
+    junk = " ".join("".join(rng.choices("QXZ", k=6)) + "$$$" for _ in range(150))
+    schema = "doc_id long, text string, lang string"
+    kept = lambda rows, **k: {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(spark.createDataFrame(rows, schema), **k).collect()}
+    none = kept([(i, prose(en), None) for i in range(60)] + [(100, junk, None)])
+    assert all(none[i] for i in range(60)) and not none[100]
+    most = kept([(i, prose(xx), None) for i in range(60)] + [(60 + i, prose(en), "en") for i in range(3)] + [(100, junk, None)])
+    assert all(most[i] for i in range(63)) and not most[100]
+    empty = quality_rules.fit_references(spark.createDataFrame([], schema))
+    assert kept([(1, prose(en), "en")], references=empty) == {1: True}
+
+
 @pytest.mark.parametrize("run", [lambda d: quality_rules.quality_rules(d), lambda d: pii.sanitise(d), lambda d: secrets.find_secrets(d, [0.0] * len(secrets.ALPHABET) ** 2), lambda d: license_scan.scan_licenses(d.withColumn("path", F.col("source")))])
 def test_empty_tables_and_clashing_columns(spark, run):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, start long, kind string")

@@ -2,10 +2,11 @@
 
 A document's character-class and common-word histograms are compared, by Jensen-Shannon divergence, with
 references of its language that are gathered over all documents. Languages beyond ``max_languages`` (the most
-frequent are kept, so the broadcast reference has a fixed bound) and null languages use the pooled reference.
+frequent are kept, so the broadcast reference has a fixed bound) and null languages use the pooled reference, which
+counts all documents, those of null language too.
 
 Defined cases: null text counts as empty (no words, base_failed, not kept); documents below ``min_words`` are
-outside the guard and pass the divergence rule; ties and repeated rows are each judged on their own; an empty table
+outside the guard and pass the divergence rule, as do those whose reference has nothing to compare with; ties and repeated rows are each judged on their own; an empty table
 gives an empty result; other columns pass through untouched by name (inner columns are prefixed with ``_qr_``).
 """
 
@@ -123,25 +124,23 @@ def fit_references(docs: DataFrame, p: QualityParams = QualityParams(), text: st
     """
     d = docs.select(F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     own = (
-        d.where(F.col("lang").isNotNull())
-        .groupBy("lang")
+        d.groupBy("lang")
         .agg(F.count("*").alias("docs"), *[F.sum(_count(F.col("t"), c)).alias(k) for k, c in CLASSES.items()], F.sum(F.length("t")).alias("chars"))
     )
     own = written(own, "class-counts")
     pooled = own.agg(F.lit(POOLED).alias("lang"), *[F.sum(c).alias(c) for c in ("docs", *CLASSES, "chars")])
-    kept = own.orderBy(F.desc("docs"), "lang").limit(p.max_languages)
+    kept = own.where(F.col("lang").isNotNull()).orderBy(F.desc("docs"), "lang").limit(p.max_languages)
     chars = kept.unionByName(pooled.where(F.col("docs").isNotNull()))
     known = sum((F.col(k) for k in CLASSES), F.lit(0))
     chars = chars.select("lang", F.array(*[F.col(k).cast("double") for k in CLASSES], (F.col("chars") - known).cast("double")).alias("char_hist"))
     counts = (
-        d.where(F.col("lang").isNotNull())
-        .select("lang", F.explode(_short_words(F.col("t"), p)).alias("w"))
+        d.select("lang", F.explode(_short_words(F.col("t"), p)).alias("w"))
         .groupBy("lang", "w")
         .agg(F.count("*").alias("n"))
     )
     counts = written(counts, "word-counts")
     everywhere = counts.groupBy("w").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "w", "n")
-    counts = counts.unionByName(everywhere)
+    counts = counts.where(F.col("lang").isNotNull()).unionByName(everywhere)
     top = (
         counts.withColumn("part", F.pmod(F.xxhash64("w"), F.lit(RANK_PARTS)))
         .withColumn("rk", F.row_number().over(Window.partitionBy("lang", "part").orderBy(F.desc("n"), "w")))
@@ -213,7 +212,7 @@ def quality_rules(docs: DataFrame, p: QualityParams = QualityParams(), text: str
     df = df.withColumn("word_divergence", js_divergence(F.col("_qr_hist"), F.col("_qr_hist_n"), F.col("_qr_ref_hist")))
     guarded = F.col("n_words") < p.min_words
     fine = (F.coalesce(F.col("char_divergence"), F.lit(0.0)) <= p.max_char_divergence) & (
-        F.coalesce(F.col("word_divergence"), F.lit(1.0)) <= p.max_word_divergence
+        (F.size(common) == 0) | (F.coalesce(F.col("word_divergence"), F.lit(1.0)) <= p.max_word_divergence)
     )
     df = df.withColumn("kept", computed_once(~F.col("base_failed") & (guarded | fine)))
     return df.select(

@@ -166,3 +166,11 @@ def test_licences_and_inheritance(spark):
     by = {r["path"]: (r["license"], r["origin"]) for r in got}
     assert len(got) == len(rows)
     assert by["a/b/x.py"] == ("MIT", "inherited") and by["a/b/c/d/y"] == ("GPL-3.0", "inherited") and by["z/own.txt"] == ("MIT", "own") and by["z/q"] == (None, "none")
+
+
+def test_licences_in_wrapped_headers(spark):
+    mpl = "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at https://mozilla.org/MPL/2.0/.\n\nimport x\n"
+    gpl = "/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License version 3 as\n * published by the Free Software Foundation\n */\nint x;\n"
+    rows = [("m/a.js", mpl), ("g/b.c", gpl), ("z/q", "nothing\nat all"), ("w/x", "one line\nReleased under the MIT\nLicense.\n")] + [(f"p/{i}", f"some copyright words number {i}.") for i in range(30)]
+    by = {r["path"]: r["license"] for r in license_scan.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert by["m/a.js"] == "MPL-2.0" and by["g/b.c"] == "GPL-3.0" and by["z/q"] is None and all(by[f"p/{i}"] is None for i in range(30))

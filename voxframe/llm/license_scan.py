@@ -1,10 +1,11 @@
 """Licence scans: sparse TF-IDF cosine of licence statements to templates, and inheritance from directories.
 
-Every sentence or line of a file that names licences, copyright or permissions is a statement. Its TF-IDF vector is
-compared with those of the templates; the best cosine from ``min_cosine`` on names the file's own licence. Inverse
-document frequencies of the templates' words are counted over all statements of the corpus (other words count as
+Every sentence or line of a file that names licences, copyright or permissions is a statement, and so is every block
+of consecutive lines that does (comment marks stripped, lines joined), every sentence of such a block, and the whole
+of a file with a licence file's name. Its TF-IDF vector is compared with those of the templates; the best cosine from ``min_cosine`` on names the file's own licence. Inverse
+document frequencies of the templates' words are counted over all sentences and lines of the corpus (other words count as
 rare). A file is a licence file if its name says so or at least ``min_file_share`` of its words are matching
-statements; its licence holds for its directory. Files without a licence of their own take that of the nearest
+statements of one sort; its licence holds for its directory. Files without a licence of their own take that of the nearest
 ancestor directory that has one. Everything is column expressions, one small aggregate and joins on directories.
 
 Defined cases: a null path or text counts as empty (no directory, no statement); repeated rows each get their result;
@@ -81,6 +82,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
 }
 CLUES = ("licen", "copyright", "spdx", "redistribut", "permission", "public domain")
+#: Comment marks at both ends of a line.
+MARKS = r"(?m)^[ \t]*(?:<!--+|/?\*+/?|//+|#+|--+|;+|%+)?[ \t]*|[ \t]*(?:\*+/|--+>)?[ \t\r]*$"
 FILE_NAME = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
 WORD = r"[a-z0-9]+"
 
@@ -108,6 +111,12 @@ def statements(text: Column) -> Column:
     return F.when(_clue(F.lower(text)), parts).otherwise(F.array().cast("array<string>"))
 
 
+def blocks(text: Column) -> Column:
+    """Runs of lines without an empty one that have a clue, comment marks stripped, each as one line."""
+    parts = F.transform(F.split(F.regexp_replace(text, MARKS, ""), r"\n{2,}", -1), lambda b: F.regexp_replace(b, r"\n", " "))
+    return F.when(_clue(F.lower(text)), F.filter(parts, lambda b: _clue(F.lower(b)))).otherwise(F.array().cast("array<string>"))
+
+
 def inverse_frequencies(files: DataFrame, text: str = "text") -> dict[str, float]:
     """ln(1 + statements / statements with the word) of each template word, over all files; "" is that of other words."""
     words = sorted({w for some in TEMPLATES.values() for t in some for w in re.findall(WORD, t.lower())})
@@ -147,18 +156,29 @@ def best_template(statement: Column, idf: dict[str, float]) -> Column:
     return F.transform(F.array(_terms(statement)), compared)[0]
 
 
+def _as_sort(i: int):
+    return lambda x: F.struct(F.lit(i).alias("sort"), x.alias("s"))
+
+
+def _added(i: int):
+    return lambda a, x: a + F.when(x["sort"] == i, x["n"]).otherwise(0)
+
+
 def scan_licenses(files: DataFrame, p: LicenseParams = LicenseParams(), path: str = "path", text: str = "text") -> DataFrame:
     """files plus license, cosine, origin (own, inherited, none) and licensed_by (the path it comes from)."""
     idf = inverse_frequencies(files, text)
     t = F.coalesce(F.col(text), F.lit(""))
-    df = files.withColumn("_lic_path", F.coalesce(F.col(path), F.lit(""))).withColumn("_lic_said", statements(t))
+    df = files.withColumn("_lic_path", F.coalesce(F.col(path), F.lit(""))).withColumn("_lic_blocks", blocks(t))
+    named = F.regexp_extract("_lic_path", r"([^/]*)$", 1).rlike(FILE_NAME)
+    whole = F.when(named & (F.size("_lic_blocks") > 0), F.array(t)).otherwise(F.array().cast("array<string>"))
+    sorts = (statements(t), F.flatten(F.transform("_lic_blocks", statements)), F.col("_lic_blocks"), whole)
+    df = df.withColumn("_lic_said", F.concat(*[F.transform(s, _as_sort(i)) for i, s in enumerate(sorts)]))
     said = F.col("_lic_said")
-    df = df.withColumn("_lic_scores", F.when(F.size(said) > 0, F.transform(said, lambda s: F.struct(best_template(s, idf).alias("b"), F.size(_terms(s)).alias("n")))))
+    df = df.withColumn("_lic_scores", F.when(F.size(said) > 0, F.transform(said, lambda s: F.struct(best_template(s["s"], idf).alias("b"), F.size(_terms(s["s"])).alias("n"), s["sort"].alias("sort")))))
     scores = F.filter("_lic_scores", lambda x: x["b"]["cosine"] >= p.min_cosine)
     best = F.reduce(scores, F.struct(F.lit(0.0).alias("cosine"), F.lit(None).cast("string").alias("license")), lambda a, x: F.when(x["b"]["cosine"] > a["cosine"], x["b"]).otherwise(a))
     df = df.withColumn("_lic_scores", scores).withColumn("_lic_best", best)
-    share = F.aggregate("_lic_scores", F.lit(0), lambda a, x: a + x["n"])
-    named = F.regexp_extract("_lic_path", r"([^/]*)$", 1).rlike(FILE_NAME)
+    share = F.greatest(*[F.aggregate("_lic_scores", F.lit(0), _added(i)) for i in range(len(sorts))])
     df = df.select(
         *files.columns,
         "_lic_path",

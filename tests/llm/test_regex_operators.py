@@ -97,6 +97,18 @@ def test_markov_model_on_held_out_strings(spark):
     assert r["n_markov"] == 1 and rand[0] not in r["redacted"] and ordinary[0] in r["redacted"]
 
 
+def test_markov_model_on_strings_without_digits(spark):
+    model = secrets.train(secrets.random_samples(spark, 2000).unionByName(secrets.identifier_samples(spark, 2000)))
+    rng = random.Random(9)
+    rand = ["".join(rng.choice(secrets.ALPHABET[:52]) for _ in range(rng.choice([16, 20, 32]))) for _ in range(200)]
+    ordinary = ["".join(map(str.capitalize, rng.choices(secrets.PARTS, k=5))) for _ in range(100)] + ["_".join(rng.choices(secrets.PARTS, k=5)) for _ in range(100)]
+    ordinary += ["-" * 40, "=" * 16, "/" * 20, "-" * 30 + "Title", "internationalization", "Donaudampfschifffahrtsgesellschaft"]
+    rows = [(i, f"see {x} here") for i, x in enumerate(rand + ordinary)]
+    out = {r["doc_id"]: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert sum(out[i]["n_markov"] == 1 and rand[i] not in out[i]["redacted"] for i in range(200)) >= 190
+    assert all(not out[200 + i]["spans"] for i in range(len(ordinary)))
+
+
 def brute_quality(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
     where = {}

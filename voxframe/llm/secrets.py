@@ -26,8 +26,8 @@ PATTERNS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX}
 KINDS = tuple(PATTERNS)
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _IN = r"A-Za-z0-9+/_=\-"
-#: Runs of the alphabet with a digit in them.
-TOKEN = rf"(?<![{_IN}])(?=[A-Za-z+/_=\-]*+[0-9])[{_IN}]{{16,}}+"
+#: Runs of the alphabet; without a digit, not those that are or hold a ruled line (four equal separators on end).
+TOKEN = rf"(?<![{_IN}])(?=[{_IN}]{{16}})(?=[A-Za-z+/_=\-]*+[0-9]|(?![{_IN}]*?([+/_=\-])\1{{3}}))[{_IN}]{{16,}}+"
 #: Parts of ordinary identifiers.
 PARTS = (
     "get set is has user name id config path file index count value key list map data node item type size buffer error "

@@ -96,6 +96,67 @@ def test_icws_agrees_as_often_as_the_texts():
         assert abs(float(np.mean(x == y)) - true) < (0.05 if not binned else 0.15)
 
 
+def brute_classes(texts, p):
+    """Least index of the component of each text under all pairs of weighted similarity p.similarity or more."""
+    sk, n = np.zeros((2, p.sketch_width), np.int64), len(texts)
+    made = [near_dedup.shingles(t, p.words) for t in texts]
+    for h, _ in made:
+        for row, cell in enumerate(near_dedup._cells(h, p.sketch_width)):
+            np.add.at(sk[row], cell, 1)
+    made = [(h, near_dedup.weights(h, tf, sk, n, p)) for h, tf in made]
+    least = list(range(n))
+
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for i in range(n):
+        for j in range(i):
+            if near_dedup.similarity(made[i], made[j])[0] >= p.similarity:
+                a, b = sorted((root(i), root(j)))
+                least[b] = a
+    return [root(i) for i in range(n)]
+
+
+def test_near_duplicates_of_one_stem_match_brute_force(spark):
+    """Copies at all distances from one text, edits that several share, excerpts and many exact copies."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("bcdfgaeiou") for _ in range(6))
+    base = [word() for _ in range(110)]
+    edits = [(rng.randrange(110), word()) for _ in range(12)]
+    texts = []
+    for _ in range(160):
+        t = list(base)
+        for _ in range(rng.randint(0, 5)):
+            at, w = rng.choice(edits) if rng.random() < 0.6 else (rng.randrange(110), word())
+            t[at] = w
+        a = rng.choice((0, 0, 0, 10, 20, 30))
+        texts.append(" ".join(t[a : 110 - rng.choice((0, 0, 5, 15))]))
+    texts += [texts[0]] * 60
+    want = brute_classes(texts, near_dedup.NearParams())
+    assert 10 < len(set(want)) < 150
+    schema = "doc_id long, text string, component long, node long, class_id string, key int, u int, n long"
+    docs = spark.createDataFrame([(i, t, i, i, "x", 1, 2, 3) for i, t in enumerate(texts)], schema)
+    out = near_dedup.near_duplicates(docs)
+    got = {r["doc_id"]: (r["class_id"], r["n_class"]) for r in out.collect()}
+    assert [got[i][0] for i in range(len(texts))] == want
+    assert all(got[i][1] == want.count(want[i]) for i in got)
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
+
+
+def test_differences_tell_what_two_texts_share():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        h = np.unique(rng.integers(1, 2**63, 80, dtype=np.uint64) << np.uint64(1))
+        lead, x, y = ((h[m], rng.uniform(0.5, 3, m.sum())) for m in (rng.random(len(h)) < 0.7 for _ in range(3)))
+        (ex, dx), (ey, dy) = near_dedup.differences(lead, x), near_dedup.differences(lead, y)
+        common = near_dedup.similarity((ex, dx), (ey, dy))[1]
+        less = [d[e & np.uint64(1) == 0].sum() for e, d in ((ex, dx), (ey, dy))]
+        assert abs(lead[1].sum() - sum(less) + common - near_dedup.similarity(x, y)[1]) < 1e-9
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -8,16 +8,19 @@
   below ``split_weight`` draw each sample from all their shingles; longer texts deal their shingles to as many bins
   by hash and draw one sample from each bin (an empty bin takes its right neighbour's). Texts near the border are
   sampled both ways, so that no pair within the similarity is missed for it.
-* Texts that agree in a band meet in a bucket. In each bucket the text with the most company in its buckets is compared
-  with the others; once the links are contracted to components, texts of one bucket in different components are
-  compared too, unless that is ruled out by what they share with the bucket's first text (they share at most the lesser
-  of those weights and the lesser of what is left of their own) or by their samples, of which too many differ
-  (``differ_steps``). Every link is verified by the weighted Jaccard similarity of the whole
-  texts. Exact copies are one text throughout.
+* Texts that agree in a band meet in a bucket. In each bucket the text with the most company in its buckets, its
+  leader, is compared with the others, and links are contracted to components. Texts of one leader in different components
+  can still be alike; which of them is told exactly by their differences from the leader (``common_needed``): two
+  texts that are not both linked to the leader can only reach the similarity if they share differences of a certain
+  weight, so each brings its rarest differences up to that weight and only texts that share one of these are compared.
+  No pair of one leader's texts within the similarity is passed over, and texts that merely stem from one source are not
+  compared with each other.
+* Every link is verified by the weighted Jaccard similarity of the whole texts. Exact copies are one text throughout.
 
 Defined cases: null text counts as empty; texts without a word are classes of their own; repeated rows fall in one
 class; class_id is the least doc_id in the class (null if all are null); an empty table gives an empty result; other
-columns pass through (inner columns are prefixed ``_nd_``).
+columns pass through (inner columns are prefixed ``_nd_``), but for columns that have the name of a result column (class_id,
+n_class, class_key), which are replaced.
 """
 
 from __future__ import annotations
@@ -30,13 +33,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxframe.llm.arrays import array_sum
 from voxframe.operators.components import connected_components
-from voxframe.operators.keys import dealt_anew
-from voxframe.storage import prepare, written
+from voxframe.operators.keys import attach, dealt_anew
+from voxframe.storage import discard, prepare, written
 
 _U = np.uint64
 WORD = re.compile(r"[^\W_]+")
@@ -54,10 +57,6 @@ class NearParams:
     df_floor: float = 0.1
     sketch_width: int = 1 << 16
     split_weight: float = 128.0
-    #: Texts of one bucket that were not compared with its first text are compared with each other if at most so many of
-    #: their samples differ in their last four bits. Of 144, at the similarity 0.8, 27 do (standard deviation 4.7), and
-    #: more than 43 in about one pair of 4,000. With several steps, texts that one step joins are left out of the next.
-    differ_steps: tuple[int, ...] = (43,)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -143,24 +142,23 @@ def samples(h: np.ndarray, w: np.ndarray, k: int, binned: bool) -> np.ndarray:
     return own[take]
 
 
-def signatures(h: np.ndarray, w: np.ndarray, p: NearParams) -> list[tuple[bool, np.ndarray, np.ndarray]]:
-    """(binned, band keys, four bits of each sample, 16 to a word) for each way in which the text is sampled."""
+def signatures(h: np.ndarray, w: np.ndarray, p: NearParams) -> list[np.ndarray]:
+    """Band keys for each way in which the text is sampled."""
     total, rare, out = w.sum(), math.log(1 + 1 / p.df_floor), []
     for binned in (False, True):
         if total < p.split_weight * rare if not binned else total >= p.similarity * p.split_weight * rare:
-            s = samples(h, w, p.bands * p.rows, binned)
-            nibbles = np.zeros(-(-len(s) // 16) * 16, np.uint64)
-            nibbles[: len(s)] = s & _U(15)
-            sketch = (nibbles.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * _U(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
-            s = s.reshape(p.bands, p.rows)
+            s = samples(h, w, p.bands * p.rows, binned).reshape(p.bands, p.rows)
             key = np.arange(p.bands, dtype=np.uint64) * _U(2) + _U(binned)
             for j in range(p.rows):
                 key = _mix(key * _U(0x9E3779B97F4A7C15) + s[:, j])
-            out.append((binned, key.view(np.int64), sketch))
+            out.append(key.view(np.int64))
     return out
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
+Weighed = tuple[np.ndarray, np.ndarray]
+
+
+def similarity(a: Weighed, b: Weighed) -> tuple[float, float]:
     """Weighted Jaccard of two (ascending hashes, weights), and the weight that they share."""
     if not len(a[0]) or not len(b[0]):
         return 0.0, 0.0
@@ -170,113 +168,158 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(low / (a[1].sum() + b[1].sum() - low)), float(low)
 
 
-def _nibbles(x: Column) -> Column:
-    """Number of four-bit groups of a word that are not zero."""
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+def differences(a: Weighed, b: Weighed) -> Weighed:
+    """What b has less and more than a, as (signed shingle keys, weights): the last bit of a key tells more from less."""
+    keys = np.union1d(a[0], b[0])
+    change = np.zeros(len(keys))
+    change[np.searchsorted(keys, b[0])] += b[1]
+    change[np.searchsorted(keys, a[0])] -= a[1]
+    some = np.abs(change) > 1e-12
+    return (keys[some] & ~_U(1)) | (change[some] > 0).astype(np.uint64), np.abs(change[some])
 
 
-def near_duplicates(docs: DataFrame, p: NearParams = NearParams(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs plus class_id, n_class (the number of rows in the class) and class_key (a hash that is the class's own)."""
+def common_needed(gap_x: Column, gap_y: Column, leader: Column, p: NearParams) -> Column:
+    """Weight of common differences from their leader without which x and y cannot reach the similarity t.
+
+    With weights X, Y and L of both texts and their leader, x shares L - less(x) with it. Then x and y share
+    L - less(x) - less(y) + (weight of their common differences), which is t (X + Y) / (1 + t) at least if they are
+    alike. With gap(x) = t (X + L) / (1 + t) - (L - less(x)), which is above 0 unless x is linked to the leader, the
+    common differences weigh at least gap(x) + gap(y) + L (1 - t) / (1 + t), and that is above 0 if either gap is.
+    """
+    return (gap_x + gap_y + leader * ((1 - p.similarity) / (1 + p.similarity))) * (1 - 1e-9) - 1e-9
+
+
+def _links(docs: DataFrame, keys: DataFrame, p: NearParams, text: str) -> tuple[DataFrame, DataFrame]:
+    """Components (node, component) of the distinct texts that share a bucket, and the verified links (u, v) among them."""
     spark = docs.sparkSession
-    prepare(spark)
     sketch, total = frequency_sketch(docs, p, text)
     shared = spark.sparkContext.broadcast((sketch, total))  # fixed size
-    source = docs.withColumn("_nd_key", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn("_nd_id", F.col(doc_id).cast("long"))
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def weighed(t: str) -> Weighed:
         sk, n = shared.value
+        h, tf = shingles(t, p.words)
+        return h, weights(h, tf, sk, n, p)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h, tf = shingles(t, p.words)
+                h, w = weighed(t)
                 if len(h):
-                    w = weights(h, tf, sk, n, p)
-                    rows += [(key, float(w.sum()), *x) for x in signatures(h, w, p)]
-            kinds = (pa.int64(), pa.float64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["key", "w", "binned", "bands", "sketch"])
-
-    signed = written(source.select("_nd_key", text).mapInArrow(sign, "key long, w double, binned boolean, bands array<long>, sketch array<long>"), "signatures")
-    buckets = signed.select("key", "w", "binned", F.explode("bands").alias("band")).distinct()
+                    rows += [(key, x) for x in signatures(h, w, p)]
+            columns = zip(*rows, strict=True) if rows else [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.list_(pa.int64())), strict=True)], ["key", "bands"])
+
+    signed = written(docs.select("_nd_key", text).mapInArrow(sign, "key long, bands array<long>"), "signatures")
+    buckets = signed.select("key", F.explode("bands").alias("band")).distinct()
     shared_bands = buckets.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
-    met = written(buckets.join(shared_bands, "band").select("band", "key", "w", "binned", "c"), "buckets")
+    met = written(buckets.join(shared_bands, "band").select("band", "key", "c"), "buckets")
+    discard(signed)
     company = met.groupBy("key").agg(F.sum("c").alias("company"))
     best = F.max(F.struct("company", "key"))
-    centers = met.select("band", "key").join(company, "key").groupBy("band").agg(best.alias("m")).select("band", F.col("m.key").alias("center"))
-    met = written(met.drop("c").join(centers, "band"), "buckets")
-    pairs = written(met.where("key <> center").select(F.col("center").alias("a"), F.col("key").alias("b")).distinct(), "star-pairs")
+    leaders = met.select("band", "key").join(company, "key").groupBy("band").agg(best.alias("m")).select(dealt_anew("band"), F.col("m.key").alias("leader"))
+    stars = written(met.select("band", "key").join(leaders, "band").where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct(), "star-pairs")
 
     ids = met.select("key").distinct()
-    chosen = source.select("_nd_key", "_nd_id").groupBy("_nd_key").agg(F.min("_nd_id").alias("_nd_first"))
-    texts = source.select("_nd_key", "_nd_id", F.col(text).alias("t")).join(chosen.join(ids, chosen["_nd_key"] == ids["key"]).select("key", "_nd_first"), (F.col("_nd_key") == F.col("key")) & F.col("_nd_id").eqNullSafe(F.col("_nd_first")))
-    texts = written(texts.select("key", "t"), "bucket-texts")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sk, n = shared.value
-
-        def prepared(t: str) -> tuple[np.ndarray, np.ndarray]:
-            h, tf = shingles(t, p.words)
-            return h, weights(h, tf, sk, n, p)
-
-        last, left = None, (np.zeros(0, np.uint64), np.zeros(0))
-        for batch in batches:
-            a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
-            found = []
-            for i in range(len(a)):
-                if a[i] != last:
-                    last, left = a[i], prepared(x[i])
-                found.append(similarity(left, prepared(y[i])))
-            values = zip(*found, strict=True) if found else [[], []]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, pa.float64()) for x in values]], ["u", "v", "s", "low"])
-
-    def verified(some: DataFrame, name: str) -> DataFrame:
+    first = keys.join(ids, F.col("_nd_key") == F.col("key")).select(F.col("_nd_key").alias("_nd_of"), F.col("_nd_first").alias("_nd_from"))
+    texts = docs.select("_nd_key", "_nd_id", F.col(text).alias("t")).join(first, (F.col("_nd_key") == F.col("_nd_of")) & F.col("_nd_id").eqNullSafe(F.col("_nd_from")))
+    texts = written(texts.select(F.col("_nd_key").alias("key"), "t").dropDuplicates(["key"]), "bucket-texts")
+    ids = texts.select("key")
+
+    def compare(with_differences: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, left = None, (np.zeros(0, np.uint64), np.zeros(0))
+            for batch in batches:
+                a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                values, what, much = [], [], []
+                for i in range(len(a)):
+                    if a[i] != last:
+                        last, left = a[i], weighed(batch.column(2)[i].as_py())
+                    right = weighed(batch.column(3)[i].as_py())
+                    s, low = similarity(left, right)
+                    values.append((s, low, float(left[1].sum()), float(right[1].sum())))
+                    if with_differences:
+                        e, d = differences(left, right)
+                        what.append(e.view(np.int64))
+                        much.append(d)
+                columns = [batch.column(0), batch.column(1), *[pa.array([x[j] for x in values], pa.float64()) for j in range(4)]]
+                names = ["u", "v", "s", "low", "wu", "wv"]
+                if with_differences:
+                    columns += [pa.array(what, pa.list_(pa.int64())), pa.array(much, pa.list_(pa.float64()))]
+                    names += ["e", "d"]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+        return run
+
+    def verified(pairs: DataFrame, name: str, with_differences: bool = False) -> DataFrame:
         one, two = texts.select(F.col("key").alias("_a"), F.col("t").alias("x")), texts.select(F.col("key").alias("_b"), F.col("t").alias("y"))
-        joined = some.join(two, some["b"] == two["_b"]).select("a", "b", "y")
+        joined = pairs.join(two, pairs["b"] == two["_b"]).select("a", "b", "y")
         joined = joined.join(one, joined["a"] == one["_a"]).select("a", "b", "x", "y")
-        return written(joined.mapInArrow(verify, "u long, v long, s double, low double").distinct(), name)
+        schema = "u long, v long, s double, low double, wu double, wv double" + (", e array<long>, d array<double>" if with_differences else "")
+        return written(joined.mapInArrow(compare(with_differences), schema), name)
 
-    stars = verified(pairs, "stars")
-    links = stars.where(F.col("s") >= p.similarity).select("u", "v")
-    met = met.join(stars.select("u", "v", "low"), (met["center"] == F.col("u")) & (met["key"] == F.col("v")), "left")
-    met = written(met.select("band", "key", "w", "binned", F.coalesce("low", "w").alias("low")), "placed")
+    compared = verified(stars, "stars", True)
+    links = compared.where(F.col("s") >= p.similarity).select("u", "v")
     loops = ids.select(F.col("key").alias("u"), F.col("key").alias("v"))
     parts = written(connected_components(links.union(loops)), "components")
-    tested, sketches = pairs, signed.select("key", "binned", "sketch", "bands").distinct()
-    for allowed in p.differ_steps:
-        placed = met.join(parts, met["key"] == parts["node"]).select("band", "key", "w", "binned", "low", "component")
-        split = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-        open_rows = placed.join(split, "band").join(sketches, ["key", "binned"]).withColumn("place", F.array_position("bands", F.col("band")))
-        open_rows = written(open_rows, "open-buckets")
-        one = open_rows.select("band", F.col("key").alias("a"), F.col("w").alias("wa"), F.col("component").alias("ca"), F.col("sketch").alias("sa"), F.col("bands").alias("ba"), "place", F.col("low").alias("la"))
-        two = open_rows.select("band", F.col("key").alias("b"), F.col("w").alias("wb"), F.col("component").alias("cb"), F.col("sketch").alias("sb"), F.col("bands").alias("bb"), F.col("low").alias("lb"))
-        differ = sum((_nibbles(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(-(-p.bands * p.rows // 16))), F.lit(0))
-        first = F.coalesce(*[F.when(F.col("ba")[i] == F.col("bb")[i], i + 1) for i in range(p.bands)])  # one row a pair
-        most = F.least("la", "lb") + F.least(F.col("wa") - F.col("la"), F.col("wb") - F.col("lb"))
-        close = (F.col("ca") < F.col("cb")) & (first == F.col("place")) & (differ <= allowed) & (most >= (F.col("wa") + F.col("wb") - most) * (p.similarity - 1e-9))
-        rest = one.join(two, "band").where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        rest = written(rest, "rest-pairs")
-        more = written(verified(rest, "rest").where(F.col("s") >= p.similarity).select("u", "v"), "rest-links")
-        if not more.isEmpty():
-            links = links.union(more)
-            parts = written(connected_components(links.union(loops)), "components")
-        tested = tested.union(rest)
-    keyed = parts.select("node", "component")
+
+    share = p.similarity / (1 + p.similarity)
+    of_leader = parts.select(F.col("node").alias("u"), F.col("component").alias("cu"))
+    of_text = parts.select(F.col("node").alias("v"), F.col("component").alias("cv"))
+    open_leaders = compared.select("u", "v").join(of_text, "v").join(of_leader, "u").where("cu <> cv").select("u").distinct()
+    members = compared.join(open_leaders.select(dealt_anew("u")), "u", "left_semi").join(of_text, "v").join(of_leader.select(dealt_anew("u"), "cu"), "u")
+    members = written(members.select("u", "v", "cv", (F.col("cv") != F.col("cu")).alias("apart"), "wu", ((F.col("wu") + F.col("wv")) * share - F.col("low")).alias("gap"), "e", "d"), "members")
+    least = members.groupBy("u").agg(F.min("gap").alias("least"), F.min(F.when(F.col("apart"), F.col("gap"))).alias("least_apart")).select(dealt_anew("u"), "least", "least_apart")
+    needs = common_needed(F.col("gap"), F.when(F.col("apart"), F.col("least")).otherwise(F.col("least_apart")), F.col("wu"), p)
+    each = members.join(least, "u").select("u", "v", "cv", "apart", "wu", "gap", needs.alias("needs"), F.explode(F.arrays_zip("e", "d")).alias("x"))
+    each = each.select("u", "v", "cv", "apart", "wu", "gap", "needs", "x.e", "x.d")
+    often = members.select("u", F.explode("e").alias("e")).groupBy("u", "e").agg(F.count("*").alias("c")).where("c > 1").select(dealt_anew("u"), "e", "c")
+    known = each.join(often, ["u", "e"])
+    rarest = Window.partitionBy("u", "v").orderBy(F.desc("c"), F.desc("e")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    brought = known.withColumn("rest", F.sum("d").over(rarest)).where("rest >= needs").select("u", "e", "v", "cv", "apart", "wu", "gap", "rest")
+    brought = written(brought, "brought")
+    one = brought.where("apart").select("u", "e", "wu", F.col("v").alias("a"), F.col("cv").alias("ca"), F.col("gap").alias("ga"), F.col("rest").alias("ra"))
+    two = brought.select("u", "e", F.col("v").alias("b"), F.col("cv").alias("cb"), F.col("gap").alias("gb"), F.col("rest").alias("rb"))
+    alike = (F.col("ca") != F.col("cb")) & (F.least("ra", "rb") >= common_needed(F.col("ga"), F.col("gb"), F.col("wu"), p))
+    rest = one.join(two, ["u", "e"]).where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = written(rest.join(stars, ["a", "b"], "left_anti"), "rest-pairs")
+    more = written(verified(rest, "rest").where(F.col("s") >= p.similarity).select("u", "v"), "rest-links")
+    if not more.isEmpty():
+        links = links.union(more)
+        parts = written(connected_components(links.union(loops)), "components")
+    return parts, links
+
+
+def _classified(docs: DataFrame, p: NearParams, doc_id: str, text: str) -> DataFrame:
+    """docs plus _nd_class_id, _nd_n_class and _nd_class_key."""
+    prepare(docs.sparkSession)
+    source = docs.withColumn("_nd_key", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn("_nd_id", F.col(doc_id).cast("long"))
+    keys = written(source.groupBy("_nd_key").agg(F.min("_nd_id").alias("_nd_first"), F.count("*").alias("_nd_held")), "text-keys")
+    parts, _ = _links(source, keys, p, text)
+    placed = keys.join(parts, F.col("_nd_key") == F.col("node"), "left").select("_nd_key", "_nd_first", "_nd_held", F.coalesce("component", "_nd_key").alias("_nd_of"))
+    placed = written(placed, "placed-texts")
+    size = F.sum("_nd_held").alias("_nd_n")
+    classes = written(placed.groupBy(F.col("_nd_of").alias("_nd_at")).agg(F.min("_nd_first").alias("_nd_least"), size, F.count("*").alias("_nd_texts")), "classes")
+    known = attach(placed.select(F.col("_nd_key").alias("_nd_text"), "_nd_held", "_nd_of"), classes, "_nd_of", "_nd_at", "_nd_texts", F.xxhash64("_nd_text"))
+    known = written(known.select("_nd_text", "_nd_held", "_nd_of", "_nd_least", "_nd_n"), "known-texts")
+    out = attach(source, known, "_nd_key", "_nd_text", "_nd_held", F.xxhash64("_nd_id"))
     wordless = ~F.lower(F.coalesce(F.col(text), F.lit(""))).rlike(r"[\p{L}\p{N}]")
-    out = source.withColumn("_nd_wordless", wordless).join(keyed, F.col("_nd_key") == F.col("node"), "left")
-    out = out.withColumn("_nd_of", F.when(F.col("_nd_wordless"), F.xxhash64(F.lit("wordless"), "_nd_key", "_nd_id")).otherwise(F.coalesce("component", "_nd_key")))
-    by_text = source.select("_nd_key", "_nd_id").join(keyed, F.col("_nd_key") == F.col("node"), "left").withColumn("_nd_class", F.coalesce("component", "_nd_key"))
-    classes = by_text.groupBy("_nd_class").agg(F.min("_nd_id").alias("class_id"), F.count("*").alias("n_class")).select(dealt_anew("_nd_class"), "class_id", "n_class")
-    return out.join(classes, F.col("_nd_of") == F.col("_nd_class"), "left").select(
+    return out.select(
         *docs.columns,
-        F.when(F.col("_nd_wordless"), F.col("_nd_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(F.col("_nd_wordless"), F.lit(1).cast("long")).otherwise(F.col("n_class")).alias("n_class"),
-        F.col("_nd_of").alias("class_key"),
+        F.when(wordless, F.col("_nd_id")).otherwise(F.col("_nd_least")).alias("_nd_class_id"),
+        F.when(wordless, F.lit(1).cast("long")).otherwise(F.col("_nd_n")).alias("_nd_n_class"),
+        F.when(wordless, F.xxhash64(F.lit("wordless"), "_nd_key", "_nd_id")).otherwise(F.col("_nd_of")).alias("_nd_class_key"),
     )
 
 
+def near_duplicates(docs: DataFrame, p: NearParams = NearParams(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs plus class_id, n_class (the number of rows in the class) and class_key (a hash that is the class's own)."""
+    found = _classified(docs, p, doc_id, text)
+    names = ("class_id", "n_class", "class_key")
+    return found.select(*[c for c in docs.columns if c.lower() not in names], *[F.col(f"_nd_{c}").alias(c) for c in names])
+
+
 def keep_one(docs: DataFrame, p: NearParams = NearParams(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class, of those with its least doc_id."""
-    found = near_duplicates(docs, p, doc_id, text)
-    return found.where(F.col(doc_id).eqNullSafe(F.col("class_id"))).dropDuplicates(["class_key"]).select(*docs.columns)
+    found = _classified(docs, p, doc_id, text)
+    return found.where(F.col(doc_id).cast("long").eqNullSafe(F.col("_nd_class_id"))).dropDuplicates(["_nd_class_key"]).select(*docs.columns)

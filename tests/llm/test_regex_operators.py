@@ -1,5 +1,7 @@
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -186,3 +188,52 @@ def test_licences_in_wrapped_headers(spark):
     rows = [("m/a.js", mpl), ("g/b.c", gpl), ("z/q", "nothing\nat all"), ("w/x", "one line\nReleased under the MIT\nLicense.\n")] + [(f"p/{i}", f"some copyright words number {i}.") for i in range(30)]
     by = {r["path"]: r["license"] for r in license_scan.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert by["m/a.js"] == "MPL-2.0" and by["g/b.c"] == "GPL-3.0" and by["z/q"] is None and all(by[f"p/{i}"] is None for i in range(30))
+
+
+def brute_cosine(statement, idf):
+    """(cosine, licence) of the closest template, from the definition."""
+    mine, out = Counter(re.findall(license_scan.WORD, statement.lower())), (0.0, None)
+    size = math.sqrt(sum((n * idf.get(w, idf[""])) ** 2 for w, n in mine.items()))
+    for name in sorted(license_scan.TEMPLATES):
+        for t in license_scan.TEMPLATES[name]:
+            its = Counter(re.findall(license_scan.WORD, t.lower()))
+            dot = sum(mine[w] * n * idf[w] ** 2 for w, n in its.items())
+            c = dot / size / math.sqrt(sum((n * idf[w]) ** 2 for w, n in its.items())) if size else 0.0
+            if c > out[0] + 1e-12:
+                out = (c, name)
+    return out
+
+
+def test_licence_cosines_match_brute_force(spark):
+    rng = random.Random(4)
+    every = [t for some in license_scan.TEMPLATES.values() for t in some]
+    words = [w for t in every for w in t.split()]
+    said = every + [" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(40)]
+    said += [" ".join(w for w in rng.choice(every).split() if rng.random() < 0.8) + rng.choice(("", " and more words here")) for _ in range(60)] + ["", "  ", "a a a b"]
+    df = spark.createDataFrame(list(enumerate(said)), "i long, text string")
+    idf = license_scan.inverse_frequencies(df)
+    got = df.select("i", license_scan.best_template(F.col("text"), idf, 0.6).alias("b")).collect()
+    for r in got:
+        c, name = brute_cosine(said[r["i"]], idf)
+        if c >= 0.6:
+            assert abs(r["b"]["cosine"] - c) < 1e-9 and (r["b"]["license"] == name or c < 1 + 1e-9 and brute_cosine(said[r["i"]], idf)[0] == pytest.approx(r["b"]["cosine"]))
+        else:
+            assert r["b"] is None or r["b"]["cosine"] < 0.6
+
+
+def test_licence_files_and_long_texts(spark, tmp_path):
+    """The opening lines of licence files, a text of 200,000 words, and whole texts from a folder."""
+    openings = {
+        "GPL-3.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n",
+        "ISC": "ISC License\n\nCopyright (c) 2020 Some One\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n",
+        "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.\n",
+    }
+    (tmp_path / "Own-1.0.txt").write_text("You may frobnicate the licensed gadget on every second Tuesday of the quarter under permission of the guild")
+    templates = license_scan.templates_from(str(tmp_path))
+    rows = [(f"{k}/LICENSE", t, 1.0) for k, t in openings.items()] + [("own/LICENSE", "You may frobnicate the licensed gadget on every second Tuesday\nof the quarter under permission of the guild", 1.0)]
+    rows += [("long/x", "license word " * 100_000, 1.0)] + [(f"p/{i}", f"some copyright words number {i}.", 1.0) for i in range(30)]
+    out = license_scan.scan_licenses(spark.createDataFrame(rows, "path string, text string, cosine double"), templates=templates)
+    assert out.columns.count("cosine") == 1
+    by = {r["path"]: r["license"] for r in out.collect()}
+    assert {k: by[f"{k}/LICENSE"] for k in openings} == {k: k for k in openings}
+    assert by["own/LICENSE"] == "Own-1.0" and by["long/x"] is None

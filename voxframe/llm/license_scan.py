@@ -11,15 +11,18 @@ ancestor directory that has one. Everything is column expressions, one small agg
 Defined cases: a null path or text counts as empty (no directory, no statement); repeated rows each get their result;
 of several licence files of one directory the one of highest cosine, then least path, holds; of statements with equal
 cosine the first template in alphabetical order; an empty table gives an empty result; other columns pass through
-(inner columns are prefixed ``_lic_``).
+(inner columns are prefixed ``_lic_``), but for columns that have the name of a result column, which are replaced.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +37,16 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "SPDX-License-Identifier: Apache-2.0",
         "Apache License Version 2.0, January 2004",
     ),
+    "AGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+        "SPDX-License-Identifier: AGPL-3.0",
+    ),
+    "BSD-2-Clause": (
+        "Released under the BSD 2-Clause License",
+        "BSD 2-Clause License. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ),
     "BSD-3-Clause": (
         "Released under the BSD 3-Clause License",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -59,14 +72,21 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "GPL-2.0": (
         "This work is licensed under the GNU General Public License, version 2",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
         "SPDX-License-Identifier: GPL-2.0",
     ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
         "SPDX-License-Identifier: GPL-3.0",
     ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ),
     "LGPL-3.0": (
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
         "This library is licensed under the GNU Lesser General Public License, version 3",
         "SPDX-License-Identifier: LGPL-3.0",
     ),
@@ -74,18 +94,26 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Released under the MIT License",
         "Licensed under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files to deal in the Software without restriction",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "SPDX-License-Identifier: MIT",
     ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+        "Mozilla Public License Version 2.0",
         "SPDX-License-Identifier: MPL-2.0",
     ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "SPDX-License-Identifier: Unlicense",
+    ),
 }
-CLUES = ("licen", "copyright", "spdx", "redistribut", "permission", "public domain")
+CLUES = ("licen", "copyright", "spdx", "redistribut", "permission", "permitted", "public domain", "unencumbered", "free to copy")
 #: Comment marks at both ends of a line.
 MARKS = r"(?m)^[ \t]*(?:<!--+|/?\*+/?|//+|#+|--+|;+|%+)?[ \t]*|[ \t]*(?:\*+/|--+>)?[ \t\r]*$"
 FILE_NAME = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
 WORD = r"[a-z0-9]+"
+RESULTS = ("license", "cosine", "origin", "licensed_by")
 
 
 @dataclass(frozen=True)
@@ -117,68 +145,112 @@ def blocks(text: Column) -> Column:
     return F.when(_clue(F.lower(text)), F.filter(parts, lambda b: _clue(F.lower(b)))).otherwise(F.array().cast("array<string>"))
 
 
-def inverse_frequencies(files: DataFrame, text: str = "text") -> dict[str, float]:
+Templates = Mapping[str, Sequence[str]]
+
+
+def templates_from(folder: str) -> dict[str, tuple[str, ...]]:
+    """Whole licence texts of a folder on the driver, one file a licence named for it (``GPL-3.0.txt``), beside the notices."""
+    found = {path.stem if path.suffix == ".txt" else path.name: path.read_text(errors="replace") for path in sorted(Path(folder).iterdir()) if path.is_file()}
+    return {name: (*TEMPLATES.get(name, ()), *([found[name]] if name in found else [])) for name in sorted({*TEMPLATES, *found})}
+
+
+def inverse_frequencies(files: DataFrame, text: str = "text", templates: Templates = TEMPLATES) -> dict[str, float]:
     """ln(1 + statements / statements with the word) of each template word, over all files; "" is that of other words."""
-    words = sorted({w for some in TEMPLATES.values() for t in some for w in re.findall(WORD, t.lower())})
+    words = sorted({w for some in templates.values() for t in some for w in re.findall(WORD, t.lower())})
     found = files.select(F.explode(statements(F.coalesce(F.col(text), F.lit("")))).alias("s")).select(F.array_distinct(_terms(F.col("s"))).alias("w"))
-    total = found.agg(F.count("*").alias("n")).collect()[0]["n"]  # one row
-    known = F.array(*[F.lit(w) for w in words])
-    rows = found.select(F.explode(F.array_intersect("w", known)).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()  # one row per template word
+    known = F.split(F.lit(" ".join(words)), " ")
+    rows = found.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect("w", known))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()  # one row a template word
     df = {r["w"]: r["n"] for r in rows}
+    total = df.get("", 0)
     return {w: math.log(1 + (total + 1) / (df.get(w, 0) + 1)) for w in words} | {"": math.log(2 + total)}
 
 
-def _vectors(idf: dict[str, float]) -> list[tuple[str, list[tuple[str, float]]]]:
+def _vectors(idf: dict[str, float], templates: Templates) -> list[tuple[str, dict[str, float]]]:
+    """(licence, a factor for each word's count in a text) of each template, licences in alphabetical order."""
     out = []
-    for name in sorted(TEMPLATES):
-        for t in TEMPLATES[name]:
+    for name in sorted(templates):
+        for t in templates[name]:
             tf = Counter(re.findall(WORD, t.lower()))
             norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in tf.items()))
-            out.append((name, [(w, n * idf[w] ** 2 / norm) for w, n in sorted(tf.items())]))
+            out.append((name, {w: n * idf[w] ** 2 / norm for w, n in tf.items()}))
     return out
 
 
-def best_template(statement: Column, idf: dict[str, float]) -> Column:
-    """struct(cosine, license) of the closest template of one statement."""
-    weights = F.map_from_arrays(F.array(*[F.lit(w) for w in idf if w]), F.array(*[F.lit(x) for w, x in idf.items() if w]))
+def _named(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x worked out once."""
+    return F.transform(F.array(x), f)[0]
+
+
+def best_template(statement: Column, idf: dict[str, float], min_cosine: float, templates: Templates = TEMPLATES) -> Column:
+    """struct(cosine, license, words) of the closest template of one statement, its words counted; null below min_cosine.
+
+    The time is in proportion to the statement's length (but for sorting its words). Templates are only gone through
+    if the words that any of them has weigh enough in the statement for the least cosine.
+    """
+    vectors = _vectors(idf, templates)
+    table = {w: [x, *(v.get(w, 0.0) for _, v in vectors)] for w, x in idf.items() if w}
+    weights = F.from_json(F.lit(json.dumps(table)), "map<string,array<double>>")
+    names = F.split(F.lit("\n".join(n for n, _ in vectors)), "\n")
+    vocabulary = F.split(F.lit(" ".join(table)), " ")
+
+    def run(a: Column, t: Column) -> Column:
+        """Adds up the squares of words' counts over sorted words."""
+        same = a["last"] == t
+        return F.struct(t.alias("last"), F.when(same, a["n"] + 1).otherwise(1).alias("n"), (a["squares"] + F.when(same, a["n"] * 2 + 1).otherwise(1)).alias("squares"))
 
     def compared(terms: Column) -> Column:
-        def tf(w: Column) -> Column:
-            return F.size(terms) - F.size(F.array_remove(terms, w))
+        squares = F.aggregate(F.array_sort(terms), F.struct(F.lit("").alias("last"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("squares")), lambda a, t: _run_as(run(a, t)), lambda a: a["squares"])
 
-        own = F.sqrt(F.aggregate(F.array_distinct(terms), F.lit(0.0), lambda a, w: a + F.pow(tf(w) * F.coalesce(F.element_at(weights, w), F.lit(idf[""])), 2)))
-        each = []
-        for name, vector in _vectors(idf):
-            dot = sum((tf(F.lit(w)) * x for w, x in vector), F.lit(0.0))
-            each.append(F.struct((dot / own).alias("cosine"), F.lit(name).alias("license")))
-        return F.reduce(F.array(*each), F.struct(F.lit(0.0).alias("cosine"), F.lit(None).cast("string").alias("license")), lambda a, b: F.when(b["cosine"] > a["cosine"], b).otherwise(a))
+        def of_words(counts: Column) -> Column:
+            known = F.aggregate(counts, F.lit(0.0), lambda a, c: a + F.pow(c["n"] * c["w"][0], 2))
+            others = squares - F.aggregate(counts, F.lit(0).cast("long"), lambda a, c: a + c["n"] * c["n"])
 
-    return F.transform(F.array(_terms(statement)), compared)[0]
+            def judged(norms: Column) -> Column:
+                zero = F.array_repeat(F.lit(0.0), len(vectors) + 1)
+                dots = F.aggregate(counts, zero, lambda acc, c: F.zip_with(acc, c["w"], lambda x, y: x + c["n"] * y))
+                own = F.sqrt(norms["own"])
+                best = F.array_max(F.transform(dots, lambda x, i: F.when(i > 0, F.struct((x / own).alias("cosine"), (-i).alias("i")))))
+                found = _named(best, lambda x: F.struct(x["cosine"].alias("cosine"), F.element_at(names, -x["i"]).alias("license"), F.size(terms).alias("words")))
+                return F.when((norms["own"] > 0) & (norms["known"] >= norms["own"] * (min_cosine**2 * (1 - 1e-9))), found)
 
+            return _named(F.struct(known.alias("known"), (known + others * idf[""] ** 2).alias("own")), judged)
 
-def _as_sort(i: int):
-    return lambda x: F.struct(F.lit(i).alias("sort"), x.alias("s"))
+        counts = F.transform(F.array_intersect(terms, vocabulary), lambda w: F.struct((F.size(terms) - F.size(F.array_remove(terms, w))).cast("long").alias("n"), F.element_at(weights, w).alias("w")))
+        return _named(counts, of_words)
 
+    return _named(_terms(statement), compared)
 
-def _added(i: int):
-    return lambda a, x: a + F.when(x["sort"] == i, x["n"]).otherwise(0)
 
+def _run_as(x: Column) -> Column:
+    return x.cast("struct<last:string,n:int,squares:bigint>")
 
-def scan_licenses(files: DataFrame, p: LicenseParams = LicenseParams(), path: str = "path", text: str = "text") -> DataFrame:
+
+def scan_licenses(files: DataFrame, p: LicenseParams = LicenseParams(), path: str = "path", text: str = "text", templates: Templates = TEMPLATES) -> DataFrame:
     """files plus license, cosine, origin (own, inherited, none) and licensed_by (the path it comes from)."""
-    idf = inverse_frequencies(files, text)
+    idf = inverse_frequencies(files, text, templates)
     t = F.coalesce(F.col(text), F.lit(""))
+    none = F.array().cast("array<string>")
+    kept = [c for c in files.columns if c.lower() not in RESULTS]
     df = files.withColumn("_lic_path", F.coalesce(F.col(path), F.lit(""))).withColumn("_lic_blocks", blocks(t))
     named = F.regexp_extract("_lic_path", r"([^/]*)$", 1).rlike(FILE_NAME)
-    whole = F.when(named & (F.size("_lic_blocks") > 0), F.array(t)).otherwise(F.array().cast("array<string>"))
+    whole = F.when(named & (F.size("_lic_blocks") > 0), F.array(t)).otherwise(none)
     sorts = (statements(t), F.flatten(F.transform("_lic_blocks", statements)), F.col("_lic_blocks"), whole)
-    df = df.withColumn("_lic_said", F.concat(*[F.transform(s, _as_sort(i)) for i, s in enumerate(sorts)]))
-    said = F.col("_lic_said")
-    df = df.withColumn("_lic_scores", F.when(F.size(said) > 0, F.transform(said, lambda s: F.struct(best_template(s["s"], idf).alias("b"), F.size(_terms(s["s"])).alias("n"), s["sort"].alias("sort")))))
-    scores = F.filter("_lic_scores", lambda x: x["b"]["cosine"] >= p.min_cosine)
-    best = F.reduce(scores, F.struct(F.lit(0.0).alias("cosine"), F.lit(None).cast("string").alias("license")), lambda a, x: F.when(x["b"]["cosine"] > a["cosine"], x["b"]).otherwise(a))
-    df = df.withColumn("_lic_scores", scores).withColumn("_lic_best", best)
-    share = F.greatest(*[F.aggregate("_lic_scores", F.lit(0), _added(i)) for i in range(len(sorts))])
+    df = df.withColumn("_lic_said", F.array(*sorts))
+
+    def scored(s: Column) -> Column:
+        return F.struct(s.alias("s"), best_template(s, idf, p.min_cosine, templates).alias("b"))
+
+    every = F.array_distinct(F.flatten("_lic_said"))
+    df = df.withColumn("_lic_scores", F.when(F.size("_lic_blocks") > 0, F.filter(F.transform(every, scored), lambda x: x["b"]["cosine"] >= p.min_cosine)))
+    nothing = F.struct(F.lit(0.0).alias("cosine"), F.lit(None).cast("string").alias("license"))
+    best = F.reduce("_lic_scores", nothing, lambda a, x: F.when((x["b"]["cosine"] > a["cosine"]) | ((x["b"]["cosine"] == a["cosine"]) & (x["b"]["license"] < a["license"])), F.struct(x["b"]["cosine"].alias("cosine"), x["b"]["license"].alias("license"))).otherwise(a))
+
+    def matching(said: Column) -> Column:
+        """Words of the matching statements of one sort."""
+        return F.aggregate(said, F.lit(0), lambda a, s: a + F.coalesce(F.get(F.filter("_lic_scores", lambda x: x["s"] == s), F.lit(0))["b"]["words"], F.lit(0)))
+
+    share = F.array_max(F.transform("_lic_said", matching))
+    df = df.withColumn("_lic_best", best)
     df = df.select(
         *files.columns,
         "_lic_path",
@@ -201,7 +273,7 @@ def scan_licenses(files: DataFrame, p: LicenseParams = LicenseParams(), path: st
     out = df.join(nearest, F.col("_lic_dir") == F.col("_lic_of"), "left")
     own = F.col("_lic_own").isNotNull()
     return out.select(
-        *files.columns,
+        *kept,
         F.coalesce("_lic_own", "_lic_from.license").alias("license"),
         F.when(own, F.col("_lic_cosine")).when(F.col("_lic_from").isNotNull(), -F.col("_lic_from.c")).otherwise(0.0).alias("cosine"),
         F.when(own, "own").when(F.col("_lic_from").isNotNull(), "inherited").otherwise("none").alias("origin"),

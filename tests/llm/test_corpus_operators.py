@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -303,13 +304,65 @@ def test_html(page, text):
     assert html_extract.main_text(page, html_extract.learn(html_extract.labelled_pages())) == text
 
 
-def test_html_on_held_out_pages(spark):
-    weights = html_extract.learn(html_extract.labelled_pages(100, 1))
-    import re
+def test_html_classes_do_not_drop_articles():
+    w = html_extract.learn(html_extract.labelled_pages())
+    words = "some words of a story that is long enough to be the page's own text"
+    for page, text in (
+        (f'<article class="post search-result"><h1>T</h1><p>{words}</p></article>', f"T\n{words}"),
+        (f'<div class="post-share-body"><h1>T</h1><p>{words}</p></div><footer>x y</footer>', f"T\n{words}"),
+        (f'<p>{words}</p><div class="story alert-level"><h1>T</h1><p>{words} {words}</p></div>', f"{words}\nT\n{words} {words}"),
+        (f'<div class="article-header"><h1>Head line</h1></div><div class="article-body"><p>{words}</p></div>', f"Head line\n{words}"),
+        (f'<div class="with-sidebar"><div class="main"><p>{words}</p></div><div class="sidebar">x y z</div></div>', words),
+        (f'<article><p>{words}</p></article><div id="comments"><article class="comment">{words} {words} {words}</article></div>', words),
+        (f'<article><p>{words}</p><div class="ad">{words}</div><ul><li>a</li><li>b</li></ul></article><p>beside</p>', f"{words}\na\nb"),
+    ):
+        assert html_extract.main_text(page, w) == text, page
 
-    pages = html_extract.labelled_pages(60, 99)
-    want = ["\n".join(x for x in (" ".join(re.sub("<[^>]*>", "", b).split()) for b in re.split("</?(?:p|h1|h2)>", main)) if x) for _, main in pages]
-    df = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(pages)], "page_id long, html string")
-    got = [r["text"] for r in html_extract.extract(df, weights=weights).orderBy("page_id").collect()]
-    assert sum(a == b for a, b in zip(got, want)) >= 57
-    assert html_extract.extract(df.limit(0), weights=weights).count() == 0
+
+def test_html_of_any_depth_and_in_linear_time():
+    w = html_extract.learn(html_extract.labelled_pages())
+    assert html_extract.main_text("<body>" + "<div>" * 20_000 + "text down here" + "</div>" * 20_000, w) == "text down here"
+    start = time.monotonic()
+    for page in ("<body>" + "<div>" * 20_000 + "</p></x>" * 20_000 + "word", "<a '" * 20_000 + "word", "<" * 50_000, "<p>x" * 50_000, "<!--" * 20_000, '<b "' * 19_999 + ">word", "<article>" * 20_000 + "w" + "<div class=comment>" * 20_000):
+        html_extract.main_text(page, w)
+    assert time.monotonic() - start < 20
+
+
+def test_best_region_is_the_maximal_run():
+    rng = random.Random(5)
+    for _ in range(300):
+        x = [rng.choice((-3, -2, -1, 0, 1, 2, 3)) for _ in range(rng.randint(0, 14))]
+        best = max((sum(x[i : j + 1]) for i in range(len(x)) for j in range(i, len(x))), default=0)
+        lo, hi = html_extract.best_region(x)
+        assert sum(x[lo : hi + 1]) == max(0, best)
+
+
+def unlike_page(rng):
+    """A page of other layouts and words than those that the weights come from, and its text."""
+    said = lambda a, b: " ".join("".join(rng.choices("bdklmnrstaeiou", k=rng.randint(2, 9))) for _ in range(rng.randint(a, b)))
+    blocks, inner = [], ""
+    for _ in range(rng.randint(3, 12)):
+        t = said(6, 70)
+        blocks.append(t)
+        inner += rng.choice((f"<p>{t}</p>", f"<section><p><em>{t}</em></p></section>", f"<pre>{t}</pre>", f"<table><tr><td>{t}</td></tr></table>"))
+        if rng.random() < 0.2:
+            inner += f"<div class='advert'>{said(1, 20)}</div>"
+    title = said(2, 8)
+    page = rng.choice(
+        (
+            f"<div id=page><div class=site-header><a href=/>{said(1, 3)}</a></div><main><header><h1>{title}</h1></header>{inner}</main><div class=related><a>{said(3, 9)}</a></div></div>",
+            f"<div class='cookie-notice'>{said(5, 30)}</div><div id=content><h1>{title}</h1>{inner}</div><div id=disqus_thread>{said(5, 200)}</div>",
+            f"<header><form>{said(1, 3)}</form></header><article><h2>{title}</h2>{inner}<footer>{said(2, 9)}</footer></article><aside>{said(2, 40)}</aside>",
+            f"<body><ul><li><a>{said(1, 2)}</a><li><a>{said(1, 2)}</a></ul><div><h1>{title}</h1>{inner}</div><div role=contentinfo>{said(2, 9)}</div>",
+        )
+    )
+    return page, "\n".join([title, *blocks])
+
+
+def test_html_on_unlike_pages(spark):
+    rng = random.Random(8)
+    pages = [unlike_page(rng) for _ in range(80)]
+    df = spark.createDataFrame([(i, p, "x") for i, (p, _) in enumerate(pages)] + [(80, None, "x"), (81, "", "x")], "page_id long, html string, text string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    assert sum(got[i] == t for i, (_, t) in enumerate(pages)) >= 76
+    assert got[80] == got[81] == "" and html_extract.extract(df.limit(0)).count() == 0

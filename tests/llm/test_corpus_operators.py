@@ -49,6 +49,19 @@ def test_repeats_match_brute_force(spark, monkeypatch, at_once):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_repeats_of_many_copies_and_clashing_names(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("ab ") for _ in range(n))
+    hot, other = text(400), text(300)
+    texts = [hot] * 200 + [hot[:150] + text(80) + hot[150:], other, other[:120] + text(50), text(500)] + [text(90) + hot[100:180] for _ in range(20)]
+    names = "key long, n int, anchor long, n_bytes string, lo int, _n long"
+    df = spark.createDataFrame([(i, t, 1, 2, 3, "x", 4, 5) for i, t in enumerate(texts)], "doc_id long, text string, " + names).repartition(3)
+    out = repeats.remove_repeats(df, length=60, gram=20)
+    assert out.columns.count("n_bytes") == 1 and "key" in out.columns
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out.collect()}
+    assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 60)
+
+
 def test_repeats_of_nothing(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -11,11 +11,14 @@ ordered by digits, most significant first, and a group of one is dropped before
    ``SPANS_AT_ONCE`` distinct spans (a bounded group) is compared in place; one with more gives a record per window.
 
 Otherwise groups are only counted with map-side partial aggregates and joined back on their key, so a string that a
-third of all documents hold is never gathered in one task. Windows are compared by 64-bit polynomial hashes of their bytes.
+third of all documents hold is never gathered in one task. Of exact copies one brings its bytes and its ranges; the rows
+of a text with many copies are dealt out for the last join. Windows are compared by two 64-bit polynomial hashes at
+every digit: that of the minimiser, and that of the span or of the window itself.
 
 Defined cases: null text counts as empty; texts below ``length`` bytes lose nothing; repeated rows are repeats of each
-other; an empty table gives an empty result; other columns pass through (inner columns are prefixed ``_rep_``); very
-long texts are worked off in pieces of ``PIECE`` bytes, with the same result.
+other; an empty table gives an empty result; other columns pass through (inner columns are prefixed ``_rep_``), but for
+columns that have the name of a result column, which are replaced; very long texts are worked off in pieces of ``PIECE``
+bytes, with the same result.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from voxframe.operators.keys import dealt_anew
+from voxframe.operators.keys import attach, dealt_anew
 from voxframe.storage import discard, written
 
 LENGTH, GRAM, PIECE, SPANS_AT_ONCE = 200, 64, 1 << 21, 20_000
@@ -113,6 +116,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
         raise ValueError("gram must be between 1 and length")
     source = docs.withColumn("_rep_bytes", F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))
     source = source.withColumn("_rep_key", F.xxhash64("_rep_bytes")).withColumn("_rep_n", F.octet_length("_rep_bytes").cast("int"))
+    source = source.withColumn("_rep_id", F.xxhash64("_rep_key", "_rep_n"))
     work = source.select("_rep_bytes", "_rep_key", "_rep_n")
 
     def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,12 +149,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     several = spans.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select(dealt_anew("anchor"), "k")
     borders = (
         spans.join(several, "anchor").select("anchor", "k", "rep.*")
-        .groupBy("key", "n").agg(F.collect_list(F.struct("anchor", "k", "lo", "hi")).alias("_rep_at"))
+        .groupBy("key", "n").agg(F.collect_set(F.struct("anchor", "k", "lo", "hi")).alias("_rep_at"))
     )
     on = [F.col("_rep_key") == F.col("key"), F.col("_rep_n") == F.col("n")]
     at = F.col("at")
+    one_of_each = work.where(F.col("_rep_n") >= length).dropDuplicates(["_rep_key", "_rep_n"])  # copies of a text go before the shuffle
     deep = (
-        work.join(borders, on)
+        one_of_each.join(borders, on)
         .select("_rep_bytes", "key", "n", F.explode("_rep_at").alias("at"))
         .select("key", "n", "at.anchor", "at.k", "at.lo", F.substr("_rep_bytes", at["lo"] + 1, at["hi"] - at["lo"] + length).alias("bytes"))
     )
@@ -200,18 +205,23 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
                 row, place, h = windows_of(part)
-                key, n, lo = (part.column(part.schema.get_field_index(c)).to_numpy() for c in ("key", "n", "lo"))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(key[row]), pa.array(n[row]), pa.array((lo[row] + place).astype(np.int32))], ["window", "key", "n", "lo"])
+                anchor, key, n, lo = (part.column(part.schema.get_field_index(c)).to_numpy() for c in ("anchor", "key", "n", "lo"))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), pa.array(anchor[row]), pa.array(key[row]), pa.array(n[row]), pa.array((lo[row] + place).astype(np.int32))], ["window", "anchor", "key", "n", "lo"]
+                )
 
     few = deep.where(F.col("k") <= SPANS_AT_ONCE).select("anchor", "key", "n", "lo", "bytes")
     few = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "key long, n int, lo int, hi int")
-    windows = deep.where(F.col("k") > SPANS_AT_ONCE).mapInArrow(spread, "window long, key long, n int, lo int")
-    same = windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select(dealt_anew("window"))
-    single = windows.join(same, "window", "left_semi").select("key", "n", "lo", F.col("lo").alias("hi"))
-    found = whole.unionByName(few).unionByName(single).groupBy("key", "n").agg(F.collect_list(F.struct("lo", "hi")).alias("_rep_at"))
-    found = written(found, "repeats")
-
-    kept = [c for c in docs.columns if c != text]
+    windows = deep.where(F.col("k") > SPANS_AT_ONCE).mapInArrow(spread, "window long, anchor long, key long, n int, lo int")
+    same = windows.groupBy("window", "anchor").agg(F.count("*").alias("c")).where("c > 1").select(dealt_anew("window"), "anchor")
+    single = windows.join(same, ["window", "anchor"], "left_semi").select("key", "n", "lo", F.col("lo").alias("hi"))
+    text_id = F.xxhash64("key", "n").alias("_rep_of")
+    held = repeated.where("lo = 0").groupBy(text_id).agg(F.count("*").alias("_rep_held"))  # a text's first run comes once a copy
+    found = whole.unionByName(few).unionByName(single).groupBy(text_id).agg(F.collect_set(F.struct("lo", "hi", "n")).alias("_rep_at"))
+    found = written(found.join(held, "_rep_of", "left").select("_rep_of", "_rep_at", F.coalesce("_rep_held", F.lit(1).cast("long")).alias("_rep_held")), "repeats")
+
+    results = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
+    kept = [c for c in docs.columns if c != text and c.lower() not in results]
     extra = [StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept_sha256", StringType())]
     schema = StructType([*docs.select(*kept).schema, *extra, *([StructField("kept_text", BinaryType())] if with_text else [])])
     width = len(kept)
@@ -221,14 +231,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
             counts, shas, texts = [], [], []
             held, ranges = batch.column(width), batch.column(width + 2)
             first = ranges.offsets.to_numpy()
-            los, his = (ranges.values.field(i).to_numpy() for i in range(2))
+            los, his, sizes = (ranges.values.field(i).to_numpy() for i in range(3))
             for i, n in enumerate(_arrow(batch, "_rep_n")):
                 raw, removed, edges = held[i].as_py(), 0, 0
                 a, b = first[i], first[i + 1]
-                if b > a:
+                own = a + np.flatnonzero(sizes[a:b] == n)
+                if len(own):
                     step = np.zeros(n + 1, np.int32)
-                    np.add.at(step, los[a:b], 1)
-                    np.subtract.at(step, his[a:b] + length, 1)
+                    np.add.at(step, los[own], 1)
+                    np.subtract.at(step, his[own] + length, 1)
                     gone = np.cumsum(step[:-1]) > 0
                     removed = int(gone.sum())
                     edges = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
@@ -241,6 +252,6 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
             columns += [pa.array(texts, pa.binary())] if with_text else []
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    joined = source.join(found, on, "left").select(*kept, "_rep_bytes", "_rep_n", "_rep_at")
+    joined = attach(source, found, "_rep_id", "_rep_of", "_rep_held", F.xxhash64(F.spark_partition_id())).select(*kept, "_rep_bytes", "_rep_n", "_rep_at")
     out = joined.mapInArrow(remove, schema)
     return out.withColumn("kept_text", F.decode("kept_text", "UTF-8")) if with_text else out

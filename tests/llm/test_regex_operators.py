@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxframe.llm import license_scan, pii, quality_rules, secrets
 from voxframe.llm.quality_rules import QualityParams
+from voxframe.llm.spans import outside
 
 
 def luhn(d):
@@ -237,3 +239,27 @@ def test_licence_files_and_long_texts(spark, tmp_path):
     by = {r["path"]: r["license"] for r in out.collect()}
     assert {k: by[f"{k}/LICENSE"] for k in openings} == {k: k for k in openings}
     assert by["own/LICENSE"] == "Own-1.0" and by["long/x"] is None
+
+
+def test_spans_of_texts_with_many_matches(spark):
+    """Cuts, overlaps and replacements against plain code, at sizes over several blocks; 30,000 matches in one text."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(("a@b.co", "1.2.3.4", "x", "é", "+49 30 1234567", "4111 1111 1111 1111", "1.2.3.4@c.de")) for _ in range(n)) for n in (1, 31, 32, 33, 400, 1500)]
+    out = pii.sanitise(spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, spans string, n_ip string"))
+    assert out.columns.count("spans") == out.columns.count("n_ip") == 1
+    for r in out.collect():
+        t, at, made = texts[r["doc_id"]], 0, ""
+        for start, end, kind in sorted((int(a), int(b), k) for k, a, b in (s.split(":") for s in r["spans"])):
+            if start >= at:
+                made, at = made + t[at:start] + f"[{kind.upper()}]", end
+        assert r["sanitised"] == made + t[at:]
+    spans = [sorted((a := rng.randrange(300), a + rng.randint(1, 9)) for _ in range(rng.randint(0, 50))) for _ in range(40)]
+    others = [[(a := rng.randrange(300), a + rng.randint(1, 9)) for _ in range(rng.randint(0, 50))] for _ in range(40)]
+    kind = "array<struct<start:int,end:int,value:string>>"
+    df = spark.createDataFrame([(i, [(*x, "v") for x in a], [(*x, "o") for x in b]) for i, (a, b) in enumerate(zip(spans, others))], f"i int, a {kind}, b {kind}")
+    for r in df.select("i", outside(F.col("a"), F.col("b")).alias("c")).collect():
+        assert [(x["start"], x["end"]) for x in r["c"]] == [s for s in spans[r["i"]] if not any(o[0] < s[1] and s[0] < o[1] for o in others[r["i"]])]
+    start = time.monotonic()
+    long = spark.createDataFrame([(1, "a@b.co " * 30_000)], "doc_id long, text string")
+    r = pii.sanitise(long).select("n_email", F.length("sanitised").alias("n"), F.element_at("spans", -1).alias("last")).collect()[0]
+    assert tuple(r) == (30_000, 8 * 30_000, f"email:{7 * 29_999}:{7 * 29_999 + 6}") and time.monotonic() - start < 40

@@ -20,7 +20,7 @@ import json
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.llm.columns import computed_once
+from voxframe.llm.spans import named
 
 #: Short notices and key sentences of common licences.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -176,11 +177,6 @@ def _vectors(idf: dict[str, float], templates: Templates) -> list[tuple[str, dic
     return out
 
 
-def _named(x: Column, f: Callable[[Column], Column]) -> Column:
-    """f(x), with x worked out once."""
-    return F.transform(F.array(x), f)[0]
-
-
 def best_template(statement: Column, idf: dict[str, float], min_cosine: float, templates: Templates = TEMPLATES) -> Column:
     """struct(cosine, license, words) of the closest template of one statement, its words counted; null below min_cosine.
 
@@ -210,15 +206,15 @@ def best_template(statement: Column, idf: dict[str, float], min_cosine: float, t
                 dots = F.aggregate(counts, zero, lambda acc, c: F.zip_with(acc, c["w"], lambda x, y: x + c["n"] * y))
                 own = F.sqrt(norms["own"])
                 best = F.array_max(F.transform(dots, lambda x, i: F.when(i > 0, F.struct((x / own).alias("cosine"), (-i).alias("i")))))
-                found = _named(best, lambda x: F.struct(x["cosine"].alias("cosine"), F.element_at(names, -x["i"]).alias("license"), F.size(terms).alias("words")))
+                found = named(best, lambda x: F.struct(x["cosine"].alias("cosine"), F.element_at(names, -x["i"]).alias("license"), F.size(terms).alias("words")))
                 return F.when((norms["own"] > 0) & (norms["known"] >= norms["own"] * (min_cosine**2 * (1 - 1e-9))), found)
 
-            return _named(F.struct(known.alias("known"), (known + others * idf[""] ** 2).alias("own")), judged)
+            return named(F.struct(known.alias("known"), (known + others * idf[""] ** 2).alias("own")), judged)
 
         counts = F.transform(F.array_intersect(terms, vocabulary), lambda w: F.struct((F.size(terms) - F.size(F.array_remove(terms, w))).cast("long").alias("n"), F.element_at(weights, w).alias("w")))
-        return _named(counts, of_words)
+        return named(counts, of_words)
 
-    return _named(_terms(statement), compared)
+    return named(_terms(statement), compared)
 
 
 def _run_as(x: Column) -> Column:
@@ -232,8 +228,8 @@ def scan_licenses(files: DataFrame, p: LicenseParams = LicenseParams(), path: st
     none = F.array().cast("array<string>")
     kept = [c for c in files.columns if c.lower() not in RESULTS]
     df = files.withColumn("_lic_path", F.coalesce(F.col(path), F.lit(""))).withColumn("_lic_blocks", blocks(t))
-    named = F.regexp_extract("_lic_path", r"([^/]*)$", 1).rlike(FILE_NAME)
-    whole = F.when(named & (F.size("_lic_blocks") > 0), F.array(t)).otherwise(none)
+    by_name = F.regexp_extract("_lic_path", r"([^/]*)$", 1).rlike(FILE_NAME)
+    whole = F.when(by_name & (F.size("_lic_blocks") > 0), F.array(t)).otherwise(none)
     sorts = (statements(t), F.flatten(F.transform("_lic_blocks", statements)), F.col("_lic_blocks"), whole)
     df = df.withColumn("_lic_said", F.array(*sorts))
 
@@ -257,7 +253,7 @@ def scan_licenses(files: DataFrame, p: LicenseParams = LicenseParams(), path: st
         F.regexp_replace("_lic_path", r"/?[^/]*$", "").alias("_lic_dir"),
         F.col("_lic_best.license").alias("_lic_own"),
         F.coalesce(F.col("_lic_best.cosine"), F.lit(0.0)).alias("_lic_cosine"),
-        computed_once(F.when(F.size("_lic_scores") > 0, named | (share >= p.min_file_share * F.size(_terms(t)))).otherwise(False)).alias("_lic_file"),
+        computed_once(F.when(F.size("_lic_scores") > 0, by_name | (share >= p.min_file_share * F.size(_terms(t)))).otherwise(False)).alias("_lic_file"),
     )
     holds = df.where("_lic_file and _lic_own is not null").groupBy(F.col("_lic_dir").alias("_lic_at")).agg(
         F.min(F.struct((-F.col("_lic_cosine")).alias("c"), F.col("_lic_path").alias("path"), F.col("_lic_own").alias("license"))).alias("h")

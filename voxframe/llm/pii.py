@@ -7,7 +7,8 @@ its pointwise mutual information with e reaches ``disclosure`` of e's informatio
 all its occurrences are then spans of kind ``term``. Everything is column expressions and joins on keys.
 
 Defined cases: null text counts as empty; repeated rows each get their own result; a null doc_id is kept; an empty
-table gives an empty result; other columns pass through (inner columns are prefixed ``_pii_``).
+table gives an empty result; other columns pass through (inner columns are prefixed ``_pii_``), but for
+columns that have the name of a result column, which are replaced.
 """
 
 from __future__ import annotations
@@ -143,8 +144,9 @@ def sanitise(docs: DataFrame, p: PiiParams = PiiParams(), text: str = "text") ->
     df = df.withColumn("_pii_term", outside(located(F.col("_pii_hits"), F.split(own, F.col("_pii_pattern"), -1)), all_base))
     everything = F.concat(*[tagged(k, F.col(f"_pii_{k}")) for k in (*KINDS, "term")])
     base = F.concat(*[rendered(k, F.col(f"_pii_{k}")) for k in KINDS])
+    results = ("n_email", "n_ip", "n_card", "n_phone", "n_term", "base_spans", "spans", "sanitised")
     return df.select(
-        *docs.columns,
+        *[c for c in docs.columns if c.lower() not in results],
         *[F.size(f"_pii_{k}").cast("long").alias(f"n_{k}") for k in KINDS],
         F.size("_pii_term").cast("long").alias("n_term"),
         base.alias("base_spans"),

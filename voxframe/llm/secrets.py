@@ -6,7 +6,7 @@ a token's score is its mean log-likelihood ratio per character pair. The table o
 
 Defined cases: null text counts as empty; repeated rows each get their own result; an empty table gives an empty
 result; with no samples every pair scores 0 and the model adds nothing; other columns pass through (inner columns
-are prefixed ``_sec_``).
+are prefixed ``_sec_``), but for columns that have the name of a result column, which are replaced.
 """
 
 from __future__ import annotations
@@ -151,8 +151,9 @@ def find_secrets(docs: DataFrame, model: list[float], p: SecretParams = SecretPa
         return F.transform(F.array_sort(F.concat(*each)), lambda s: s["said"])
 
     every = (*KINDS, "markov")
+    results = ("n_assign", "n_access", "n_hex", "n_markov", "base_spans", "spans", "redacted")
     return df.select(
-        *docs.columns,
+        *[c for c in docs.columns if c.lower() not in results],
         *[F.size(f"_sec_{k}").cast("long").alias(f"n_{k}") for k in every],
         ordered(KINDS).alias("base_spans"),
         ordered(every).alias("spans"),

@@ -110,14 +110,15 @@ def test_icws_agrees_as_often_as_the_texts():
         assert abs(float(np.mean(x == y)) - true) < (0.05 if not binned else 0.15)
 
 
-def brute_classes(texts, p):
+def brute_classes(texts, p, docs=None):
     """Least index of the component of each text under all pairs of weighted similarity p.similarity or more."""
     sk, n = np.zeros((2, p.sketch_width), np.int64), len(texts)
+    docs = docs or n
     made = [near_dedup.shingles(t, p.words) for t in texts]
     for h, _ in made:
         for row, cell in enumerate(near_dedup._cells(h, p.sketch_width)):
             np.add.at(sk[row], cell, 1)
-    made = [(h, near_dedup.weights(h, tf, sk, n, p)) for h, tf in made]
+    made = [(h, near_dedup.weights(h, tf, sk, docs, p)) for h, tf in made]
     least = list(range(n))
 
     def root(i):
@@ -272,6 +273,12 @@ def test_packing(spark, texts):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
 
 
+def test_packing_replaces_columns_with_result_names(spark):
+    df = spark.createDataFrame([(1, "some text", 9, "x"), (2, None, 9, "y")], "doc_id long, text string, start long, Offset string")
+    out = packing.pack(df, tokenizer_path())
+    assert [c.lower() for c in out.columns].count("offset") == 1 and {r["start"] for r in out.collect()} == {0}
+
+
 def test_packing_pads_little():
     rng = random.Random(1)
     assert all(sum(packing.cuts(n)) == n for n in range(1, 5000, 7))
@@ -288,6 +295,15 @@ def test_token_store_round_trip(spark, texts, tmp_path):
         want.append((d, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     assert got == want
+    by_id = {}
+    for (d, start, n, crc), (_, t) in zip(want, order):
+        by_id.setdefault(d, []).append((len(by_id.get(d, [])), start, n, crc))
+    asked = [7, 7, None, 1000, 1000 - len(texts) // 2, 5, 10**12, -4] + [7] * 50
+    rows = token_store.lookup(spark.createDataFrame([(i,) for i in asked], "doc_id long"), manifest).collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r["doc_id"], []).append((r["occurrence"], r["start"], r["n_tokens"], zlib.crc32(r["ids"])))
+    assert {d: sorted(x) for d, x in found.items()} == {d: by_id[d] for d in set(asked) if d in by_id}
     shard = token_store.Shard(manifest[0]["name"])
     found, _, _ = shard.find(np.arange(10**9, 10**9 + 2000), np.zeros(2000, np.int64))
     assert found.sum() == 0

@@ -139,6 +139,36 @@ def test_quality_statistics_match_brute_force(spark):
         assert r["base_failed"] == failed and not (failed and r["kept"])
 
 
+def brute_divergence(p, q):
+    p, q = ([x / sum(v) for x in v] for v in (p, q))
+    half = lambda a, b: sum(x * math.log2(2 * x / (x + y)) for x, y in zip(a, b) if x > 0)
+    return (half(p, q) + half(q, p)) / 2
+
+
+def test_quality_divergence_matches_brute_force(spark):
+    rng = random.Random(3)
+    words = ["the", "of", "Ab", "c3,", "#x", "lengthy", "é.", "to", "zz"]
+    rows = [(i, " ".join(rng.choices(words, [9, 7, 1, 2, 1, 5, 1, 4, i % 3], k=rng.randint(1, 200))), rng.choice(("en", "de", None)), "x") for i in range(40)]
+    out = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, kept string"))
+    assert out.columns.count("kept") == 1
+    classes = (r"[A-ZÉ]", r"[0-9]", r"[#*$%&|<>]", r"[.,;:!?'\"()\-]")
+
+    def chars(t):
+        known = [len(re.findall(c, t)) for c in classes]
+        return [*known, len(t) - sum(known)]
+
+    for r in out.collect():
+        t, lang = rows[r["doc_id"]][1:3]
+        own = [x for x in rows if lang is None or x[2] == lang]
+        total = [sum(v) for v in zip(*(chars(x[1]) for x in own))]
+        assert abs(r["char_divergence"] - brute_divergence(chars(t), total)) < 1e-9
+        counts = Counter(w for x in own for w in x[1].split() if len(w) <= 5)
+        common = sorted(counts, key=lambda w: (-counts[w], w.encode()))[:32]
+        mine = [t.split().count(w) for w in common]
+        if sum(mine):
+            assert abs(r["word_divergence"] - brute_divergence(mine, [counts[w] for w in common])) < 1e-9
+
+
 def test_quality_verdict(spark):
     rng = random.Random(1)
     common = "the of and to in a is that it was".split()

@@ -9,7 +9,8 @@ one unfinished bin in the whole corpus. The unfinished bin of a power-of-two cla
 sequences, which need no padding.
 
 Defined cases: null text counts as empty, and an empty document is one piece, its end id; repeated rows are packed
-each on its own; an empty table gives an empty result; other columns pass through to every piece of their document.
+each on its own; an empty table gives an empty result; other columns pass through to every piece of their document,
+but for columns that have the name of a result column, which are replaced (inner columns are prefixed ``_pack_``).
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from voxframe.llm.tokens import encoder
 from voxframe.storage import written
 
 CAPACITY, MIN_CUT, END_ID = 2048, 32, 1
+RESULTS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")
 
 
 def cuts(n: int, capacity: int = CAPACITY, min_cut: int = MIN_CUT) -> list[int]:
@@ -47,12 +49,9 @@ def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", capacity: int
     and, with_ids, ``ids`` (little-endian unsigned 32-bit)."""
     if capacity & (capacity - 1) or min_cut & (min_cut - 1):
         raise ValueError("capacity and min_cut must be powers of two")
-    kept = [c for c in docs.columns if c != text]
+    kept = [c for c in docs.columns if c != text and c.lower() not in RESULTS]
     made = [StructField(n, LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "_pack_rank")]
     made += [StructField("_pack_part", IntegerType())] + [StructField("ids", BinaryType())] * with_ids
-    clash = {"start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"} & set(kept)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} would be overwritten; rename them first")
     source = docs.select(*kept, F.col(text).alias("_pack_text"))
     schema = StructType([*source.schema[:-1], *made])
     width = len(kept)

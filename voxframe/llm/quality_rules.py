@@ -27,6 +27,7 @@ CLASSES = {"upper": r"\p{Lu}", "digit": r"0-9", "symbol": r"#*$%&|<>", "mark": r
 POOLED = "*"
 #: A language's words are ranked in so many parts first, so that its last ranking has a fixed number of rows.
 RANK_PARTS = 64
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_divergence", "word_divergence", "kept")
 
 
 @dataclass(frozen=True)
@@ -184,7 +185,7 @@ def js_divergence(p: Column, total: Column, q: Column) -> Column:
 def quality_rules(docs: DataFrame, p: QualityParams = QualityParams(), text: str = "text", lang: str = "lang", references: DataFrame | None = None) -> DataFrame:
     """docs plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_divergence,
     word_divergence and kept. The reference table has at most ``max_languages`` + 1 short rows."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop(*RESULTS)
     fitted = references if references is not None else fit_references(docs, p, text, lang)
     rows = fitted.collect()  # at most max_languages + 1 rows of fixed size
     pooled = next((r for r in rows if r["lang"] == POOLED), None)
@@ -216,5 +217,5 @@ def quality_rules(docs: DataFrame, p: QualityParams = QualityParams(), text: str
     )
     df = df.withColumn("kept", computed_once(~F.col("base_failed") & (guarded | fine)))
     return df.select(
-        *docs.columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_divergence", "word_divergence", "kept"
+        *docs.columns, *RESULTS
     )

@@ -72,12 +72,12 @@ def split_mask(mask: np.ndarray, min_peak_dist: int = 4, min_sub_size: int = 8)
 
 
 def elongation(mask: np.ndarray) -> float:
-    """Ratio of the longest to the shortest axis of the ellipsoid with the mask's second moments."""
+    """Ratio of the longest to the shortest axis of the ellipsoid with the mask's second moments, the shortest at least 1e-6."""
     p = np.argwhere(mask).astype(float)
     if len(p) < 2:
-        return 1.0
-    e = np.sort(np.linalg.eigvalsh(np.cov(p.T, bias=True) + np.eye(mask.ndim) / 12))
-    return float(np.sqrt(e[-1]) / max(np.sqrt(max(e[0], 0.0)), 1e-6))
+        return 0.0
+    e = np.sort(np.linalg.eigvalsh(np.cov(p.T, bias=True)))
+    return float(np.sqrt(20 * max(e[-1], 0.0)) / max(np.sqrt(20 * max(e[0], 0.0)), 1e-6))
 
 
 def gaussian(values: np.ndarray, sigma: float, axis: int = -1, truncate: float = 4.0) -> np.ndarray:

@@ -1,7 +1,11 @@
-"""Connected components of an edge table by alternating star contraction."""
+"""Connected components of an edge table: solved within tasks, then by alternating star contraction across them."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,14 +33,41 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return s.select(F.col("v").alias("u"), F.col("m").alias("v")).union(s.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(node, component) for every node of ``edges`` (u, v; long); the component is its least node.
+def least_of_component(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct nodes of the edges (u, v), ascending, and the least node of each one's component."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b, least = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while len(a):
+        x, y = least[a], least[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b = a[apart], b[apart]
+        np.minimum.at(least, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while True:
+            up = least[least]
+            if (up == least).all():
+                break
+            least = up
+    return nodes, nodes[least]
 
-    Self-loops are allowed and keep a node without other edges. Each round is written to the shared folder; about
-    log(diameter) squared rounds are needed at most, one or two for stars.
-    """
-    nodes = edges.select(F.col("u").alias("node")).union(edges.select(F.col("v").alias("node"))).distinct()
-    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+
+def _solved_by_task(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of each task's own edges: its component among those edges. A task holds what its
+    partition holds, and neighbouring ids are dealt to one task, so that few components go across tasks."""
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if held:
+            node, root = least_of_component(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            for k in range(0, len(node), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(node[k : k + 50_000]), pa.array(root[k : k + 50_000])], ["node", "root"])
+
+    return edges.select("u", "v").repartitionByRange("u").mapInArrow(solve, "node long, root long")
+
+
+def _star_rounds(now: DataFrame, max_rounds: int) -> DataFrame:
+    """(u, component) of every node but the least of each component of the edges (u > v), which must be a written table."""
     state = None
     for _ in range(max_rounds):
         new = written(_small_star(_large_star(now)), "edges")
@@ -44,9 +75,24 @@ def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> Data
         discard(now)
         now = new
         if after == state:
-            break
+            return now.groupBy("u").agg(F.min("v").alias("component"))
         state = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    own = now.groupBy("u").agg(F.min("v").alias("component"))
-    return nodes.join(own, F.col("node") == F.col("u"), "left").select("node", F.coalesce("component", "node").alias("component"))
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """(node, component) for every node of ``edges`` (u, v; long); the component is its least node.
+
+    Self-loops are allowed and keep a node without other edges. Each task first solves its own edges; nodes that came out with
+    several roots link these, and only these links go through rounds of star contraction, about log(diameter) squared
+    at most, each written to the shared folder. Without such links no round is needed.
+    """
+    solved = written(_solved_by_task(edges), "solved-edges")
+    least = solved.groupBy("node").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+    split = least.where("least <> most").select(dealt_anew("node"), "least")
+    links = solved.join(split, "node").where("root <> least").select(F.col("root").alias("u"), F.col("least").alias("v")).distinct()
+    links = written(links, "edges")
+    if links.isEmpty():
+        return least.select("node", F.col("least").alias("component"))
+    across = _star_rounds(links, max_rounds)
+    return least.join(across, F.col("least") == F.col("u"), "left").select("node", F.coalesce("component", "least").alias("component"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxframe.storage import written
+
 POST = ("post_z", "post_y", "post_x")
 
 
@@ -37,22 +41,29 @@ def separated(left: DataFrame, right: DataFrame, radius: float, key: str = "id",
     return left.join(near, key, "left_anti")
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str = "id", columns: tuple[str, ...] = POST, cell: float = 32.0, rounds: int = 12) -> DataFrame:
-    """(l_id, r_id, dist) of the nearest row of right, ties to the least id.
+def nearest(left: DataFrame, right: DataFrame, key: str = "id", columns: tuple[str, ...] = POST, cell: float = 32.0) -> DataFrame:
+    """(l_id, r_id, dist) of the nearest row of right, ties to the least id; every row of left has one unless right is empty.
 
-    Rings of cells are searched with a doubling cell size: a row is settled once its best distance lies within the cell size,
-    because every nearer row would have been in a neighbouring cell.
+    Cells are searched at four times the size in each round: a row is settled once its best distance lies within the cell
+    size, because every nearer row would have been in a neighbouring cell. Rounds go on until a cell is as large as
+    the space that both sides span; a round only takes rows that have no neighbour within the last cell size.
     """
-    left, todo, out = left.select(key, *columns), left.select(key, *columns), None
-    for _ in range(rounds):
-        found = radius_join(todo, right.select(key, *columns), cell, True, columns)
+    left, right = left.select(key, *columns), right.select(key, *columns)
+    spans = [F.max(c).alias(f"hi{i}") for i, c in enumerate(columns)] + [F.min(c).alias(f"lo{i}") for i, c in enumerate(columns)]
+    box = left.unionByName(right).agg(*spans).first()  # one row
+    widest = math.dist([box[f"hi{i}"] or 0.0 for i in range(len(columns))], [box[f"lo{i}"] or 0.0 for i in range(len(columns))])
+    todo, out = left, None
+    while True:
+        found = radius_join(todo, right, cell, True, columns)
         best = found.groupBy(f"l_{key}").agg(F.min(F.struct("dist", f"r_{key}")).alias("m")).select(f"l_{key}", F.col(f"m.r_{key}").alias(f"r_{key}"), F.col("m.dist").alias("dist"))
+        best = written(best, "nearest")
         out = best if out is None else out.unionByName(best)
-        todo = todo.join(best.select(F.col(f"l_{key}").alias(key)), key, "left_anti")
+        if cell > widest:
+            return out
+        todo = written(todo.join(best.select(F.col(f"l_{key}").alias(key)), key, "left_anti"), "unsettled")
+        if todo.isEmpty():
+            return out
         cell *= 4
-        if cell > 1e5 or todo.isEmpty():
-            break
-    return out
 
 
 def affine(df: DataFrame, scale: tuple[float, ...], shift: tuple[float, ...], columns: tuple[str, ...] = POST) -> DataFrame:
@@ -101,12 +112,17 @@ def halo_rows(vox: DataFrame, shape: tuple[int, int, int], block: tuple[int, int
 
 
 def box_overlap(left: DataFrame, right: DataFrame, cell: int, axes: str = "zyx") -> DataFrame:
-    """Pairs of boxes (id, {a}0, {a}1) that overlap: each side is put into the cells of the first axis that it spans,
-    and a pair is made in the first cell that both span."""
-    a = axes[0]
-    one = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns]).withColumn("_c", F.explode(F.sequence(F.floor(F.col(f"l_{a}0") / cell), F.floor((F.col(f"l_{a}1") - 1) / cell))))
-    two = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).withColumn("_c", F.explode(F.sequence(F.floor(F.col(f"r_{a}0") / cell), F.floor((F.col(f"r_{a}1") - 1) / cell))))
-    cond = F.floor(F.greatest(f"l_{a}0", f"r_{a}0") / cell) == F.col("_c")
+    """Pairs of boxes (id, {a}0, {a}1) that overlap: each side is put into the cells of all axes that it spans, and a
+    pair is made in the first cell that both span."""
+
+    def celled(df: DataFrame, side: str) -> DataFrame:
+        out = df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns])
+        for x in axes:
+            out = out.withColumn(f"_c{x}", F.explode(F.sequence(F.floor(F.col(f"{side}_{x}0") / cell), F.floor((F.col(f"{side}_{x}1") - 1) / cell))))
+        return out
+
+    cond = F.lit(True)
     for x in axes:
-        cond = cond & (F.col(f"l_{x}1") > F.col(f"r_{x}0")) & (F.col(f"l_{x}0") < F.col(f"r_{x}1"))
-    return one.join(two, "_c").where(cond).drop("_c")
+        cond = cond & (F.floor(F.greatest(f"l_{x}0", f"r_{x}0") / cell) == F.col(f"_c{x}")) & (F.col(f"l_{x}1") > F.col(f"r_{x}0")) & (F.col(f"l_{x}0") < F.col(f"r_{x}1"))
+    cells = [f"_c{x}" for x in axes]
+    return celled(left, "l").join(celled(right, "r"), cells).where(cond).drop(*cells)

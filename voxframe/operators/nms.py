@@ -13,7 +13,7 @@ def nms(det: DataFrame, radius: float, inclusive: bool = False, columns: tuple[s
     """Rows that a greedy pass by (score desc, id) would keep.
 
     A row with no undecided better neighbour is kept and suppresses its neighbours; rounds go on until all are decided.
-    Only conflicts of undecided rows are carried on.
+    Only conflicts of undecided rows are carried on. A chain of rows that each suppress the next takes a round a link.
     """
     if radius <= 0:
         return det
@@ -23,7 +23,7 @@ def nms(det: DataFrame, radius: float, inclusive: bool = False, columns: tuple[s
     gone = None
     for _ in range(max_rounds):
         if conflicts.isEmpty():
-            break
+            return det if gone is None else det.join(gone, "id", "left_anti")
         blocked = conflicts.select(F.col("lo").alias("k")).distinct()
         kept = conflicts.select(F.col("hi").alias("k")).distinct().join(blocked, "k", "left_anti")
         out = written(conflicts.join(kept, conflicts["hi"] == kept["k"], "left_semi").select(F.col("lo").alias("id")).distinct(), "suppressed")
@@ -31,4 +31,4 @@ def nms(det: DataFrame, radius: float, inclusive: bool = False, columns: tuple[s
         next_ = written(conflicts.join(out, conflicts["hi"] == out["id"], "left_anti").join(out, F.col("lo") == out["id"], "left_anti").join(kept, F.col("hi") == kept["k"], "left_anti"), "conflicts")
         discard(conflicts)
         conflicts = next_
-    return det if gone is None else det.join(gone, "id", "left_anti")
+    raise RuntimeError(f"suppression did not settle in {max_rounds} rounds")

@@ -56,6 +56,35 @@ def weighted_centre(labelled: DataFrame, weight: Column) -> DataFrame:
     return labelled.groupBy("comp").agg(*[(F.sum(weight * F.col(c)) / F.sum(weight)).alias(f"w{c}") for c in AXES])
 
 
+def elongations(labelled: DataFrame) -> DataFrame:
+    """(comp, ratio): longest to shortest axis of the ellipsoid with the component's second moments, the shortest at least
+    1e-6. Moments are sums of whole numbers from the box's corner; eigenvalues come in closed form, the least one from the
+    determinant, so that a flat component has exactly none."""
+    lo = labelled.groupBy("comp").agg(*[F.min(a).alias(f"{a}0") for a in AXES])
+    at = labelled.join(lo, "comp").select("comp", *[(F.col(a) - F.col(f"{a}0")).cast("double").alias(a) for a in AXES])
+    sums = [F.count("*").alias("n")] + [F.sum(a).alias(a) for a in AXES] + [F.sum(F.col(a) * F.col(b)).alias(a + b) for i, a in enumerate(AXES) for b in AXES[i:]]
+    m = at.groupBy("comp").agg(*sums)
+    m = m.select("comp", "n", *[(F.col("n") * F.col(a + b) - F.col(a) * F.col(b)).alias(f"c{a}{b}") for i, a in enumerate(AXES) for b in AXES[i:]])
+    c = F.col
+    det = c("czz") * (c("cyy") * c("cxx") - c("cyx") * c("cyx")) - c("czy") * (c("czy") * c("cxx") - c("cyx") * c("czx")) + c("czx") * (c("czy") * c("cyx") - c("cyy") * c("czx"))
+    off = c("czy") * c("czy") + c("czx") * c("czx") + c("cyx") * c("cyx")
+    m = m.withColumn("q", (c("czz") + c("cyy") + c("cxx")) / 3).withColumn("det", det).withColumn("off", off)
+    spread = sum(((c(f"c{a}{a}") - c("q")) * (c(f"c{a}{a}") - c("q")) for a in AXES), 2 * c("off"))
+    m = m.withColumn("p", F.sqrt(spread / 6))
+    d = [c(f"c{a}{a}") - c("q") for a in AXES]
+    shifted = d[0] * (d[1] * d[2] - c("cyx") * c("cyx")) - c("czy") * (c("czy") * d[2] - c("cyx") * c("czx")) + c("czx") * (c("czy") * c("cyx") - d[1] * c("czx"))
+    r = F.least(F.greatest(shifted / (2 * c("p") * c("p") * c("p")), F.lit(-1.0)), F.lit(1.0))
+    m = m.withColumn("phi", F.when(c("p") > 0, F.acos(r) / 3).otherwise(0.0))
+    m = m.withColumn("e1", c("q") + 2 * c("p") * F.cos("phi")).withColumn("e2", c("q") + 2 * c("p") * F.cos(c("phi") - 2.0943951023931953))
+    least = F.when((c("det") <= 0) | (c("e1") * c("e2") <= 0), 0.0).otherwise(c("det") / (c("e1") * c("e2")))
+    return m.select("comp", (F.sqrt(20 * c("e1")) / c("n") / F.greatest(F.sqrt(20 * least) / c("n"), F.lit(1e-6))).alias("ratio"))
+
+
+def unravel(voxel: Column, height: int, width: int) -> dict[str, Column]:
+    """z, y, x of a C-order voxel number."""
+    return {"z": F.floor(voxel / (height * width)).cast("int"), "y": F.pmod(F.floor(voxel / width), F.lit(height)).cast("int"), "x": F.pmod(voxel, F.lit(width)).cast("int")}
+
+
 def edt_peaks(labelled: DataFrame) -> DataFrame:
     """Voxel of each component that is farthest from the background inside the component's tight box.
 

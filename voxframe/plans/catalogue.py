@@ -13,6 +13,7 @@ from voxframe.operators.ranking import global_index
 from voxframe.plans import fixtures as fx
 from voxframe.plans.fixtures import COMPONENTS, DET, FG, GRID, VOX, detections, grid_of, sql_u, table, u
 from voxframe.plans.fixtures import voxels as voxel_table
+from voxframe.storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -374,13 +375,13 @@ _DRAW = f"(SELECT event_id, {sql_u('event_id + 17')} AS u FROM events)"
 
 @query(
     f"""WITH w AS (SELECT p_partkey, CASE WHEN p_size > 25 THEN 4.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM part), c AS (SELECT p_partkey, sum(w) OVER (ORDER BY p_partkey) / sum(w) OVER () AS hi FROM w)
- SELECT event_id, min(p_partkey) AS p_partkey FROM {_DRAW} d JOIN c ON c.hi > d.u WHERE event_id % 10 = 0 GROUP BY event_id"""
+ SELECT event_id, p_partkey FROM {_DRAW} d ASOF JOIN c ON d.u < c.hi"""
 )
 def weighted_choice(spark, sf_dir):
     from voxframe.operators.sampling import weighted_choice as choose
 
     p = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") > 25, 4.0).otherwise(1.0).alias("w"))
-    d = table(spark, sf_dir, "events").where("event_id % 10 = 0").select("event_id", u(F.col("event_id") + 17).alias("u"))
+    d = table(spark, sf_dir, "events").select("event_id", u(F.col("event_id") + 17).alias("u"))
     return choose(d, p, "p_partkey", "w").select("event_id", "p_partkey")
 
 
@@ -484,7 +485,8 @@ def taper_blend(spark, sf_dir):
 
 @query(f"SELECT i AS y, count(*) AS n, CAST(sum(v) AS BIGINT) AS s FROM (SELECT i, CASE WHEN k < 96 THEN k ELSE 190 - k END AS src FROM (SELECT i, ((i % 190) + 190) % 190 AS k FROM range(-20, 117) t(i))) r JOIN ({VOX}) v ON v.y = r.src GROUP BY i")
 def reflect_pad(spark, sf_dir):
-    padded = spark.range(-20, 117).select(F.col("id").alias("i"), voxels.reflect(F.col("id"), 96).cast("int").alias("src"))
+    g = grid_of(sf_dir)
+    padded = spark.range(-20, g + 21).select(F.col("id").alias("i"), voxels.reflect(F.col("id"), g).cast("int").alias("src"))
     return voxel_table(spark, sf_dir).join(padded, F.col("y") == F.col("src")).groupBy(F.col("i").alias("y")).agg(F.count("*").alias("n"), F.sum("v").alias("s"))
 
 
@@ -581,14 +583,14 @@ def aug_defect(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE g AS (SELECT y, x, z, v::DOUBLE AS v FROM ({VOX}) WHERE y < 8 AND x < 8),
+    f"""WITH RECURSIVE g AS (SELECT y, x, z, v::DOUBLE AS v FROM ({VOX})),
  c AS (SELECT a.y, a.x, s.z, coalesce(g.v, 0.0::DOUBLE) AS v, s.z IN (1, 2, 5) AS missing FROM (SELECT DISTINCT y, x FROM g) a CROSS JOIN (SELECT CAST(range AS INTEGER) AS z FROM range(7)) s LEFT JOIN g ON g.y = a.y AND g.x = a.x AND g.z = s.z),
  r AS (SELECT y, x, z, CASE WHEN missing THEN (0 + coalesce((SELECT v FROM c n WHERE n.y = c.y AND n.x = c.x AND n.z = c.z + 1), 0)) / 2 ELSE v END AS f FROM c WHERE z = 0
   UNION ALL SELECT c.y, c.x, c.z, CASE WHEN c.missing THEN (r.f + coalesce(n.v, 0)) / 2 ELSE c.v END FROM r JOIN c ON c.y = r.y AND c.x = r.x AND c.z = r.z + 1 LEFT JOIN c n ON n.y = c.y AND n.x = c.x AND n.z = c.z + 1)
  SELECT z, y, x, round(f, 6) AS v FROM r"""
 )
 def slice_repair(spark, sf_dir):
-    v = voxel_table(spark, sf_dir).where("y < 8 and x < 8")
+    v = voxel_table(spark, sf_dir)
     full = v.select("y", "x").distinct().withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(6)))).join(v, ["z", "y", "x"], "left")
     full = full.select("z", "y", "x", F.coalesce(F.col("v").cast("double"), F.lit(0.0)).alias("v"), F.col("z").isin(1, 2, 5).alias("missing"))
     return series.repair_missing(full, ["y", "x"]).select("z", "y", "x", *r6("v"))
@@ -705,22 +707,23 @@ def watershed_split(spark, sf_dir):
     return parts.groupBy("comp", "part").agg(F.count("*").alias("n"), F.min("id").alias("first"))
 
 
-@query()
-def elongation(spark, sf_dir):
-    import numpy as np
-    import pandas as pd
+_SUMS = ", ".join(f"sum({a} * {b})::DOUBLE AS s{a}{b}" for i, a in enumerate(AX) for b in AX[i:])
+_COV = ", ".join(f"n * s{a}{b} - s{a} * s{b} AS c{a}{b}" for i, a in enumerate(AX) for b in AX[i:])
 
-    from voxframe.functions.kernels import elongation as ratio
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = pdf[["z", "y", "x"]].to_numpy()
-        mask = np.zeros(at.max(axis=0) - at.min(axis=0) + 1, bool)
-        mask[tuple((at - at.min(axis=0)).T)] = True
-        return pd.DataFrame({"comp": [pdf["comp"].iloc[0]], "ratio": [round(ratio(mask), 6)]})
-
-    lab = voxels.label(foreground(spark, sf_dir)).select("comp", *AX)
+@query(
+    f"""{COMPONENTS}, own AS (SELECT comp, z - min(z) OVER w AS z, y - min(y) OVER w AS y, x - min(x) OVER w AS x FROM lab WINDOW w AS (PARTITION BY comp)),
+ m AS (SELECT comp, count(*)::DOUBLE AS n, sum(z)::DOUBLE AS sz, sum(y)::DOUBLE AS sy, sum(x)::DOUBLE AS sx, {_SUMS} FROM own GROUP BY comp), c AS (SELECT comp, n, {_COV} FROM m),
+ d AS (SELECT *, (czz + cyy + cxx) / 3 AS q, czz * (cyy * cxx - cyx ** 2) - czy * (czy * cxx - cyx * czx) + czx * (czy * cyx - cyy * czx) AS det FROM c),
+ p AS (SELECT *, sqrt(((czz - q) ** 2 + (cyy - q) ** 2 + (cxx - q) ** 2 + 2 * (czy ** 2 + czx ** 2 + cyx ** 2)) / 6) AS p FROM d),
+ f AS (SELECT *, CASE WHEN p > 0 THEN acos(least(greatest(((czz - q) * ((cyy - q) * (cxx - q) - cyx ** 2) - czy * (czy * (cxx - q) - cyx * czx) + czx * (czy * cyx - (cyy - q) * czx)) / (2 * p ** 3), -1), 1)) / 3 ELSE 0 END AS phi FROM p),
+ lam AS (SELECT comp, n, det, q + 2 * p * cos(phi) AS e1, q + 2 * p * cos(phi - 2.0943951023931953) AS e2 FROM f)
+ SELECT comp, round(sqrt(20 * e1) / n / greatest(CASE WHEN det <= 0 OR e1 * e2 <= 0 THEN 0 ELSE sqrt(20 * det / (e1 * e2)) / n END, 1e-6), 3) AS ratio FROM lam WHERE n >= 3"""
+)
+def elongation(spark, sf_dir):
+    lab = written(voxels.label(foreground(spark, sf_dir)), "labels")
     big = lab.groupBy("comp").agg(F.count("*").alias("n")).where("n >= 3").select("comp")
-    return lab.join(big, "comp").groupBy("comp").applyInPandas(one, "comp long, ratio double")
+    return voxels.elongations(lab.join(big, "comp", "left_semi")).select("comp", F.round("ratio", 3).alias("ratio"))
 
 
 def _predicted(spark, sf_dir):
@@ -728,22 +731,55 @@ def _predicted(spark, sf_dir):
     return v.select("z", "y", "x", "p", *[((F.col("v") + k) % 7 - 3).cast("double").alias(f"v{a}") for k, a in enumerate(AX)])
 
 
-@query()
+#: Components of two voxels or more and of a mean of 0.9 or more, with their mean vectors.
+_FOUND = """found AS MATERIALIZED (SELECT comp, count(*) AS size, round(avg(v / 255.0::DOUBLE), 9) AS score, avg(v % 7 - 3) AS vz, avg((v + 1) % 7 - 3) AS vy, avg((v + 2) % 7 - 3) AS vx
+ FROM {lab} GROUP BY comp HAVING count(*) >= 2 AND round(avg(v / 255.0::DOUBLE), 9) >= 0.9)"""
+_BY_PEAK = "SELECT comp, z, y, x FROM (SELECT *, row_number() OVER (PARTITION BY comp ORDER BY v DESC, z, y, x) AS k FROM {lab}) WHERE k = 1"
+_ROUNDED = ", ".join(f"round({p}_{a}, 6) AS {p}_{a}" for p in ("post", "pre") for a in AX)
+_OUT = [*[f"{p}_{a}" for p in ("post", "pre") for a in AX], "score"]
+
+
+@query(
+    f"""{COMPONENTS}, {_FOUND.format(lab="lab")}, own AS MATERIALIZED (SELECT l.* FROM lab l SEMI JOIN found f ON l.comp = f.comp),
+ box AS (SELECT comp, min(z) z0, max(z) z1, min(y) y0, max(y) y1, min(x) x0, max(x) x1 FROM own GROUP BY comp),
+ cells AS (SELECT comp, zz AS z, yy AS y, unnest(range(x0, x1 + 1)) AS x FROM (SELECT *, unnest(range(y0, y1 + 1)) AS yy FROM (SELECT *, unnest(range(z0, z1 + 1)) AS zz FROM box))),
+ holes AS (SELECT c.* FROM cells c ANTI JOIN own l ON c.comp = l.comp AND c.z = l.z AND c.y = l.y AND c.x = l.x),
+ far AS MATERIALIZED (SELECT l.comp, l.z, l.y, l.x, coalesce(min((l.z - h.z) ** 2 + (l.y - h.y) ** 2 + (l.x - h.x) ** 2), 1e9) AS d2 FROM own l LEFT JOIN holes h ON l.comp = h.comp GROUP BY ALL),
+ place AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY comp ORDER BY d2 DESC, z, y, x) AS k FROM far) WHERE k = 1),
+ d AS MATERIALIZED (SELECT f.comp, f.size, f.score, (p.z * 2)::DOUBLE AS post_z, p.y::DOUBLE AS post_y, p.x::DOUBLE AS post_x, (p.z + vz) * 2 AS pre_z, p.y + vy AS pre_y, p.x + vx AS pre_x, row_number() OVER (ORDER BY f.score DESC, f.comp) AS rk FROM found f JOIN place p ON f.comp = p.comp),
+ c AS MATERIALIZED (SELECT a.rk AS hi, b.rk AS lo FROM d a JOIN d b ON a.rk < b.rk AND b.post_z BETWEEN a.post_z - 4 AND a.post_z + 4 AND b.post_y BETWEEN a.post_y - 4 AND a.post_y + 4 WHERE sqrt((a.post_z - b.post_z) ** 2 + (a.post_y - b.post_y) ** 2 + (a.post_x - b.post_x) ** 2) < 4),
+ s(rk, kept) USING KEY (rk) AS (SELECT rk, 1 FROM d WHERE rk = 1 UNION
+  SELECT n.rk, CASE WHEN count(r.rk) > 0 THEN 0 ELSE 1 END FROM s JOIN d n ON n.rk = s.rk + 1 LEFT JOIN c ON c.lo = n.rk
+  LEFT JOIN recurring.s r ON r.rk = c.hi AND r.kept = 1 GROUP BY n.rk)
+ SELECT row_number() OVER (ORDER BY d.rk) - 1 AS id, {_ROUNDED}, round(score, 6) AS score, size FROM d JOIN s ON d.rk = s.rk WHERE s.kept = 1"""
+)
 def extract_detections(spark, sf_dir):
     from voxframe.plans.extract import ExtractParams, extract
 
     g = grid_of(sf_dir)
     p = ExtractParams(cc_threshold=0.88, score_thr=0.9, size_thr=2, nms_radius=4.0, voxel_size=(2.0, 1.0, 1.0))
-    return extract(_predicted(spark, sf_dir), g, g, p)
+    return extract(_predicted(spark, sf_dir), g, g, p).select("id", *r6(*_OUT), "size")
 
 
-@query()
+@query(
+    f"""{COMPONENTS}, {_FOUND.format(lab="lab")}, place AS MATERIALIZED ({_BY_PEAK.format(lab="lab")}),
+ strong AS (SELECT p.* FROM place p JOIN (SELECT comp FROM lab GROUP BY comp HAVING round(avg(v / 255.0::DOUBLE), 9) >= 0.95) USING (comp)),
+ hole AS (SELECT DISTINCT z + a AS z, y + b AS y, x + c AS x FROM strong, range(-1, 2) ta(a), range(-3, 4) tb(b), range(-3, 4) tc(c) WHERE a ** 2 + (b / 3.0) ** 2 + (c / 3.0) ** 2 <= 1),
+ fg2 AS MATERIALIZED (SELECT fg.* FROM fg ANTI JOIN hole h ON fg.z = h.z AND fg.y = h.y AND fg.x = h.x ANTI JOIN (SELECT l.id FROM lab l SEMI JOIN found f ON l.comp = f.comp) t ON fg.id = t.id),
+ g1 AS ({fx.EDGES.replace("fg a", "fg2 a").replace("fg b", "fg2 b")}), g AS MATERIALIZED (SELECT a, b FROM g1 UNION ALL SELECT b, a FROM g1),
+ cc2(id, comp) USING KEY (id) AS (SELECT id, id FROM fg2 UNION
+  SELECT g.b, min(c.comp) FROM cc2 c JOIN g ON c.id = g.a JOIN recurring.cc2 r ON r.id = g.b WHERE c.comp < r.comp GROUP BY g.b),
+ lab2 AS MATERIALIZED (SELECT fg2.*, cc2.comp FROM fg2 JOIN cc2 ON fg2.id = cc2.id), {_FOUND.format(lab="lab2").replace("found AS MATERIALIZED", "found2 AS MATERIALIZED")}, place2 AS ({_BY_PEAK.format(lab="lab2")}),
+ one AS (SELECT * FROM found JOIN place USING (comp)), two AS (SELECT * FROM found2 JOIN place2 USING (comp)),
+ every AS (SELECT * FROM one UNION ALL BY NAME SELECT * FROM two t WHERE NOT EXISTS (SELECT 1 FROM one o WHERE sqrt((o.z - t.z) ** 2 + (o.y - t.y) ** 2 + (o.x - t.x) ** 2) < 1.5))
+ SELECT row_number() OVER (ORDER BY score DESC, comp) - 1 AS id, z::DOUBLE AS post_z, y::DOUBLE AS post_y, x::DOUBLE AS post_x, round(z + vz, 6) AS pre_z, round(y + vy, 6) AS pre_y, round(x + vx, 6) AS pre_x, round(score, 6) AS score, size FROM every"""
+)
 def suppression_pass(spark, sf_dir):
     from voxframe.plans.extract import ExtractParams, extract
 
     g = grid_of(sf_dir)
-    p = ExtractParams(cc_threshold=0.88, score_thr=0.9, size_thr=2, loc_type="peak", suppression=True, suppression_threshold=0.95, suppression_radius=(1.0, 3.0, 3.0))
-    return extract(_predicted(spark, sf_dir), g, g, p)
+    p = ExtractParams(cc_threshold=0.88, score_thr=0.9, size_thr=2, loc_type="peak", suppression=True, suppression_threshold=0.95, suppression_radius=(1.0, 3.0, 3.0), suppression_min_separation=1.5)
+    return extract(_predicted(spark, sf_dir), g, g, p).select("id", *r6(*_OUT), "size")
 
 
 @query(

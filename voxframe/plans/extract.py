@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.functions.kernels import distance_transform, elongation, split_mask
-from voxframe.operators import grid, render, voxels
+from voxframe.functions.kernels import distance_transform, split_mask
+from voxframe.operators import grid, voxels
 from voxframe.operators.nms import nms
 from voxframe.operators.ranking import global_index
 from voxframe.storage import written
@@ -45,6 +45,9 @@ class ExtractParams:
     suppression_threshold: float = 0.9
     suppression_radius: tuple[float, float, float] = field(default=(3.0, 8.0, 8.0))
     suppression_min_separation: float = 5.0
+    #: Thresholds of the second pass; those of the first where not given.
+    suppression_score_thr: float | None = None
+    suppression_size_thr: int | None = None
 
     @classmethod
     def of(cls, config: dict) -> ExtractParams:
@@ -57,6 +60,9 @@ def split_components(labelled: DataFrame, p: ExtractParams) -> DataFrame:
     """labelled with ``part``: components of at least split_min_size voxels and the wanted elongation are cut at their
     distance peaks. One component is one group, as large as one object."""
     big = labelled.groupBy("comp").agg(F.count("*").alias("n")).where(F.col("n") >= p.split_min_size).select("comp")
+    if p.split_min_elongation > 0:
+        long = voxels.elongations(labelled.join(big, "comp", "left_semi")).where(F.col("ratio") >= p.split_min_elongation)
+        big = big.join(long, "comp", "left_semi")
     rest = labelled.join(big, "comp", "left_anti").withColumn("part", F.lit(0))
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -65,8 +71,6 @@ def split_components(labelled: DataFrame, p: ExtractParams) -> DataFrame:
         mask = np.zeros(at.max(axis=0) - lo + 1, bool)
         mask[tuple((at - lo).T)] = True
         pdf = pdf.assign(part=0)
-        if elongation(mask) < p.split_min_elongation:
-            return pdf
         parts = split_mask(mask, p.split_min_peak_dist, p.split_min_sub_size)
         if len(parts) == 1 and parts[0].sum() == len(pdf):
             return pdf
@@ -104,34 +108,61 @@ def edt_locations(labelled: DataFrame) -> DataFrame:
     return by_joins.unionByName(by_kernel)
 
 
-def locate(vox: DataFrame, height: int, width: int, p: ExtractParams) -> tuple[DataFrame, DataFrame]:
-    """Detections in voxel units (post_*, v*, score, size, comp) of voxels (z, y, x, p, vz, vy, vx), and the labelled voxels."""
-    fg = vox.where(F.col("p") >= p.cc_threshold).withColumn("id", voxels.voxel_id(height, width))
-    lab = written(voxels.label(fg), "labels")
-    if p.splitting:
-        lab = split_components(lab, p).withColumn("whole", F.col("comp")).withColumn("comp", F.xxhash64("comp", "part"))
-    found = voxels.survivors(voxels.measure(lab, p.score_type, F.col("p")), p.size_thr, p.score_thr)
-    means = lab.groupBy("comp").agg(*[F.avg(f"v{a}").alias(f"v{a}") for a in "zyx"], F.min("id").alias("first"))
-    found = found.join(means, "comp")
+def _places(lab: DataFrame, measured: DataFrame, p: ExtractParams) -> DataFrame:
+    """measured with post_*: the centroid, the peak of the distance, or the peak of the value, by loc_type."""
     if p.loc_type == "edt":
-        found = found.join(edt_locations(lab.join(found.select("comp"), "comp", "left_semi")), "comp")
+        measured = measured.join(edt_locations(lab.join(measured.select("comp"), "comp", "left_semi")), "comp")
         place = {a: F.col(f"e{a}") for a in "zyx"}
     else:
         place = {a: F.col(f"c{a}" if p.loc_type == "centroid" else f"p{a}").cast("double") for a in "zyx"}
+    return measured.withColumns({f"post_{a}": place[a] for a in "zyx"})
+
+
+def _measured(lab: DataFrame, p: ExtractParams) -> DataFrame:
+    """Measures of each component; scores are told apart to nine places, so that their order does not hang on that of sums."""
+    return voxels.measure(lab, p.score_type, F.col("p")).withColumn("score", F.round("score", 9))
+
+
+def locate(vox: DataFrame, height: int, width: int, p: ExtractParams) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Detections in voxel units (post_*, v*, score, size, comp, first) of voxels (z, y, x, p, vz, vy, vx), the labelled voxels, and
+    the components that passed the thresholds. Size and score are asked of whole components; of the parts of one that
+    is split, only the score. Without foreground everything is empty and no component is looked for."""
+    fg = written(vox.where(F.col("p") >= p.cc_threshold).withColumn("id", voxels.voxel_id(height, width)), "foreground")
+    lab = fg.withColumn("comp", F.col("id")) if fg.isEmpty() else written(voxels.label(fg), "labels")
+    passed = voxels.survivors(_measured(lab, p), p.size_thr, p.score_thr)
+    if p.splitting:
+        passed = written(passed, "passed")
+        own = split_components(lab.join(passed.select("comp"), "comp", "left_semi").select(*lab.columns), p).withColumn("comp", F.xxhash64("comp", "part"))
+        found = _measured(own, p).where(F.col("score") >= p.score_thr)
+    else:
+        own, found = lab, passed
+    means = own.groupBy("comp").agg(*[F.avg(f"v{a}").alias(f"v{a}") for a in "zyx"], F.min("id").alias("first"))
+    found = _places(own, found.join(means, "comp"), p)
     scale = {a: s if p.vector_op == "multiply" else 1 / s for a, s in zip("zyx", p.vector_scale, strict=True)}
-    det = found.select("comp", "first", *[place[a].alias(f"post_{a}") for a in "zyx"], *[(F.col(f"v{a}") * scale[a]).alias(f"v{a}") for a in "zyx"], "score", "size")
-    return grid.partner(det, p.post_offset, p.pre_offset), lab
-
-
-def suppressed_pass(vox: DataFrame, lab: DataFrame, first: DataFrame, height: int, width: int, p: ExtractParams) -> DataFrame:
-    """A second pass for weak neighbours of strong objects: an ellipsoid around every strong component and all voxels of
-    accepted ones are taken out, the rest is labelled anew, and detections near the first ones are dropped."""
-    strong = voxels.measure(lab, p.score_type, F.col("p")).where(F.col("score") >= p.suppression_threshold)
-    centres = strong.select(F.col("comp").alias("id"), *[F.col(f"c{a}").alias(a) for a in "zyx"])
-    holes = render.blobs(centres, p.suppression_radius, (1 << 30, 1 << 30, 1 << 30), grow=0.0).select("z", "y", "x").distinct()
-    taken = lab.join(first.select("comp"), "comp", "left_semi").select("z", "y", "x")
-    left = vox.join(holes, ["z", "y", "x"], "left_anti").join(taken, ["z", "y", "x"], "left_anti")
-    more, _ = locate(left, height, width, p)
+    det = found.select("comp", "first", *[f"post_{a}" for a in "zyx"], *[(F.col(f"v{a}") * scale[a]).alias(f"v{a}") for a in "zyx"], "score", "size")
+    return det, lab, passed.select("comp")
+
+
+def ellipsoids(centres: DataFrame, radius: tuple[float, float, float]) -> DataFrame:
+    """Distinct voxels (z, y, x) of the ellipsoids about real-valued centres (post_*), their surfaces included."""
+    out = centres.select(*[F.col(f"post_{a}").alias(f"_{a}") for a in "zyx"])
+    inside = F.lit(0.0)
+    for a, r in zip("zyx", radius, strict=True):
+        out = out.withColumn(a, F.explode(F.sequence(F.ceil(F.col(f"_{a}") - r).cast("int"), F.floor(F.col(f"_{a}") + r).cast("int"))))
+        inside = inside + F.pow((F.col(a) - F.col(f"_{a}")) / r, 2)
+    return out.where(inside <= 1.0).select("z", "y", "x").distinct()
+
+
+def suppressed_pass(vox: DataFrame, lab: DataFrame, passed: DataFrame, first: DataFrame, height: int, width: int, p: ExtractParams) -> DataFrame:
+    """A second pass for weak neighbours of strong objects: an ellipsoid around every strong component, placed by loc_type, and
+    all voxels of the components that passed are taken out, the rest is labelled anew, and detections nearer to the first
+    ones' final places than the least separation are dropped."""
+    strong = _places(lab, _measured(lab, p).where(F.col("score") >= p.suppression_threshold), p)
+    taken = lab.join(passed, "comp", "left_semi").select("z", "y", "x")
+    left = vox.join(ellipsoids(strong, p.suppression_radius), ["z", "y", "x"], "left_anti").join(taken, ["z", "y", "x"], "left_anti")
+    score = p.score_thr if p.suppression_score_thr is None else p.suppression_score_thr
+    size = p.size_thr if p.suppression_size_thr is None else p.suppression_size_thr
+    more, _, _ = locate(left, height, width, replace(p, splitting=False, score_thr=score, size_thr=size))
     keyed = more.withColumn("id", F.col("comp"))
     return grid.separated(keyed, first, p.suppression_min_separation, "id").drop("id")
 
@@ -139,9 +170,12 @@ def suppressed_pass(vox: DataFrame, lab: DataFrame, first: DataFrame, height: in
 def extract(vox: DataFrame, height: int, width: int, p: ExtractParams = ExtractParams()) -> DataFrame:
     """Detections in world units with ids from 0 by score: threshold, components, measures, location, partner, pass for
     weak neighbours, scale, flip, suppression of neighbours within nms_radius."""
-    det, lab = locate(vox, height, width, p)
+    found, lab, passed = locate(vox, height, width, p)
+    det = grid.partner(found, p.post_offset, p.pre_offset)
     if p.suppression:
-        det = det.unionByName(suppressed_pass(vox, lab, det, height, width, p))
+        det = written(det, "first-pass")
+        more = suppressed_pass(vox, lab, passed, grid.flip(det, p.flipprepost), height, width, p)
+        det = det.unionByName(grid.partner(more, p.post_offset, p.pre_offset))
     det = grid.affine(det, p.voxel_size, p.offset)
     det = grid.affine(det, p.voxel_size, p.offset, ("pre_z", "pre_y", "pre_x"))
     det = written(grid.flip(det, p.flipprepost).withColumn("id", F.col("first")), "detections")

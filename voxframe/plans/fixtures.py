@@ -60,7 +60,7 @@ EDGES = """SELECT a.id AS a, b.id AS b FROM fg a JOIN fg b ON (b.z = a.z + 1 AND
 COMPONENTS = f"""WITH RECURSIVE fg AS ({FG}), e1 AS ({EDGES}), e AS (SELECT a, b FROM e1 UNION ALL SELECT b, a FROM e1),
  cc(id, comp) USING KEY (id) AS (SELECT id, id FROM fg UNION
   SELECT e.b, min(c.comp) FROM cc c JOIN e ON c.id = e.a JOIN recurring.cc r ON r.id = e.b WHERE c.comp < r.comp GROUP BY e.b),
- lab AS (SELECT fg.*, cc.comp FROM fg JOIN cc ON fg.id = cc.id)"""
+ lab AS MATERIALIZED (SELECT fg.*, cc.comp FROM fg JOIN cc ON fg.id = cc.id)"""
 
 
 def sql_u(key: str) -> str:

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from voxframe.plans import catalogue
+from voxframe.plans import catalogue, catalogue_training  # noqa: F401  (registers its queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxframe.operators.nn import central, trilinear
+from voxframe.operators.series import repair_missing
+from voxframe.operators.voxels import unravel, voxel_id
+
+
+#: Keys that count up are spread by this factor, as the generator's numbers of neighbouring keys are close.
+SPREAD = 104729
+
 
 def uniform(key: Column) -> Column:
     return F.pmod(key.cast("long") * 48271, F.lit(2147483647)) / F.lit(2147483647.0)
@@ -76,14 +86,167 @@ def scale_shift(df: DataFrame, scale: float = 2.0, shift: float = -1.0) -> DataF
     return df.withColumn("p", F.col("p") * scale + shift)
 
 
-def pipeline(df: DataFrame, params: dict, seed: int = 1) -> DataFrame:
-    """The enabled steps in their order, each gated by apply_prob; then scale and shift."""
-    import random
+def drawn(key: int) -> float:
+    """The portable uniform number of a key, on the driver."""
+    return (key * 48271) % 2147483647 / 2147483647.0
+
+
+def by_slice(seed: int) -> Column:
+    """A uniform number of each slice; neighbouring slices get keys far apart."""
+    return uniform(F.col("z").cast("long") * SPREAD + seed)
+
+
+def simple(df: DataFrame, height: int, width: int, seed: int = 1) -> DataFrame:
+    """Flips along y and x and a transpose, each in half of the draws."""
+    return flip_transpose(df, height, width, *[drawn(seed + k) < 0.5 for k in (1, 2, 3)])
+
+
+def drawn_holes(height: int, width: int, n: int = 2, size: tuple[int, int] = (20, 20), seed: int = 1) -> list[tuple[int, int, int, int]]:
+    """n holes for ``cutout``: the first size goes along x and the second along y."""
+    along_x, along_y = size
+    return [(int(drawn(seed + 2 * k) * max(1, height - along_y)), int(drawn(seed + 2 * k + 1) * max(1, width - along_x)), along_x, along_y) for k in range(n)]
+
+
+def cutout_drawn(df: DataFrame, height: int, width: int, prob: float = 0.5, n: int = 2, size: tuple[int, int] = (20, 20), seed: int = 1) -> DataFrame:
+    return cutout(df, drawn_holes(height, width, n, size, seed + 1)) if drawn(seed) < prob else df
+
+
+def gaussian(df: DataFrame, axis: str, n: int, sigma: Column, most: float, value: str = "p", truncate: float = 4.0) -> DataFrame:
+    """One-dimensional Gaussian along an axis of n places, the border mirrored with its edge; sigma may differ between rows
+    of different slices, up to ``most``. Each voxel scatters its weighted value, and the sums are added up partially."""
+    others = [c for c in df.columns if c not in (axis, value)]
+    r = F.floor(sigma * truncate + 0.5).cast("int")
+
+    def bell(k: Column) -> Column:
+        return F.exp(-0.5 * (k / sigma) * (k / sigma))
+
+    total = F.aggregate(F.sequence(-r, r), F.lit(0.0), lambda acc, k: acc + bell(k))
+    images = int(truncate * most + 0.5) // (2 * n) + 1
+    at = F.col(axis)
+    df = df.withColumn("_k", F.explode(F.sequence(-r, r))).withColumn("_w", bell(F.col("_k")) / total)
+    mirrors = [x for m in range(-images, images + 1) for x in (at + 2 * n * m - F.col("_k"), 2 * n * m - 1 - at - F.col("_k"))]
+    df = df.withColumn("_to", F.explode(F.filter(F.array(*mirrors), lambda i: i.between(0, n - 1))))
+    return df.groupBy(*others, F.col("_to").cast("int").alias(axis)).agg(F.sum(F.col("_w") * F.col(value)).alias(value))
+
+
+def blur(df: DataFrame, height: int, width: int, prob: float = 0.1, sigma: tuple[float, float] = (0.0, 1.5), seed: int = 1) -> DataFrame:
+    """Blur of single slices (z, y, x, p) with a sigma drawn for each; those of at most 0.1 stay as they are."""
+    own = sigma[0] + (sigma[1] - sigma[0]) * by_slice(seed + 1000)
+    hit = (by_slice(seed) < prob) & (own > 0.1)
+    soft = df.where(hit).select("z", "y", "x", "p")
+    for axis, n in (("y", height), ("x", width)):
+        soft = gaussian(soft, axis, n, own, sigma[1])
+    return df.where(~hit).select("z", "y", "x", "p").unionByName(soft)
+
 
-    rng = random.Random(seed)
-    steps = {"intensity": intensity, "noise": noise, "gamma": gamma, "invert": invert, "salt_pepper": salt_pepper}
-    for name, f in steps.items():
-        p = params.get(name, {})
-        if p.get("enabled", True) and rng.random() < p.get("apply_prob", 1.0):
-            df = f(df, seed=rng.randrange(1 << 20))
+def defects(df: DataFrame, shape: tuple[int, int, int], missing: float = 0.03, dark: float = 0.03, shift: float = 0.03, most_shift: int = 16, seed: int = 1) -> DataFrame:
+    """Slices that are missing (the mean of both neighbours, 0 at the ends), dark or shifted, by one number of each slice."""
+    depth, height, width = shape
+    kind = defect_kind(F.col("z").cast("long") * SPREAD, missing, dark, shift, seed)
+    full = df.select("y", "x").distinct().withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(depth - 1)))).join(df.select("z", "y", "x", "p"), ["z", "y", "x"], "left")
+    full = full.select("z", "y", "x", F.coalesce("p", F.lit(0.0)).alias("v"), (kind == "missing").alias("missing"))
+    out = repair_missing(full, ["y", "x"]).withColumnRenamed("v", "p").withColumn("_kind", kind)
+    out = out.withColumn("p", F.when(F.col("_kind") == "dark", F.col("p") * (0.1 + 0.3 * by_slice(seed + 1000))).otherwise(F.col("p")))
+
+    def step(k: int) -> Column:
+        return F.when(F.col("_kind") == "shift", F.floor(by_slice(seed + k) * (2 * most_shift + 1)).cast("int") - most_shift).otherwise(0)
+
+    return roll(out, height, width, step(2000), step(3000)).select("z", "y", "x", _clip(F.col("p")).alias("p"))
+
+
+def normal(key: Column) -> Column:
+    """A standard normal number of a key, from two portable uniforms."""
+    k = key.cast("long") * SPREAD
+    return F.sqrt(-2 * F.log(F.greatest(uniform(k), F.lit(1e-12)))) * F.cos(F.lit(6.283185307179586) * uniform(k * 7 + 331))
+
+
+def control_grid(spark: SparkSession, shape: tuple[int, int, int], spacing: tuple[int, int, int], sigma: tuple[float, float, float], seed: int = 1) -> DataFrame:
+    """(c, z, y, x, p): a coarse grid of normal numbers for each component c, smoothed with a sigma of 1."""
+    n = [max(2, -(-s // k) + 1) for s, k in zip(shape, spacing, strict=True)]
+    i = F.col("id")
+    nodes = spark.range(3 * n[0] * n[1] * n[2]).select(
+        F.floor(i / (n[0] * n[1] * n[2])).cast("int").alias("c"), F.pmod(F.floor(i / (n[1] * n[2])), F.lit(n[0])).cast("int").alias("z"),
+        F.pmod(F.floor(i / n[2]), F.lit(n[1])).cast("int").alias("y"), F.pmod(i, F.lit(n[2])).cast("int").alias("x"), normal(i + seed).alias("p"),
+    )
+    nodes = nodes.withColumn("p", F.col("p") * F.element_at(F.array(*[F.lit(float(s)) for s in sigma]), F.col("c") + 1))
+    for axis, k in zip("zyx", n, strict=True):
+        nodes = gaussian(nodes, axis, k, F.lit(1.0), 1.0)
+    return nodes
+
+
+def displacements(vox: DataFrame, shape: tuple[int, int, int], spacing: tuple[int, int, int], sigma: tuple[float, float, float], seed: int = 1) -> DataFrame:
+    """(z, y, x, dz, dy, dx): the control grid enlarged linearly to the places of vox, each of which asks its eight nodes."""
+    n = [max(2, -(-s // k) + 1) for s, k in zip(shape, spacing, strict=True)]
+    at = vox.select("z", "y", "x").distinct()
+    for a, s, k in zip("zyx", shape, n, strict=True):
+        place = F.col(a) * (k - 1) / float(max(s - 1, 1))
+        at = at.withColumn(f"_{a}", F.least(F.floor(place), F.lit(k - 2)).cast("int")).withColumn(f"_f{a}", place - F.col(f"_{a}"))
+    at = at.withColumn("_b", F.explode(F.array(*[F.array(*[F.lit(i >> b & 1) for b in range(3)]) for i in range(8)])))
+    w = F.lit(1.0)
+    for b, a in enumerate("zyx"):
+        w = w * F.when(F.col("_b")[b] == 1, F.col(f"_f{a}")).otherwise(1 - F.col(f"_f{a}"))
+    at = at.select("z", "y", "x", w.alias("_w"), *[(F.col(f"_{a}") + F.col("_b")[b]).alias(f"_{a}") for b, a in enumerate("zyx")])
+    nodes = control_grid(vox.sparkSession, shape, spacing, sigma, seed).groupBy(*[F.col(a).alias(f"_{a}") for a in "zyx"]).agg(*[F.max(F.when(F.col("c") == c, F.col("p"))).alias(f"_p{c}") for c in range(3)])
+    return at.join(nodes, ["_z", "_y", "_x"]).groupBy("z", "y", "x").agg(*[F.sum(F.col("_w") * F.col(f"_p{c}")).alias(f"d{a}") for c, a in enumerate("zyx")])
+
+
+def rotation(vox: DataFrame, height: int, width: int, angle: float) -> DataFrame:
+    """(z, y, x, dz, dy, dx): the field of a turn in the plane about the middle."""
+    yy, xx = F.col("y") - (height - 1) / 2.0, F.col("x") - (width - 1) / 2.0
+    c, s = math.cos(angle), math.sin(angle)
+    return vox.select("z", "y", "x", F.lit(0.0).alias("dz"), ((c - 1) * yy - s * xx).alias("dy"), (s * yy + (c - 1) * xx).alias("dx"))
+
+
+def warp(vox: DataFrame, field: DataFrame, shape: tuple[int, int, int], value: str = "p") -> DataFrame:
+    """Values of vox, read linearly at each voxel plus its displacement; places outside count as the nearest inside."""
+    place = {a: F.least(F.greatest(F.col(a) + F.col(f"d{a}"), F.lit(0.0)), F.lit(float(n - 1))) for a, n in zip("zyx", shape, strict=True)}
+    asked = field.select(((F.col("z").cast("long") * shape[1] + F.col("y")) * shape[2] + F.col("x")).alias("id"), *[place[a].alias(a) for a in "zyx"])
+    got = trilinear(vox.select("z", "y", "x", F.col(value).alias("v")), asked)
+    return got.select(*[c.alias(a) for a, c in unravel(F.col("id"), shape[1], shape[2]).items()], F.col("v").alias(value))
+
+
+def elastic(vox: DataFrame, shape: tuple[int, int, int], spacing: tuple[int, int, int] = (50, 10, 10), sigma: tuple[float, float, float] = (0.0, 2.0, 2.0), slip: float = 0.0, most_slip: int = 0, binary: bool = False, seed: int = 1) -> DataFrame:
+    """Elastic deformation: a smooth field, and slices that slip sideways by whole voxels with the probability ``slip``.
+    A binary volume is made binary again at one half."""
+    field = displacements(vox, shape, spacing, sigma, seed)
+    if slip > 0:
+        hit = by_slice(seed + 500) < slip
+        moved = {f"d{a}": F.col(f"d{a}") + F.when(hit, F.floor(by_slice(seed + k) * (2 * most_slip + 1)) - most_slip).otherwise(0) for a, k in (("y", 600), ("x", 700))}
+        field = field.withColumns(moved)
+    out = warp(vox, field, shape)
+    return out.withColumn("p", F.when(F.col("p") > 0.5, 1.0).otherwise(0.0)) if binary else out
+
+
+def turned_vectors(df: DataFrame) -> DataFrame:
+    """df (z, y, x, dz, dy, dx, vz, vy, vx) with vectors multiplied by the Jacobian of the deformation, identity plus field."""
+    for c in "zyx":
+        for axis in "zyx":
+            df = df.withColumn(f"_j{c}{axis}", central(f"d{c}", axis) + (1.0 if c == axis else 0.0))
+    return df.withColumns({f"v{c}": sum((F.col(f"_j{c}{a}") * F.col(f"v{a}") for a in "zyx"), F.lit(0.0)) for c in "zyx"}).drop(*[f"_j{c}{a}" for c in "zyx" for a in "zyx"])
+
+
+def pipeline(df: DataFrame, params: dict, shape: tuple[int, int, int], seed: int = 1) -> DataFrame:
+    """The enabled steps in their order, each gated by apply_prob (but elastic); then scale and shift. Voxels need id."""
+    depth, height, width = shape
+
+    def slim(out: DataFrame) -> DataFrame:
+        return out.withColumn("id", voxel_id(height, width))
+
+    steps = {
+        "simple": lambda d, k, o: simple(d, height, width, k),
+        "intensity": lambda d, k, o: intensity(d, seed=k, **o),
+        "noise": lambda d, k, o: noise(d, seed=k, **o),
+        "defect": lambda d, k, o: slim(defects(d, shape, seed=k, **o)),
+        "elastic": lambda d, k, o: slim(elastic(d, shape, seed=k, **o)),
+        "blur": lambda d, k, o: slim(blur(d, height, width, seed=k, **o)),
+        "gamma": lambda d, k, o: gamma(d, seed=k, **o),
+        "invert": lambda d, k, o: invert(d, seed=k, **o),
+        "cutout": lambda d, k, o: cutout_drawn(d, height, width, seed=k, **o),
+        "salt_pepper": lambda d, k, o: salt_pepper(d, seed=k, **o),
+    }
+    for i, (name, step) in enumerate(steps.items()):
+        own = dict(params.get(name, {}))
+        enabled, prob = own.pop("enabled", True), own.pop("apply_prob", 1.0)
+        if enabled and (name == "elastic" or drawn(seed + 10 * i) < prob):
+            df = step(df, seed + 10 * i + 1, own)
     return scale_shift(df)

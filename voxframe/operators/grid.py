@@ -126,3 +126,37 @@ def box_overlap(left: DataFrame, right: DataFrame, cell: int, axes: str = "zyx")
         cond = cond & (F.floor(F.greatest(f"l_{x}0", f"r_{x}0") / cell) == F.col(f"_c{x}")) & (F.col(f"l_{x}1") > F.col(f"r_{x}0")) & (F.col(f"l_{x}0") < F.col(f"r_{x}1"))
     cells = [f"_c{x}" for x in axes]
     return celled(left, "l").join(celled(right, "r"), cells).where(cond).drop(*cells)
+
+
+def matched_one_to_one(left: DataFrame, right: DataFrame, radius: float, key: str = "id", columns: tuple[str, ...] = POST) -> DataFrame:
+    """(l_id, r_id, dist): the pairs that a greedy pass by (dist, l_id, r_id) would keep, each row at most once.
+
+    A pair that is the best of both its rows is kept; its rows leave, and rounds go on until no pair is left."""
+    pairs = radius_join(left.select(key, *columns), right.select(key, *columns), radius, False, columns).select(F.col(f"l_{key}").alias("l_id"), F.col(f"r_{key}").alias("r_id"), "dist")
+    pairs, out = written(pairs, "pairs"), None
+    while not pairs.isEmpty():
+        mine = pairs.groupBy("l_id").agg(F.min(F.struct("dist", "l_id", "r_id")).alias("m"))
+        its = pairs.groupBy("r_id").agg(F.min(F.struct("dist", "l_id", "r_id")).alias("m"))
+        kept = mine.select("m").join(its.select(F.col("m").alias("n")), (F.col("m.l_id") == F.col("n.l_id")) & (F.col("m.r_id") == F.col("n.r_id"))).select("m.l_id", "m.r_id", "m.dist")
+        kept = written(kept, "matches")
+        out = kept if out is None else out.unionByName(kept)
+        pairs = written(pairs.join(kept.select("l_id"), "l_id", "left_anti").join(kept.select("r_id"), "r_id", "left_anti"), "pairs")
+    return pairs if out is None else out
+
+
+def segments_of(det: DataFrame, segments: DataFrame) -> DataFrame:
+    """det with post_segment and pre_segment: the segment id of the voxel (z, y, x, segment) that each end lies in, else null."""
+    out = det
+    for end in ("post", "pre"):
+        there = segments.select(*[F.col(a).cast("long").alias(f"_{a}") for a in "zyx"], F.col("segment").alias(f"{end}_segment"))
+        out = out.withColumns({f"_{a}": F.floor(F.col(f"{end}_{a}")) for a in "zyx"}).join(there, ["_z", "_y", "_x"], "left").drop("_z", "_y", "_x")
+    return out
+
+
+def near_slice(df: DataFrame, z0: float, within: float = 2.0, column: str = "post_z") -> DataFrame:
+    return df.where(F.abs(F.col(column) - z0) < within)
+
+
+def confident(vox: DataFrame, least: float, column: str = "p") -> DataFrame:
+    """Values below the least confidence become 0."""
+    return vox.withColumn(column, F.when(F.col(column) < least, 0.0).otherwise(F.col(column)))

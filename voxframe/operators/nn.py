@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxframe.operators.voxels import centre_crop
+
 SITE = ["z", "y", "x"]
 
 
@@ -71,12 +73,67 @@ def trilinear(vox: DataFrame, points: DataFrame) -> DataFrame:
     return df.join(vox.select(*SITE, "v"), SITE, "left").groupBy("id").agg(F.sum(F.col("w") * F.coalesce(F.col("v"), F.lit(0))).alias("v"))
 
 
-def gradient(df: DataFrame, axis: str, value: str = "v") -> DataFrame:
+def central(value: str, axis: str) -> Column:
     """Central difference along an axis, one-sided at the ends (by neighbours that are present)."""
-    others = [a for a in SITE if a != axis]
-    w = Window.partitionBy(*others).orderBy(axis)
+    w = Window.partitionBy(*[a for a in SITE if a != axis]).orderBy(axis)
     before, after, here = F.lag(value).over(w), F.lead(value).over(w), F.col(value)
-    return df.withColumn(f"d{axis}", F.when(before.isNull() & after.isNull(), 0.0).when(before.isNull(), after - here).when(after.isNull(), here - before).otherwise((after - before) / 2.0))
+    return F.when(before.isNull() & after.isNull(), 0.0).when(before.isNull(), after - here).when(after.isNull(), here - before).otherwise((after - before) / 2.0)
+
+
+def gradient(df: DataFrame, axis: str, value: str = "v") -> DataFrame:
+    return df.withColumn(f"d{axis}", central(value, axis))
+
+
+def _normalised(feat: DataFrame, keys: list[str], eps: float) -> DataFrame:
+    stats = feat.groupBy(*keys).agg(F.avg("v").alias("_m"), F.var_pop("v").alias("_s"))
+    return feat.join(F.broadcast(stats), keys).withColumn("v", (F.col("v") - F.col("_m")) / F.sqrt(F.col("_s") + eps)).drop("_m", "_s")  # a row a channel
+
+
+def batch_norm(feat: DataFrame, eps: float = 1e-5) -> DataFrame:
+    """Normalise each channel by its mean and variance over all samples."""
+    return _normalised(feat, ["c"], eps)
+
+
+def instance_norm(feat: DataFrame, sample: str, eps: float = 1e-5) -> DataFrame:
+    """Normalise each channel of each sample by its own mean and variance; samples are joined on, not sent to all."""
+    stats = feat.groupBy(sample, "c").agg(F.avg("v").alias("_m"), F.var_pop("v").alias("_s"))
+    return feat.join(stats, [sample, "c"]).withColumn("v", (F.col("v") - F.col("_m")) / F.sqrt(F.col("_s") + eps)).drop("_m", "_s")
+
+
+def parameter_count(kernels: list[list[tuple]], biases: int = 0) -> int:
+    return sum(len(k) for k in kernels) + biases
+
+
+def heads(feat: DataFrame, weights: dict[str, list[float]], bias: dict[str, float] | None = None) -> DataFrame:
+    """(z, y, x, one column a head): 1 x 1 x 1 convolutions, each a weighted sum over channels."""
+    cols = []
+    for name, w in weights.items():
+        pick = F.element_at(F.array(*[F.lit(float(x)) for x in w]), F.col("c") + 1)
+        cols.append((F.sum(F.col("v") * pick) + float((bias or {}).get(name, 0.0))).alias(name))
+    return feat.groupBy(*SITE).agg(*cols)
+
+
+def encoder(feat: DataFrame, levels: list[tuple[list[list[tuple]], int]], pools: list[tuple[int, int, int]], shape: tuple[int, int, int]) -> list[tuple[DataFrame, int, tuple[int, int, int]]]:
+    """(features, channels, shape) of each level, fine to coarse: blocks of convolutions with pooling between."""
+    out = []
+    for i, (kernels, channels) in enumerate(levels):
+        feat = conv_block(feat, kernels, channels)
+        out.append((feat, channels, shape))
+        if i < len(pools):
+            feat = max_pool3d(feat, pools[i], shape)
+            shape = tuple(s // k for s, k in zip(shape, pools[i], strict=True))
+    return out
+
+
+def decoder(skips: list[tuple[DataFrame, int, tuple[int, int, int]]], ups: list[tuple[list[tuple], int, tuple[int, int, int]]], blocks: list[tuple[list[list[tuple]], int]]) -> DataFrame:
+    """From the coarsest level up: enlarge, put the middle of the finer level's features before, and convolve. ups has
+    (kernel, channels, stride) and blocks (kernels, channels) of each step, coarse to fine."""
+    feat, _, shape = skips[-1]
+    for (skip, channels, have), (kernel, _, stride), (kernels, made) in zip(skips[-2::-1], ups, blocks, strict=True):
+        feat = conv_transpose3d(feat, kernel, stride)
+        shape = tuple(s * k for s, k in zip(shape, stride, strict=True))
+        feat = conv_block(concat_channels(centre_crop(skip, have, shape), feat, channels), kernels, made)
+    return feat
 
 
 def gaussian_kernel(sigma: float, truncate: float = 4.0) -> list[float]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,22 @@ def elastic_context(sigma: tuple[float, float, float] = (1.0, 3.0, 3.0), enabled
     import math
 
     return tuple(max(math.ceil(s) * 3 + 2, int(4 * s) + 4) if enabled else 0 for s in sigma)
+
+
+def first_accepted(candidates: DataFrame, draw: str, attempt: str, accepted: Column, u: Column, probability: float) -> DataFrame:
+    """The draw loop at once: of the attempts of each draw, the first that is accepted; draws without one are left out."""
+    ok = reject(candidates, accepted, u, probability)
+    w = Window.partitionBy(draw).orderBy(attempt)
+    return ok.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+
+
+def stride(size: int, overlap: float) -> int:
+    """Step between tiles that overlap by a share of their size; half to even, at least 1."""
+    return max(1, round(size * (1 - overlap)))
+
+
+def endless(spark: SparkSession, rows_per_second: int = 10) -> DataFrame:
+    """A stream of draws (draw, u) that does not end."""
+    from voxframe.operators.augment import uniform
+
+    return spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load().select(F.col("value").alias("draw"), uniform(F.col("value") + 1).alias("u"))

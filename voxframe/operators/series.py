@@ -44,7 +44,7 @@ def leaderboard(df: DataFrame, value: str, tie: str, n: int = 20) -> DataFrame:
 
 def repair_missing(df: DataFrame, columns: list[str]) -> DataFrame:
     """Replace missing slices (``missing``) of each column by the mean of the neighbours, one after the other: a repaired
-    slice feeds the next; ends count as 0."""
+    slice feeds the next; a missing first or last slice becomes 0."""
     order = F.sort_array(F.collect_list(F.struct("z", "v", "missing"))).alias("s")
     cols = df.groupBy(*columns).agg(order)
     zero = F.array().cast("array<double>")
@@ -52,10 +52,34 @@ def repair_missing(df: DataFrame, columns: list[str]) -> DataFrame:
     def step(acc, i):
         s = F.col("s")
         here = F.get(s, i)
-        before = F.when(i > 0, F.element_at(acc, -1)).otherwise(0.0)
-        after = F.coalesce(F.get(s, i + 1)["v"], F.lit(0.0))
-        return F.concat(acc, F.array(F.when(here["missing"], (before + after) / 2).otherwise(here["v"])))
+        mean = F.when((i > 0) & (i < F.size(s) - 1), (F.element_at(acc, -1) + F.get(s, i + 1)["v"]) / 2).otherwise(0.0)
+        return F.concat(acc, F.array(F.when(here["missing"], mean).otherwise(here["v"])))
 
     fixed = F.aggregate(F.sequence(F.lit(0), F.size("s") - 1), zero, step)
     out = cols.withColumn("f", fixed).select(*columns, F.explode(F.arrays_zip("s", "f")).alias("r"))
     return out.select(F.col("r.s.z").alias("z"), *columns, F.col("r.f").alias("v"))
+
+
+def mean_times(df: DataFrame, keys: list[str], order: str, value: str, warm_up: int = 1) -> DataFrame:
+    """Mean of each series after its first ``warm_up`` values."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    return df.withColumn("_i", F.row_number().over(w)).where(F.col("_i") > warm_up).groupBy(*keys).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+
+
+def bars(df: DataFrame, value: str, top: float, width: int = 40) -> DataFrame:
+    """df with ``bar``, a text bar of the value's share of top."""
+    share = F.least(F.greatest(F.col(value) / F.lit(float(top)), F.lit(0.0)), F.lit(1.0))
+    return df.withColumn("bar", F.repeat(F.lit("#"), F.floor(share * width).cast("int")))
+
+
+def finite_only(df: DataFrame, *values: str) -> DataFrame:
+    """Rows whose values are all finite numbers."""
+    keep = F.lit(True)
+    for v in values:
+        keep = keep & F.col(v).isNotNull() & ~F.isnan(v) & (F.abs(F.col(v)) < F.lit(float("inf")))
+    return df.where(keep)
+
+
+def mean_score(df: DataFrame, value: str) -> DataFrame:
+    """One row: the mean, 0 without rows."""
+    return df.agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("score"))

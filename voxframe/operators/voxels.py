@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxframe.operators.components import connected_components
@@ -85,21 +85,45 @@ def unravel(voxel: Column, height: int, width: int) -> dict[str, Column]:
     return {"z": F.floor(voxel / (height * width)).cast("int"), "y": F.pmod(F.floor(voxel / width), F.lit(height)).cast("int"), "x": F.pmod(voxel, F.lit(width)).cast("int")}
 
 
+#: More than any squared distance in a box.
+NO_HOLE = 1 << 60
+
+
+def _nearest_on_lines(cells: DataFrame, axis: str) -> DataFrame:
+    """cells (comp, z, y, x, own, g) with g the least of g at a cell of the same line plus the squared distance to it. A
+    line of a box is one group, and costs the square of its length."""
+    others = ["comp", *[a for a in AXES if a != axis]]
+    line = F.sort_array(F.collect_list(F.struct(axis, "own", "g"))).alias("line")
+
+    def least(c: Column) -> Column:
+        return F.array_min(F.transform("line", lambda o: o["g"] + (o[axis] - c[axis]).cast("long") * (o[axis] - c[axis])))
+
+    out = cells.groupBy(*others).agg(line).withColumn("line", F.transform("line", lambda c: F.struct(c[axis].alias(axis), c["own"].alias("own"), least(c).alias("g"))))
+    return out.select(*others, F.explode("line").alias("c")).select(*others, "c.*")
+
+
 def edt_peaks(labelled: DataFrame) -> DataFrame:
     """Voxel of each component that is farthest from the background inside the component's tight box.
 
     The border of the box is not background; a component that fills its box has infinite distance, so its first voxel
-    in raster order is taken. Only boxes are joined with their own voxels; ties go to the first voxel.
+    in raster order is taken; ties go to the first voxel. Distances are exact, by one pass along each axis: the
+    nearest hole on the voxel's own line, then the best line of its plane, then the best plane.
     """
     box = labelled.groupBy("comp").agg(*[F.min(c).alias(f"{c}0") for c in AXES], *[F.max(c).alias(f"{c}1") for c in AXES])
     cells = box.select("comp", F.explode(F.sequence("z0", "z1")).alias("z"), "y0", "y1", "x0", "x1")
     cells = cells.select("comp", "z", F.explode(F.sequence("y0", "y1")).alias("y"), "x0", "x1").select("comp", "z", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
-    own = labelled.select("comp", *AXES)
-    holes = cells.join(own, ["comp", *AXES], "left_anti").select("comp", *[F.col(c).alias(f"h{c}") for c in AXES])
-    d2 = sum(((F.col(c) - F.col(f"h{c}")) * (F.col(c) - F.col(f"h{c}")) for c in AXES), F.lit(0))
-    near = own.join(holes, "comp", "left").groupBy("comp", *AXES).agg(F.min(d2).alias("d2"))
-    far = F.max(F.struct(F.coalesce("d2", F.lit(1 << 30)).alias("d"), *[(-F.col(c)).alias(c) for c in AXES])).alias("m")
-    return near.groupBy("comp").agg(far).select("comp", *[(-F.col(f"m.{c}")).alias(f"e{c}") for c in AXES], F.when(F.col("m.d") < (1 << 30), F.sqrt(F.col("m.d").cast("double"))).alias("edt"))
+    cells = cells.join(labelled.select("comp", *AXES, F.lit(True).alias("own")), ["comp", *AXES], "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    line = Window.partitionBy("comp", "z", "y").orderBy("x")
+    hole = F.when(~F.col("own"), F.col("x"))
+    before = F.col("x") - F.last(hole, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first(hole, ignorenulls=True).over(line.rowsBetween(Window.currentRow, Window.unboundedFollowing)) - F.col("x")
+    near = F.least(before, after).cast("long")
+    cells = cells.withColumn("g", F.coalesce(near * near, F.lit(NO_HOLE)))
+    for axis in ("y", "z"):
+        cells = _nearest_on_lines(cells, axis)
+    far = F.max(F.struct(F.col("g").alias("d"), *[(-F.col(c)).alias(c) for c in AXES])).alias("m")
+    best = cells.where("own").groupBy("comp").agg(far)
+    return best.select("comp", *[(-F.col(f"m.{c}")).alias(f"e{c}") for c in AXES], F.when(F.col("m.d") < NO_HOLE, F.sqrt(F.col("m.d").cast("double"))).alias("edt"))
 
 
 def in_box(df: DataFrame, lo: tuple[int, int, int], hi: tuple[int, int, int], columns: tuple[str, str, str] = AXES) -> DataFrame:
@@ -126,10 +150,44 @@ def minmax_normalise(vox: DataFrame, keys: list[str]) -> DataFrame:
     return vox.join(ranges, keys).withColumn("n", (F.col("v") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-8))).drop("lo", "hi")
 
 
+def quantiles(df: DataFrame, value: str, shares: list[float], bins: int = 1 << 12, few: int = 1 << 12) -> list[float]:
+    """Exact quantiles, linear between neighbouring values: histograms of ever smaller ranges about each wanted rank, until
+    a range holds ``few`` distinct values at most. What is brought back is at most ``bins`` counts a range."""
+    d = df.select(F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    top = d.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()  # one row
+    if not top["n"]:
+        return [float("nan")] * len(shares)
+
+    def ranked(rank: int) -> float:
+        lo, hi, below = top["lo"], top["hi"], 0
+        while True:
+            part = d.where(F.col("v").between(lo, hi))
+            step = (hi - lo) / bins
+            if step == 0 or lo + step == lo:
+                return lo
+            at = F.least(F.floor((F.col("v") - lo) / step), F.lit(bins - 1)).alias("b")
+            rows = sorted(part.groupBy(at).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect(), key=lambda r: r["b"])  # at most bins rows
+            for r in rows:
+                if below + r["n"] > rank:
+                    break
+                below += r["n"]
+            lo, hi = r["lo"], r["hi"]
+            if lo == hi:
+                return lo
+            if r["n"] <= few:
+                return sorted(x["v"] for x in d.where(F.col("v").between(lo, hi)).collect())[rank - below]  # at most few rows
+
+    out = []
+    for q in shares:
+        place = q * (top["n"] - 1)
+        one = ranked(int(place))
+        out.append(one if place == int(place) else one + (ranked(int(place) + 1) - one) * (place - int(place)))
+    return out
+
+
 def percentile_normalise(vox: DataFrame, low: float = 0.01, high: float = 0.99, approximate: bool = False) -> DataFrame:
-    """Clip to the percentile range, scale to [-1, 1]. The two percentiles are one row."""
-    f = F.percentile_approx if approximate else F.percentile
-    lo, hi = vox.agg(f("v", [low, high]).alias("p")).first()["p"] or (0.0, 1.0)
+    """Clip to the percentile range, scale to [-1, 1]. The two percentiles are numbers."""
+    lo, hi = (vox.agg(F.percentile_approx("v", [low, high]).alias("p")).first()["p"] or (0.0, 1.0)) if approximate else quantiles(vox, "v", [low, high])
     unit = F.least(F.greatest((F.col("v") - F.lit(float(lo))) / F.greatest(F.lit(float(hi - lo)), F.lit(1e-8)), F.lit(0.0)), F.lit(1.0))
     return vox.withColumn("n", unit * 2 - 1)
 
@@ -173,3 +231,12 @@ def cube_percentiles(vox: DataFrame, shape: tuple[int, int, int], n: int = 50, s
         cond = cond & (F.col(a) >= F.col(f"{a}0")) & (F.col(a) < F.col(f"{a}1"))
     pooled = cells.join(cubes.drop("id"), [f"_{a}" for a in AXES]).where(cond)
     return pooled.agg(F.percentile("v", [low, high]).alias("p")).select(F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
+
+
+def object_report(labelled: DataFrame, vectors: DataFrame, least: int = 3) -> DataFrame:
+    """(comp, n, wz, wy, wx, length) of the objects of at least ``least`` voxels: their weighted middle, and the length of
+    the vector (z, y, x, vz, vy, vx) at the voxel nearest to it, null if there is none."""
+    big = labelled.groupBy("comp").agg(F.count("*").alias("n"), *[(F.sum(F.col("v") * F.col(a)) / F.sum("v")).alias(f"w{a}") for a in AXES]).where(F.col("n") >= least)
+    big = big.withColumns({f"_{a}": F.bround(f"w{a}").cast("int") for a in AXES})
+    there = vectors.select(*[F.col(a).alias(f"_{a}") for a in AXES], F.sqrt(F.col("vz") * F.col("vz") + F.col("vy") * F.col("vy") + F.col("vx") * F.col("vx")).alias("length"))
+    return big.join(there, [f"_{a}" for a in AXES], "left").select("comp", "n", *[f"w{a}" for a in AXES], "length")

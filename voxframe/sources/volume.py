@@ -10,8 +10,8 @@ planes of the payload. Compressors: none, zlib, gzip and zstd.
 from __future__ import annotations
 
 import gzip
-import itertools
 import json
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -72,9 +72,23 @@ def attributes(path: str, dataset: str) -> dict:
     return found | {"offset": found.get("offset", [0, 0, 0]), "resolution": found.get("resolution", [1, 1, 1])}
 
 
-class _Chunk(InputPartition):
-    def __init__(self, index: tuple[int, ...]):
-        self.index = index
+#: At most so many tasks; a task takes neighbouring chunks.
+MOST_TASKS = 20_000
+
+
+class _Chunks(InputPartition):
+    """The chunks with numbers from first to last, as counted over ranges of chunk indices."""
+
+    def __init__(self, first: int, last: int, ranges: list[range]):
+        self.first, self.last, self.ranges = first, last, ranges
+
+    def indices(self) -> Iterator[tuple[int, ...]]:
+        for n in range(self.first, self.last):
+            at = []
+            for r in reversed(self.ranges):
+                n, k = divmod(n, len(r))
+                at.append(r[k])
+            yield tuple(reversed(at))
 
 
 class VolumeReader(DataSourceReader):
@@ -90,11 +104,17 @@ class VolumeReader(DataSourceReader):
             lo, hi = self.box[:3], self.box[3:]
             for k in range(3):
                 ranges[-3 + k] = range(max(0, lo[k] // chunks[-3 + k]), min(len(ranges[-3 + k]), -(-hi[k] // chunks[-3 + k])))
-        lead = [range(1)] if len(shape) == 4 else []
-        return [_Chunk(i) for i in itertools.product(*lead, *ranges[-3:])]
+        ranges = [range(1)] * (len(shape) == 4) + ranges[-3:]
+        total = math.prod(map(len, ranges))
+        step = max(1, -(-total // MOST_TASKS))
+        return [_Chunks(a, min(total, a + step), ranges) for a in range(0, total, step)]
 
-    def read(self, partition: _Chunk) -> Iterator[tuple]:
-        m, index = self.meta, partition.index
+    def read(self, partition: _Chunks) -> Iterator[tuple]:
+        for index in partition.indices():
+            yield from self._chunk(index)
+
+    def _chunk(self, index: tuple[int, ...]) -> Iterator[tuple]:
+        m = self.meta
         shape, chunks, channels = m["shape"], m["chunks"], m["shape"][0] if len(m["shape"]) == 4 else 1
         sep = m.get("dimension_separator", ".")
         planes = []
@@ -152,8 +172,19 @@ def create(path: str, dataset: str, shape: list[int], chunks: list[int], dtype:
     _write(f"{path}/{dataset}/.zattrs", json.dumps({"offset": list(offset), "resolution": list(resolution)}).encode())
 
 
+def _held(path: str, dataset: str, m: dict, k: list[int], channels: int) -> np.ndarray:
+    """(channels, z, y, x) as it stands in the chunk files at k, the fill value where there are none."""
+    chunks, out = m["chunks"], []
+    for c in range(-(-channels // chunks[0])) if len(m["shape"]) == 4 else [None]:
+        raw = _read(f"{path}/{dataset}/{'.'.join(map(str, k if c is None else (c, *k)))}")
+        full = np.full(chunks, m.get("fill_value") or 0, np.dtype(m["dtype"])) if raw is None else np.frombuffer(_unpack(raw, m.get("compressor")), np.dtype(m["dtype"])).reshape(chunks)
+        out.append(full if len(m["shape"]) == 4 else full[None])
+    return np.concatenate(out)[:channels].copy()
+
+
 def write_voxels(vox: DataFrame, path: str, dataset: str, names: tuple[str, ...] = ("v",)) -> int:
-    """Write voxels into a created dataset, one task per chunk; rewriting a chunk leaves the same file. Returns the chunks written."""
+    """Write voxels into a created dataset, one task per chunk; voxels of a chunk that are not given keep their values, and
+    writing the same voxels again leaves the same file. Returns the chunks written."""
     from pyspark.sql import functions as F
 
     m = metadata(path, dataset)
@@ -163,11 +194,13 @@ def write_voxels(vox: DataFrame, path: str, dataset: str, names: tuple[str, ...]
     def store(table: pa.Table) -> pa.Table:
         t = {c: table.column(c).to_numpy() for c in table.column_names}
         k = [int(t[f"k{a}"][0]) for a in "zyx"]
-        block = np.zeros((len(names), *chunks[-3:]), np.dtype(m["dtype"]))
+        block = _held(path, dataset, m, k, len(names))
         at = tuple(t[a] - i * c for a, i, c in zip("zyx", k, chunks[-3:], strict=True))
         for c, n in enumerate(names):
             block[c][at] = t[n]
-        parts = [(k, block[0])] if len(shape) == 3 else [((c, *k), block[c : c + chunks[0]]) for c in range(0, len(names), chunks[0])]
+        if len(shape) == 4:  # chunk files have all their channels
+            block = np.concatenate((block, np.zeros((-len(names) % chunks[0], *chunks[-3:]), block.dtype)))
+        parts = [(k, block[0])] if len(shape) == 3 else [((c // chunks[0], *k), block[c : c + chunks[0]]) for c in range(0, len(block), chunks[0])]
         for index, data in parts:
             raw = data.tobytes()
             kind = (m["compressor"] or {}).get("id")

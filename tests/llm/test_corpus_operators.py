@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import time
 import zlib
 
@@ -172,6 +173,17 @@ def test_differences_tell_what_two_texts_share():
         assert abs(lead[1].sum() - sum(less) + common - near_dedup.similarity(x, y)[1]) < 1e-9
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["", " _ ", "a", "It's A_b c2 \u00c4\u0130\u03a3\u0661 \u4e2d\u6587 \U0001d538x a", "ab " * 30_000 + "c" * 70_000 + " ab", "\u00e9" * 40_000 + " x " + "y" * 32_768 + "\u00e9"],
+)
+def test_word_hashes_match_the_pattern(text):
+    words, hashes = re.findall(r"[^\W_]+", text.lower()), near_dedup.word_hashes(text).tolist()
+    assert len(words) == len(hashes) and len(set(zip(words, hashes))) == len(set(words)) == len(set(hashes))
+    alone = {w: near_dedup.word_hashes(f"- {w}.").item() for w in set(words)}
+    assert hashes == [alone[w] for w in words]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -26,13 +26,11 @@ n_class, class_key), which are replaced.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,9 +40,10 @@ from voxframe.operators.keys import attach, dealt_anew
 from voxframe.storage import discard, prepare, written
 
 _U = np.uint64
-WORD = re.compile(r"[^\W_]+")
-_HASHES: dict[str, bytes] = {}
-_HASH_LIMIT = 300_000
+_LETTERS: list[np.ndarray] = []
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+_CHARACTERS_AT_ONCE = 1 << 15
+_POINT = 0x9FB21C651E98DF25
 _BASE = [pow(0x9E3779B97F4A7C15, k, 2**64) | 1 for k in range(1, 65)]
 
 
@@ -60,28 +59,64 @@ class NearParams:
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-def word_hashes(words: list[str]) -> np.ndarray:
-    """64-bit hash of each word, by way of a bounded cache of the worker."""
-    try:
-        return np.frombuffer(b"".join(map(_HASHES.__getitem__, words)), np.uint64)
-    except KeyError:
-        if len(_HASHES) > _HASH_LIMIT:
-            _HASHES.clear()
-        _HASHES.update((w, xxhash.xxh3_64_digest(w)) for w in set(words).difference(_HASHES))
-        return np.frombuffer(b"".join(map(_HASHES.__getitem__, words)), np.uint64)
+    x = x ^ (x >> _U(30))
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(27)
+    x *= _U(0x94D049BB133111EB)
+    x ^= x >> _U(31)
+    return x
+
+
+def letters() -> np.ndarray:
+    """For each code point, whether it is a letter or digit; made once in a worker."""
+    if not _LETTERS:
+        _LETTERS.append(np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000))
+    return _LETTERS[0]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, at least; those of a common block are kept in the worker."""
+    if n > _CHARACTERS_AT_ONCE or not _POWERS:
+        made = tuple(np.cumprod(np.concatenate(([_U(1)], np.full(max(n, _CHARACTERS_AT_ONCE), x, np.uint64)))) for x in (_POINT, pow(_POINT, -1, 2**64)))
+        if n > _CHARACTERS_AT_ONCE:
+            return made
+        _POWERS.append(made)
+    return _POWERS[0]
+
+
+def _hashes_of(lower: str) -> np.ndarray:
+    codes = np.frombuffer(lower.encode("ascii"), np.uint8) if lower.isascii() else np.frombuffer(lower.encode("utf-32-le"), np.uint32)
+    inside = np.zeros(len(codes) + 2, bool)
+    inside[1:-1] = letters()[codes]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edges[::2], edges[1::2]
+    power, inverse = _powers(len(codes))
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * power[: len(codes)], out=sums[1:])
+    return _mix((sums[end] - sums[start]) * inverse[start])
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of a text's words in order: polynomials over the code points of lower-case runs of letters and digits.
+
+    Long texts are worked off in blocks that end between words, so that only the hashes grow with the text.
+    """
+    lower, at, out = (text or "").lower(), 0, [np.zeros(0, np.uint64)]
+    while at < len(lower):
+        end = at + _CHARACTERS_AT_ONCE
+        while end < len(lower) and lower[end].isalnum():
+            end += 1
+        out.append(_hashes_of(lower[at:end]))
+        at = end
+    return np.concatenate(out)
 
 
 def shingles(text: str | None, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of a text, ascending, and their counts."""
-    words = WORD.findall((text or "").lower())
-    if not words:
+    h = word_hashes(text)
+    if not len(h):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h, n = word_hashes(words), min(n, len(words))
+    n = min(n, len(h))
     out = np.zeros(len(h) - n + 1, np.uint64)
     for k in range(n):
         out += h[k : k + len(out)] * _U(_BASE[k])
@@ -117,27 +152,32 @@ def frequency_sketch(docs: DataFrame, p: NearParams = NearParams(), text: str =
 
 
 def _draw(h: np.ndarray, logw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """ICWS for keys h (one per shingle and sample): the value to minimise and the sample's identity."""
+    """ICWS for keys h (one per shingle and sample): the value to minimise and the step of the weight."""
     x, y = _mix(h), _mix(h ^ _U(0xA5A5A5A5F0F0F0F1))
     unit = 1.0 / (1 << 21)
     m = _U((1 << 21) - 1)
     u = [((v >> _U(s)) & m).astype(np.float32) * np.float32(unit) + np.float32(unit / 2) for v, s in ((x, 0), (x, 21), (x, 42), (y, 0), (y, 21))]
     r, logc, beta = -np.log(u[0] * u[1]), np.log(-np.log(u[2] * u[3])), u[4]
     t = np.floor(logw / r + beta)
-    return logc - r * (t - beta + 1), _mix(h + t.astype(np.int64).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+    return logc - r * (t - beta + 1), t
+
+
+def _identity(h: np.ndarray, t: np.ndarray) -> np.ndarray:
+    return _mix(h + t.astype(np.int64).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
 def samples(h: np.ndarray, w: np.ndarray, k: int, binned: bool) -> np.ndarray:
     logw = np.log(w).astype(np.float32)
     if not binned:
         keys = h[:, None] ^ _mix(np.arange(1, k + 1, dtype=np.uint64))[None, :]
-        value, identity = _draw(keys, logw[:, None])
-        return identity[np.argmin(value, axis=0), np.arange(k)]
-    value, identity = _draw(h, logw)
+        value, step = _draw(keys, logw[:, None])
+        least = np.argmin(value, axis=0), np.arange(k)
+        return _identity(keys[least], step[least])
+    value, step = _draw(h, logw)
     at = (_mix(h ^ _U(0x51ED270B0A1F39C1)) % _U(k)).astype(np.int64)
     order = np.lexsort((value, at))
     bins, first = np.unique(at[order], return_index=True)
-    own = identity[order[first]]
+    own = _identity(h[order[first]], step[order[first]])
     take = np.searchsorted(bins, np.arange(k)) % len(bins)
     return own[take]
 

@@ -100,8 +100,11 @@ def blocks(spark, shape: tuple[int, int, int], block: tuple[int, int, int], cont
 
 
 def halo_rows(vox: DataFrame, shape: tuple[int, int, int], block: tuple[int, int, int], context: tuple[int, int, int]) -> DataFrame:
-    """Each voxel once for every block whose read box holds it, with ``owned`` for the one whose write box does."""
+    """Each voxel of the shape once for every block whose read box holds it, with ``owned`` for the one whose write box
+    does. Voxels outside the shape belong to no block."""
     df, owned = vox, F.lit(True)
+    for a, s in zip("zyx", shape, strict=True):
+        df = df.where((F.col(a) >= 0) & (F.col(a) < s))
     for a, s, b, c in zip("zyx", shape, block, context, strict=True):
         last = -(-s // b) - 1
         lo = F.greatest(F.floor((F.col(a) - c) / b), F.lit(0)).cast("int")

@@ -11,7 +11,7 @@ from voxframe.operators import augment, grid, metrics, nn, render, series, voxel
 from voxframe.operators.nms import nms
 from voxframe.operators.ranking import global_index
 from voxframe.plans import fixtures as fx
-from voxframe.plans.fixtures import COMPONENTS, DET, FG, GRID, VOX, detections, grid_of, sql_u, table, u
+from voxframe.plans.fixtures import COMPONENTS, DEPTH, DET, FG, GRID, VOX, detections, sql_u, table, u, volume_shape
 from voxframe.plans.fixtures import voxels as voxel_table
 from voxframe.storage import written
 
@@ -31,7 +31,7 @@ def query(sql: str | None = None):
 
 
 def foreground(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = grid_of(sf_dir)
+    g = GRID
     return voxels.threshold(voxel_table(spark, sf_dir), fx.THRESHOLD).withColumn("id", voxels.voxel_id(g, g))
 
 
@@ -40,7 +40,7 @@ def r6(*names: str) -> list:
 
 
 def unit_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = grid_of(sf_dir)
+    g = GRID
     return voxel_table(spark, sf_dir).withColumns({"p": F.col("v") / F.lit(255.0), "id": voxels.voxel_id(g, g)})
 
 
@@ -405,27 +405,28 @@ def crop_rebase(spark, sf_dir):
     return voxels.crop(voxel_table(spark, sf_dir), (1, 10, 20), (4, 50, 70))
 
 
-@query(f"SELECT z - 2 AS z, y - 23 AS y, x - 15 AS x, v FROM ({VOX}) WHERE z >= 2 AND z < 5 AND y >= 23 AND y < 73 AND x >= 15 AND x < 80")
+@query(f"WITH c AS (SELECT ({DEPTH} - 3) // 2 AS z0) SELECT CAST(z - z0 AS INTEGER) AS z, y - 23 AS y, x - 15 AS x, v FROM ({VOX}), c WHERE z >= z0 AND z < z0 + 3 AND y >= 23 AND y < 73 AND x >= 15 AND x < 80")
 def center_crop(spark, sf_dir):
-    return voxels.centre_crop(voxel_table(spark, sf_dir), (7, 96, 96), (3, 50, 65))
+    return voxels.centre_crop(voxel_table(spark, sf_dir), volume_shape(spark, sf_dir), (3, 50, 65))
 
 
-_GRID_SQL = """SELECT blk_z, blk_y, blk_x, blk_z * 4 AS wz0, least(blk_z * 4 + 4, 7) AS wz1, greatest(blk_z * 4 - 1, 0) AS rz0, least(least(blk_z * 4 + 4, 7) + 1, 7) AS rz1,
- blk_y * 40 AS wy0, least(blk_y * 40 + 40, 96) AS wy1, greatest(blk_y * 40 - 8, 0) AS ry0, least(least(blk_y * 40 + 40, 96) + 8, 96) AS ry1,
- blk_x * 40 AS wx0, least(blk_x * 40 + 40, 96) AS wx1, greatest(blk_x * 40 - 8, 0) AS rx0, least(least(blk_x * 40 + 40, 96) + 8, 96) AS rx1
- FROM (SELECT CAST(i // 9 AS INTEGER) AS blk_z, CAST(i // 3 % 3 AS INTEGER) AS blk_y, CAST(i % 3 AS INTEGER) AS blk_x FROM range(18) t(i))"""
+BLOCK, CONTEXT = (4, 40, 40), (1, 8, 8)
+_GRID_SQL = f"""SELECT blk_z, blk_y, blk_x, blk_z * 4 AS wz0, least(blk_z * 4 + 4, d) AS wz1, greatest(blk_z * 4 - 1, 0) AS rz0, least(least(blk_z * 4 + 4, d) + 1, d) AS rz1,
+ blk_y * 40 AS wy0, least(blk_y * 40 + 40, {GRID}) AS wy1, greatest(blk_y * 40 - 8, 0) AS ry0, least(least(blk_y * 40 + 40, {GRID}) + 8, {GRID}) AS ry1,
+ blk_x * 40 AS wx0, least(blk_x * 40 + 40, {GRID}) AS wx1, greatest(blk_x * 40 - 8, 0) AS rx0, least(least(blk_x * 40 + 40, {GRID}) + 8, {GRID}) AS rx1
+ FROM (SELECT CAST(i // 9 AS INTEGER) AS blk_z, CAST(i // 3 % 3 AS INTEGER) AS blk_y, CAST(i % 3 AS INTEGER) AS blk_x, CAST(d AS INTEGER) AS d FROM (SELECT d, unnest(range((d + 3) // 4 * 9)) AS i FROM (SELECT {DEPTH} AS d)))"""
 
 
 @query(_GRID_SQL)
 def block_grid(spark, sf_dir):
-    return grid.blocks(spark, (7, 96, 96), (4, 40, 40), (1, 8, 8))
+    return grid.blocks(spark, volume_shape(spark, sf_dir), BLOCK, CONTEXT)
 
 
 @query(f"WITH g AS ({_GRID_SQL}) SELECT blk_z, blk_y, blk_x FROM g WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey % 2 = blk_z AND n_nationkey % 3 = blk_y AND n_regionkey % 3 = blk_x)")
 def pending_blocks(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
     done = n.select((F.col("n_nationkey") % 2).alias("blk_z"), (F.col("n_nationkey") % 3).alias("blk_y"), (F.col("n_regionkey") % 3).alias("blk_x"))
-    return grid.blocks(spark, (7, 96, 96), (4, 40, 40)).select("blk_z", "blk_y", "blk_x").join(done, ["blk_z", "blk_y", "blk_x"], "left_anti")
+    return grid.blocks(spark, volume_shape(spark, sf_dir), BLOCK).select("blk_z", "blk_y", "blk_x").join(done, ["blk_z", "blk_y", "blk_x"], "left_anti")
 
 
 @query(
@@ -433,7 +434,7 @@ def pending_blocks(spark, sf_dir):
  SELECT g.id AS l_id, t.id AS r_id FROM g JOIN t ON g.wz1 > t.z0 AND g.wz0 < t.z1 AND g.wy1 > t.y0 AND g.wy0 < t.y1 AND g.wx1 > t.x0 AND g.wx0 < t.x1"""
 )
 def block_tile_overlap(spark, sf_dir):
-    g = grid.blocks(spark, (7, 96, 96), (4, 40, 40)).select((F.col("blk_z") * 100 + F.col("blk_y") * 10 + F.col("blk_x")).alias("id"), *[F.col(f"w{a}{k}").alias(f"{a}{k}") for a in AX for k in (0, 1)])
+    g = grid.blocks(spark, volume_shape(spark, sf_dir), BLOCK).select((F.col("blk_z") * 100 + F.col("blk_y") * 10 + F.col("blk_x")).alias("id"), *[F.col(f"w{a}{k}").alias(f"{a}{k}") for a in AX for k in (0, 1)])
     k = F.col("n_nationkey")
     t = table(spark, sf_dir, "nation").select(k.alias("id"), (k % 5).alias("z0"), (k % 5 + 2).alias("z1"), (k * 3).alias("y0"), (k * 3 + 20).alias("y1"), F.lit(10).alias("x0"), F.lit(50).alias("x1"))
     return grid.box_overlap(g, t, 4).select("l_id", "r_id")
@@ -444,7 +445,7 @@ def block_tile_overlap(spark, sf_dir):
  FROM v JOIN g ON z >= rz0 AND z < rz1 AND y >= ry0 AND y < ry1 AND x >= rx0 AND x < rx1 GROUP BY ALL"""
 )
 def write_roi_ownership(spark, sf_dir):
-    h = grid.halo_rows(voxel_table(spark, sf_dir), (7, 96, 96), (4, 40, 40), (1, 8, 8))
+    h = grid.halo_rows(voxel_table(spark, sf_dir), volume_shape(spark, sf_dir), BLOCK, CONTEXT)
     return h.groupBy("blk_z", "blk_y", "blk_x").agg(F.count("*").alias("n"), F.count_if("owned").alias("n_owned"))
 
 
@@ -474,18 +475,18 @@ _TAPER = "sin(pi() * ((y - ry0) + 0.5) / (ry1 - ry0)) * sin(pi() * ((x - rx0) +
 
 @query(f"WITH v AS ({VOX}), g AS ({_GRID_SQL}) SELECT z, y, x, round(sum({_TAPER} * v) / sum({_TAPER}), 6) AS p FROM v JOIN g ON z >= rz0 AND z < rz1 AND y >= ry0 AND y < ry1 AND x >= rx0 AND x < rx1 GROUP BY z, y, x")
 def taper_blend(spark, sf_dir):
-    h = grid.halo_rows(voxel_table(spark, sf_dir), (7, 96, 96), (4, 40, 40), (1, 8, 8))
+    h = grid.halo_rows(voxel_table(spark, sf_dir), volume_shape(spark, sf_dir), BLOCK, CONTEXT)
     w = F.lit(1.0)
     for a in ("y", "x"):
         lo = F.greatest(F.col(f"blk_{a}") * 40 - 8, F.lit(0))
-        n = F.least(F.least(F.col(f"blk_{a}") * 40 + 40, F.lit(96)) + 8, F.lit(96)) - lo
+        n = F.least(F.least(F.col(f"blk_{a}") * 40 + 40, F.lit(GRID)) + 8, F.lit(GRID)) - lo
         w = w * F.sin(F.lit(3.141592653589793) * (F.col(a) - lo + 0.5) / n)
     return h.groupBy(*AX).agg(F.round(F.sum(w * F.col("v")) / F.sum(w), 6).alias("p"))
 
 
 @query(f"SELECT i AS y, count(*) AS n, CAST(sum(v) AS BIGINT) AS s FROM (SELECT i, CASE WHEN k < 96 THEN k ELSE 190 - k END AS src FROM (SELECT i, ((i % 190) + 190) % 190 AS k FROM range(-20, 117) t(i))) r JOIN ({VOX}) v ON v.y = r.src GROUP BY i")
 def reflect_pad(spark, sf_dir):
-    g = grid_of(sf_dir)
+    g = GRID
     padded = spark.range(-20, g + 21).select(F.col("id").alias("i"), voxels.reflect(F.col("id"), g).cast("int").alias("src"))
     return voxel_table(spark, sf_dir).join(padded, F.col("y") == F.col("src")).groupBy(F.col("i").alias("y")).agg(F.count("*").alias("n"), F.sum("v").alias("s"))
 
@@ -538,7 +539,7 @@ def _sl(k: int) -> str:
 
 @query(f"SELECT z, x AS y, 95 - y AS x, v FROM ({VOX})")
 def aug_flip_transpose(spark, sf_dir):
-    g = grid_of(sf_dir)
+    g = GRID
     return augment.flip_transpose(voxel_table(spark, sf_dir), g, g, True, False, True).select("z", "y", "x", "v")
 
 
@@ -569,7 +570,7 @@ def aug_cutout(spark, sf_dir):
 
 @query(f"SELECT z, CAST((y + 5 + z) % {GRID} AS INTEGER) AS y, CAST((x + 90) % {GRID} AS INTEGER) AS x, v FROM ({VOX})")
 def aug_roll(spark, sf_dir):
-    g = grid_of(sf_dir)
+    g = GRID
     return augment.roll(voxel_table(spark, sf_dir), g, g, F.col("z") + 5, F.lit(-6)).select("z", "y", "x", "v")
 
 
@@ -628,9 +629,9 @@ def conv_transpose3d(spark, sf_dir):
     return nn.conv_transpose3d(_features(spark, sf_dir), k, (1, 2, 2), 0.1).select("c", "z", "y", "x", F.round("v", 5).alias("v"))
 
 
-@query(f"SELECT c, CAST(z // 2 AS INTEGER) AS z, CAST(y // 5 AS INTEGER) AS y, CAST(x // 5 AS INTEGER) AS x, round(max(v), 6) AS v FROM {_FEAT} WHERE z < 6 AND y < 95 AND x < 20 GROUP BY 1, 2, 3, 4")
+@query(f"SELECT c, CAST(z // 2 AS INTEGER) AS z, CAST(y // 5 AS INTEGER) AS y, CAST(x // 5 AS INTEGER) AS x, round(max(v), 6) AS v FROM {_FEAT} WHERE z < {DEPTH} // 2 * 2 AND y < 95 AND x < 20 GROUP BY 1, 2, 3, 4")
 def maxpool3d(spark, sf_dir):
-    return nn.max_pool3d(_features(spark, sf_dir), (2, 5, 5), (7, 96, 24)).select("c", "z", "y", "x", *r6("v"))
+    return nn.max_pool3d(_features(spark, sf_dir), (2, 5, 5), (volume_shape(spark, sf_dir)[0], GRID, GRID // 4)).select("c", "z", "y", "x", *r6("v"))
 
 
 @query(f"SELECT c, z, y, x, round((v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-3), 5) AS v FROM {_FEAT} WINDOW w AS (PARTITION BY c)")
@@ -678,7 +679,7 @@ def jacobian_field(spark, sf_dir):
 @query(f"SELECT d.id, CAST(least(greatest(round_even(abs(post_z) / 20, 0), 0), 6) AS INTEGER) AS z, v.v FROM ({DET}) d JOIN ({VOX}) v ON v.z = least(greatest(round_even(abs(post_z) / 20, 0), 0), 6) AND v.y = least(round_even(abs(post_y) / 3, 0), 95) AND v.x = least(round_even(abs(post_x) / 3, 0), 95)")
 def vector_lookup(spark, sf_dir):
     near = lambda c, k, n: F.least(F.greatest(F.bround(F.abs(c) / k), F.lit(0.0)), F.lit(float(n))).cast("int")
-    d = detections(spark, sf_dir).select("id", near("post_z", 20, 6).alias("z"), near("post_y", 3, 95).alias("y"), near("post_x", 3, 95).alias("x"))
+    d = detections(spark, sf_dir).select("id", near("post_z", 20, 6).alias("z"), near("post_y", 3, GRID - 1).alias("y"), near("post_x", 3, GRID - 1).alias("x"))
     return d.join(voxel_table(spark, sf_dir), list(AX)).select("id", "z", "v")
 
 
@@ -694,7 +695,7 @@ def detections_csv_text(spark, sf_dir):
 
 def _solid(spark, sf_dir):
     """A denser foreground, whose components are large enough to be split."""
-    g = grid_of(sf_dir)
+    g = GRID
     return voxels.threshold(voxel_table(spark, sf_dir), 160).withColumn("id", voxels.voxel_id(g, g))
 
 
@@ -756,7 +757,7 @@ _OUT = [*[f"{p}_{a}" for p in ("post", "pre") for a in AX], "score"]
 def extract_detections(spark, sf_dir):
     from voxframe.plans.extract import ExtractParams, extract
 
-    g = grid_of(sf_dir)
+    g = GRID
     p = ExtractParams(cc_threshold=0.88, score_thr=0.9, size_thr=2, nms_radius=4.0, voxel_size=(2.0, 1.0, 1.0))
     return extract(_predicted(spark, sf_dir), g, g, p).select("id", *r6(*_OUT), "size")
 
@@ -777,18 +778,18 @@ def extract_detections(spark, sf_dir):
 def suppression_pass(spark, sf_dir):
     from voxframe.plans.extract import ExtractParams, extract
 
-    g = grid_of(sf_dir)
+    g = GRID
     p = ExtractParams(cc_threshold=0.88, score_thr=0.9, size_thr=2, loc_type="peak", suppression=True, suppression_threshold=0.95, suppression_radius=(1.0, 3.0, 3.0), suppression_min_separation=1.5)
     return extract(_predicted(spark, sf_dir), g, g, p).select("id", *r6(*_OUT), "size")
 
 
 @query(
-    f"""WITH c AS (SELECT i, CAST(floor({sql_u('i * 3 + 42')} * 4) AS INTEGER) AS z0, CAST(floor({sql_u('i * 3 + 43')} * 93) AS INTEGER) AS y0, CAST(floor({sql_u('i * 3 + 44')} * 93) AS INTEGER) AS x0 FROM range(50) t(i))
+    f"""WITH c AS (SELECT i, CAST(floor({sql_u('i * 3 + 42')} * ({DEPTH} - 3)) AS INTEGER) AS z0, CAST(floor({sql_u('i * 3 + 43')} * 93) AS INTEGER) AS y0, CAST(floor({sql_u('i * 3 + 44')} * 93) AS INTEGER) AS x0 FROM range(50) t(i))
  SELECT round(quantile_cont(v::DOUBLE, 0.01), 6) AS lo, round(quantile_cont(v::DOUBLE, 0.99), 6) AS hi FROM ({VOX}) JOIN c ON z >= z0 AND z < z0 + 4 AND y >= y0 AND y < y0 + 4 AND x >= x0 AND x < x0 + 4"""
 )
 def cube_percentiles(spark, sf_dir):
-    g = grid_of(sf_dir)
-    return voxels.cube_percentiles(voxel_table(spark, sf_dir), (7, g, g), 50, 4).select(*r6("lo", "hi"))
+    g = GRID
+    return voxels.cube_percentiles(voxel_table(spark, sf_dir), volume_shape(spark, sf_dir), 50, 4).select(*r6("lo", "hi"))
 
 
 @query(f"SELECT z, y, x, round(n * (1 - m) + m, 6) AS r, round(n * (1 - m) + 0.2 * m, 6) AS g FROM (SELECT z, y, x, (v - min(v) OVER ()) / greatest(max(v) OVER () - min(v) OVER (), 1e-8)::DOUBLE AS n, CASE WHEN v >= 225 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS m FROM ({VOX}))")

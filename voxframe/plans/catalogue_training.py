@@ -5,26 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.operators import augment, grid, nn, sampling, series, voxels
+from voxframe.operators import augment, blend, grid, nn, sampling, series, voxels
+from voxframe.plans import catalogue
 from voxframe.plans import fixtures as fx
 from voxframe.plans.catalogue import _FEAT, AX, UNIT, _features, foreground, query, r6, unit_voxels
-from voxframe.plans.fixtures import COMPONENTS, DET, GRID, VOX, detections, grid_of, sql_u, table, u
+from voxframe.plans.fixtures import COMPONENTS, DEPTH, DET, GRID, VOX, detections, sql_u, table, u, volume_shape
 from voxframe.plans.fixtures import voxels as voxel_table
 from voxframe.sources import logs, manifest, points, snapshots, volume
 from voxframe.storage import new_path, written
 
 
-def volume_shape(sf_dir: str) -> tuple[int, int, int]:
-    return 7, grid_of(sf_dir), grid_of(sf_dir)
-
-
 # ---- volumes, points, snapshots
 
 
 def _stored(spark, sf_dir) -> str:
     """The voxels in a chunked volume, written in two parts that share chunks."""
     path = new_path(spark, "volume").removeprefix("file:")
-    shape = volume_shape(sf_dir)
+    shape = volume_shape(spark, sf_dir)
     volume.create(path, "RAW", list(shape), [3, 40, 40], "uint8", (120, 8, 4), (40, 4, 4))
     v = written(voxel_table(spark, sf_dir), "voxels")
     for part in ("z < 4", "z >= 4"):
@@ -50,7 +47,64 @@ def volume_sliced_scan(spark, sf_dir):
     return _read(spark, _stored(spark, sf_dir), box="1,10,20,5,60,90")
 
 
-@query(f"SELECT * FROM (VALUES ('z', 7, 120, 40, 3.0::DOUBLE), ('y', {GRID}, 8, 4, 2.0::DOUBLE), ('x', {GRID}, 4, 4, 1.0::DOUBLE)) t(axis, size, \"offset\", resolution, origin)")
+@query(f"SELECT z, y, x, v::DOUBLE AS v FROM ({VOX}) WHERE z >= 1 AND z < 5 AND y >= 10 AND y < 60 AND x IN (20, 21, 50)")
+def volume_filtered_scan(spark, sf_dir):
+    """The filters become ranges of chunks before the scan; x is left to Spark within its range."""
+    v = spark.read.format("volume").option("path", _stored(spark, sf_dir)).option("rows", "voxels").load()
+    return v.where("z >= 1 AND z < 5 AND y >= 10 AND y < 60 AND x IN (20, 21, 50)").select(*AX, F.col("c0").alias("v"))
+
+
+@query(f"SELECT CAST(blk_z AS INTEGER) AS kz, CAST(blk_y AS INTEGER) AS ky, CAST(blk_x AS INTEGER) AS kx FROM (SELECT unnest(range((d + 2) // 3)) AS blk_z FROM (SELECT {DEPTH} AS d)), range(3) b(blk_y), range(3) c(blk_x) WHERE blk_z % 2 = 1 OR blk_x = 2")
+def volume_pending_chunks(spark, sf_dir):
+    """What is left to do after a first run that wrote some of the chunks: the run after it takes only these."""
+    path, part = new_path(spark, "volume").removeprefix("file:"), F.floor(F.col("z") / 3) % 2 == 0
+    volume.create(path, "RAW", list(volume_shape(spark, sf_dir)), [3, 40, 40], "uint8")
+    volume.register(spark)
+    whole = spark.read.format("volume").option("path", _stored(spark, sf_dir)).load()
+    volume.write_chunks(whole.where((F.floor(F.col("oz") / 3) % 2 == 0) & (F.col("ox") < 80)), path, "RAW")
+    return volume.pending_chunks(spark, path, "RAW")
+
+
+_SIZE, _STRIDE = (4, 40, 40), (3, 32, 32)
+_BLEND_W = " * ".join(f"sin(pi() * (({a} - k{a} * {s}) + 0.5) / {n})" for a, n, s in zip(AX, _SIZE, _STRIDE))
+_BLEND_K = " ".join(f"SELECT *, unnest(range(greatest(({a} - {n}) // {s} + CASE WHEN {a} < {n} AND ({a} - {n}) % {s} <> 0 THEN 0 ELSE 1 END, 0), {a} // {s} + 1)) AS k{a} FROM (" for a, n, s in zip(AX, _SIZE, _STRIDE))
+
+
+@query(
+    f"""WITH b AS ({_BLEND_K} SELECT z, y, x, v FROM ({VOX}))))), w AS (SELECT *, {_BLEND_W} AS w, 1 + ((kz + 2 * ky + 3 * kx) % 4) / 10.0::DOUBLE AS f FROM b)
+ SELECT z, y, x, ind, vz, vy, vx FROM (SELECT z, y, x, CAST(trunc(round(least(greatest(sum(w * f * v / 300.0::DOUBLE) / sum(w) * 255, 0), 255), 6)) AS DOUBLE) AS ind,
+  {", ".join(f"CAST(trunc(round(least(greatest(sum(w * f * ((v + {k}) % 9 - 4)) / sum(w) * 20, -128), 127), 6)) AS DOUBLE) + 0.0 AS v{a}" for k, a in enumerate(AX))} FROM w GROUP BY z, y, x) WHERE ind <> 0"""
+)
+def overlap_blend(spark, sf_dir):
+    """Overlapping blocks that tell different values of a voxel, blended, cut to whole numbers and flushed to a volume; read back."""
+    shape, v, k = volume_shape(spark, sf_dir), F.col("v"), F.col("blk_z") + 2 * F.col("blk_y") + 3 * F.col("blk_x")
+    own = 1 + k % 4 / 10
+    values = {"p": own * v / 300.0} | {f"v{a}": own * ((v + i) % 9 - 4) for i, a in enumerate(AX)}
+    vox = blend.overlapping(voxel_table(spark, sf_dir), shape, _SIZE, _STRIDE).withColumns(values)
+    path = new_path(spark, "blended").removeprefix("file:")
+    blend.blend_to_volume(blend.dense_blocks(vox, shape, _SIZE, _STRIDE, tuple(values)), path, shape, _SIZE, (5, 32, 48), vector_scale=20.0)
+    volume.register(spark)
+    found = spark.read.format("volume").option("path", path).option("dataset", "pred_syn_indicators").option("rows", "voxels").load()
+    return volume.values_at(found.withColumnRenamed("c0", "ind"), path, "pred_partner_vectors", ("vz", "vy", "vx"))
+
+
+@query(catalogue.ORACLES["extract_detections"])
+def extract_volumes(spark, sf_dir):
+    """The detection plan from stored volumes: vectors are read last, and only in chunks where a component passed."""
+    from voxframe.plans.extract import ExtractParams
+    from voxframe.plans.run import extract_volume
+
+    path, shape = new_path(spark, "predicted").removeprefix("file:"), volume_shape(spark, sf_dir)
+    v = written(voxel_table(spark, sf_dir).withColumns({f"v{a}": (F.col("v") + k) % 7 - 3 for k, a in enumerate(AX)}), "voxels")
+    volume.create(path, "pred_syn_indicators", list(shape), [4, 32, 48], "uint8")
+    volume.create(path, "pred_partner_vectors", [3, *shape], [3, 4, 32, 48], "int8")
+    volume.write_voxels(v, path, "pred_syn_indicators")
+    volume.write_voxels(v, path, "pred_partner_vectors", ("vz", "vy", "vx"))
+    p = ExtractParams(cc_threshold=0.88, score_thr=0.9, size_thr=2, nms_radius=4.0, voxel_size=(2.0, 1.0, 1.0))
+    return extract_volume(spark, path, p).select("id", *r6(*catalogue._OUT), "size")
+
+
+@query(f"SELECT * FROM (VALUES ('z', {DEPTH}::INTEGER, 120, 40, 3.0::DOUBLE), ('y', {GRID}, 8, 4, 2.0::DOUBLE), ('x', {GRID}, 4, 4, 1.0::DOUBLE)) t(axis, size, \"offset\", resolution, origin)")
 def volume_attributes(spark, sf_dir):
     path = _stored(spark, sf_dir)
     a, shape, origin = volume.attributes(path, "RAW"), snapshots.shape_or_default(path), snapshots.origin_of(path)
@@ -188,7 +242,7 @@ def confidence_mask(spark, sf_dir):
 
 @query(f"SELECT id, z, y, x FROM {UNIT}")
 def unravel_index(spark, sf_dir):
-    g = grid_of(sf_dir)
+    g = GRID
     return unit_voxels(spark, sf_dir).select("id", *[c.alias(a) for a, c in voxels.unravel(F.col("id"), g, g).items()])
 
 
@@ -245,7 +299,7 @@ def _su(k: int) -> str:
 @query(f"""SELECT z, CASE WHEN {_su(8)} < 0.5 THEN b ELSE a END AS y, CASE WHEN {_su(8)} < 0.5 THEN a ELSE b END AS x, v
  FROM (SELECT z, CASE WHEN {_su(6)} < 0.5 THEN 95 - y ELSE y END AS a, CASE WHEN {_su(7)} < 0.5 THEN 95 - x ELSE x END AS b, v FROM ({VOX}))""")
 def aug_simple(spark, sf_dir):
-    g = grid_of(sf_dir)
+    g = GRID
     return augment.simple(voxel_table(spark, sf_dir), g, g, 5).select(*AX, "v")
 
 
@@ -254,7 +308,7 @@ _HOLE = " OR ".join(f"(y BETWEEN CAST(floor({_su(k)} * 81) AS INTEGER) AND CAST(
 
 @query(f"SELECT z, y, x, round(CASE WHEN {_su(70000)} < 0.9 AND ({_HOLE}) THEN 0 ELSE p END, 6) AS p FROM {UNIT}")
 def aug_cutout_drawn(spark, sf_dir):
-    g = grid_of(sf_dir)
+    g = GRID
     return augment.cutout_drawn(unit_voxels(spark, sf_dir), g, g, 0.9, 2, (30, 15), 70000).select(*AX, *r6("p"))
 
 
@@ -275,7 +329,7 @@ def _soft(rel: str, axis: str, n: int, sigma: float, others: str) -> str:
 
 @query(f"SELECT z, y, x, round(p, 6) AS p FROM {_soft(f'(SELECT z, y, x, p FROM {UNIT})', 'y', 96, 1.5, 'z, x')}")
 def gaussian_axis(spark, sf_dir):
-    return augment.gaussian(unit_voxels(spark, sf_dir).select(*AX, "p"), "y", grid_of(sf_dir), F.lit(1.5), 1.5).select(*AX, *r6("p"))
+    return augment.gaussian(unit_voxels(spark, sf_dir).select(*AX, "p"), "y", GRID, F.lit(1.5), 1.5).select(*AX, *r6("p"))
 
 
 _SLICE = f"(SELECT z, 1.5::DOUBLE * {sql_u('z::BIGINT * 104729 + 1003')} AS s, {sql_u('z::BIGINT * 104729 + 3')} < 0.6 AND 1.5::DOUBLE * {sql_u('z::BIGINT * 104729 + 1003')} > 0.1 AS hit FROM (SELECT DISTINCT z FROM ({VOX})))"
@@ -288,7 +342,7 @@ _BELL = f"(SELECT z, k, exp(-0.5 * (k / s) ** 2) / sum(exp(-0.5 * (k / s) ** 2))
  SELECT z, y, x, round(p, 6) AS p FROM b UNION ALL SELECT r.z, y, x, round(p, 6) FROM {UNIT} r JOIN {_SLICE} s ON r.z = s.z WHERE NOT hit"""
 )
 def aug_blur(spark, sf_dir):
-    g = grid_of(sf_dir)
+    g = GRID
     return augment.blur(unit_voxels(spark, sf_dir), g, g, 0.6, seed=3).select(*AX, *r6("p"))
 
 
@@ -305,7 +359,7 @@ _STEP = "CASE WHEN kind = 'shift' THEN CAST(floor({}  * 33) AS INTEGER) - 16 ELS
  round(least(greatest(CASE WHEN kind = 'dark' THEN f * (0.1 + 0.3::DOUBLE * {sql_u('z::BIGINT * 104729 + 6000')}) ELSE f END, 0), 1), 6) AS p FROM r"""
 )
 def aug_defects_applied(spark, sf_dir):
-    return augment.defects(unit_voxels(spark, sf_dir), volume_shape(sf_dir), 0.25, 0.25, 0.25, 16, 5000).select(*AX, *r6("p"))
+    return augment.defects(unit_voxels(spark, sf_dir), volume_shape(spark, sf_dir), 0.25, 0.25, 0.25, 16, 5000).select(*AX, *r6("p"))
 
 
 _SPACING, _SIGMA = (4, 24, 24), (0.5, 2.0, 2.0)
@@ -320,7 +374,7 @@ _FIELD = f"""n1 AS (SELECT * FROM {_soft(_NODES, 'z', 3, 1.0, 'c, y, x')}), n2 A
 
 @query(f"WITH {_FIELD} SELECT z, y, x, round(dz, 6) AS dz, round(dy, 6) AS dy, round(dx, 6) AS dx FROM field")
 def displacement_field(spark, sf_dir):
-    return augment.displacements(voxel_table(spark, sf_dir), volume_shape(sf_dir), _SPACING, _SIGMA, 9).select(*AX, *r6("dz", "dy", "dx"))
+    return augment.displacements(voxel_table(spark, sf_dir), volume_shape(spark, sf_dir), _SPACING, _SIGMA, 9).select(*AX, *r6("dz", "dy", "dx"))
 
 
 _SLIP = f"CASE WHEN {sql_u('z::BIGINT * 104729 + 509')} < 0.4 THEN floor({{}} * 7) - 3 ELSE 0 END"
@@ -332,13 +386,13 @@ _SLIP = f"CASE WHEN {sql_u('z::BIGINT * 104729 + 509')} < 0.4 THEN floor({{}} *
  FROM q CROSS JOIN range(2) ti(i) CROSS JOIN range(2) tj(j) CROSS JOIN range(2) tk(k) LEFT JOIN v ON v.z = floor(pz) + i AND v.y = floor(py) + j AND v.x = floor(px) + k GROUP BY q.z, q.y, q.x"""
 )
 def aug_elastic(spark, sf_dir):
-    out = augment.elastic(unit_voxels(spark, sf_dir), volume_shape(sf_dir), _SPACING, _SIGMA, 0.4, 3, seed=9)
+    out = augment.elastic(unit_voxels(spark, sf_dir), volume_shape(spark, sf_dir), _SPACING, _SIGMA, 0.4, 3, seed=9)
     return out.select(*AX, F.round("p", 5).alias("p"))
 
 
 @query(f"SELECT z, y, x, 0.0::DOUBLE AS dz, round((cos(0.3::DOUBLE) - 1) * (y - 47.5) - sin(0.3::DOUBLE) * (x - 47.5), 6) AS dy, round(sin(0.3::DOUBLE) * (y - 47.5) + (cos(0.3::DOUBLE) - 1) * (x - 47.5), 6) AS dx FROM ({VOX})")
 def rotation_field(spark, sf_dir):
-    g = grid_of(sf_dir)
+    g = GRID
     return augment.rotation(voxel_table(spark, sf_dir), g, g, 0.3).select(*AX, *r6("dz", "dy", "dx"))
 
 
@@ -372,7 +426,7 @@ _V = f"CASE WHEN {sql_u('nz + 74')} < 0.3 THEN 1 - {_G} ELSE {_G} END"
 def aug_pipeline(spark, sf_dir):
     off = {"enabled": False}
     params = {"noise": off, "defect": off, "elastic": off, "blur": off, "cutout": off, "invert": {"prob": 0.3}, "salt_pepper": {"prob": 0.1}}
-    return augment.pipeline(unit_voxels(spark, sf_dir), params, volume_shape(sf_dir), 3).select(*AX, *r6("p"))
+    return augment.pipeline(unit_voxels(spark, sf_dir), params, volume_shape(spark, sf_dir), 3).select(*AX, *r6("p"))
 
 
 # ---- networks
@@ -410,7 +464,7 @@ def _conv_block_sql(name: str, rel: str, out: int, into: int) -> str:
  SELECT z, y, x, round(sum(v * CASE WHEN c = 0 THEN 0.6 ELSE -0.4 END) + 0.1, 4) AS logit, round(sum(v * CASE WHEN c = 0 THEN 0.5 ELSE 0.25 END), 4) AS vz FROM last GROUP BY z, y, x""".replace("both", "joined").replace("last", "final")
 )
 def unet_forward(spark, sf_dir):
-    shape = (7, grid_of(sf_dir), grid_of(sf_dir) // 4)
+    shape = (volume_shape(spark, sf_dir)[0], GRID, GRID // 4)
     up = [(o, c, 0, dy, dx, 0.5 + 0.25 * o - 0.1 * c + 0.05 * dy) for o in range(2) for c in range(2) for dy in range(2) for dx in range(2)]
     skips = nn.encoder(_features(spark, sf_dir), [([_weights(2, 4)], 2), ([_weights(2, 2)], 2)], [(1, 2, 2)], shape)
     out = nn.decoder(skips, [(up, 2, (1, 2, 2))], [([_weights(2, 4)], 2)])

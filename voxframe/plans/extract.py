@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -123,10 +123,15 @@ def _measured(lab: DataFrame, p: ExtractParams) -> DataFrame:
     return voxels.measure(lab, p.score_type, F.col("p")).withColumn("score", F.round("score", 9))
 
 
-def locate(vox: DataFrame, height: int, width: int, p: ExtractParams) -> tuple[DataFrame, DataFrame, DataFrame]:
+#: From voxels to the same voxels with vz, vy and vx.
+Vectors = Callable[[DataFrame], DataFrame]
+
+
+def locate(vox: DataFrame, height: int, width: int, p: ExtractParams, vectors: Vectors | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Detections in voxel units (post_*, v*, score, size, comp, first) of voxels (z, y, x, p, vz, vy, vx), the labelled voxels, and
     the components that passed the thresholds. Size and score are asked of whole components; of the parts of one that
-    is split, only the score. Without foreground everything is empty and no component is looked for."""
+    is split, only the score. Without foreground everything is empty and no component is looked for. With ``vectors`` the voxels
+    have none; they are asked for those of components that passed."""
     fg = written(vox.where(F.col("p") >= p.cc_threshold).withColumn("id", voxels.voxel_id(height, width)), "foreground")
     lab = fg.withColumn("comp", F.col("id")) if fg.isEmpty() else written(voxels.label(fg), "labels")
     passed = voxels.survivors(_measured(lab, p), p.size_thr, p.score_thr)
@@ -136,7 +141,8 @@ def locate(vox: DataFrame, height: int, width: int, p: ExtractParams) -> tuple[D
         found = _measured(own, p).where(F.col("score") >= p.score_thr)
     else:
         own, found = lab, passed
-    means = own.groupBy("comp").agg(*[F.avg(f"v{a}").alias(f"v{a}") for a in "zyx"], F.min("id").alias("first"))
+    with_vectors = own if vectors is None else vectors(own.join(found.select("comp"), "comp", "left_semi").select("comp", "id", "z", "y", "x"))
+    means = with_vectors.groupBy("comp").agg(*[F.avg(f"v{a}").alias(f"v{a}") for a in "zyx"], F.min("id").alias("first"))
     found = _places(own, found.join(means, "comp"), p)
     scale = {a: s if p.vector_op == "multiply" else 1 / s for a, s in zip("zyx", p.vector_scale, strict=True)}
     det = found.select("comp", "first", *[f"post_{a}" for a in "zyx"], *[(F.col(f"v{a}") * scale[a]).alias(f"v{a}") for a in "zyx"], "score", "size")
@@ -153,7 +159,7 @@ def ellipsoids(centres: DataFrame, radius: tuple[float, float, float]) -> DataFr
     return out.where(inside <= 1.0).select("z", "y", "x").distinct()
 
 
-def suppressed_pass(vox: DataFrame, lab: DataFrame, passed: DataFrame, first: DataFrame, height: int, width: int, p: ExtractParams) -> DataFrame:
+def suppressed_pass(vox: DataFrame, lab: DataFrame, passed: DataFrame, first: DataFrame, height: int, width: int, p: ExtractParams, vectors: Vectors | None = None) -> DataFrame:
     """A second pass for weak neighbours of strong objects: an ellipsoid around every strong component, placed by loc_type, and
     all voxels of the components that passed are taken out, the rest is labelled anew, and detections nearer to the first
     ones' final places than the least separation are dropped."""
@@ -162,19 +168,19 @@ def suppressed_pass(vox: DataFrame, lab: DataFrame, passed: DataFrame, first: Da
     left = vox.join(ellipsoids(strong, p.suppression_radius), ["z", "y", "x"], "left_anti").join(taken, ["z", "y", "x"], "left_anti")
     score = p.score_thr if p.suppression_score_thr is None else p.suppression_score_thr
     size = p.size_thr if p.suppression_size_thr is None else p.suppression_size_thr
-    more, _, _ = locate(left, height, width, replace(p, splitting=False, score_thr=score, size_thr=size))
+    more, _, _ = locate(left, height, width, replace(p, splitting=False, score_thr=score, size_thr=size), vectors)
     keyed = more.withColumn("id", F.col("comp"))
     return grid.separated(keyed, first, p.suppression_min_separation, "id").drop("id")
 
 
-def extract(vox: DataFrame, height: int, width: int, p: ExtractParams = ExtractParams()) -> DataFrame:
+def extract(vox: DataFrame, height: int, width: int, p: ExtractParams = ExtractParams(), vectors: Vectors | None = None) -> DataFrame:
     """Detections in world units with ids from 0 by score: threshold, components, measures, location, partner, pass for
-    weak neighbours, scale, flip, suppression of neighbours within nms_radius."""
-    found, lab, passed = locate(vox, height, width, p)
+    weak neighbours, scale, flip, suppression of neighbours within nms_radius. ``vectors`` as for ``locate``."""
+    found, lab, passed = locate(vox, height, width, p, vectors)
     det = grid.partner(found, p.post_offset, p.pre_offset)
     if p.suppression:
         det = written(det, "first-pass")
-        more = suppressed_pass(vox, lab, passed, grid.flip(det, p.flipprepost), height, width, p)
+        more = suppressed_pass(vox, lab, passed, grid.flip(det, p.flipprepost), height, width, p, vectors)
         det = det.unionByName(grid.partner(more, p.post_offset, p.pre_offset))
     det = grid.affine(det, p.voxel_size, p.offset)
     det = grid.affine(det, p.voxel_size, p.offset, ("pre_z", "pre_y", "pre_x"))

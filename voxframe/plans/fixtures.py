@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-GRID = 96
+#: Edge of the voxel grid in y and x, and its layers for each SLAB_ORDERS order keys: it grows in z with the tables.
+GRID, LAYERS, SLAB_ORDERS = 96, 7, 37_500
 THRESHOLD = 225
 
 
@@ -13,16 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def grid_of(sf_dir: str) -> int:
-    """Edge of the voxel grid: larger for the larger tables, which would fill the small one."""
-    return GRID if sf_dir.rstrip("/").endswith(("sf0.001", "sf0.01")) else 192
+def volume_shape(spark: SparkSession, sf_dir: str) -> tuple[int, int, int]:
+    last = table(spark, sf_dir, "lineitem").agg(F.max("l_orderkey").alias("k")).first()["k"]  # one row
+    return LAYERS * ((last or 0) // SLAB_ORDERS + 1), GRID, GRID
 
 
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = grid_of(sf_dir)
+    z = F.col("l_linenumber") - 1 + LAYERS * F.floor(F.col("l_orderkey") / SLAB_ORDERS)
     return (
         table(spark, sf_dir, "lineitem")
-        .groupBy((F.col("l_linenumber") - 1).cast("int").alias("z"), (F.col("l_partkey") % g).cast("int").alias("y"), (F.col("l_orderkey") % g).cast("int").alias("x"))
+        .groupBy(z.cast("int").alias("z"), (F.col("l_partkey") % GRID).cast("int").alias("y"), (F.col("l_orderkey") % GRID).cast("int").alias("x"))
         .agg(F.max(F.col("l_quantity").cast("int") * 5).cast("int").alias("v"))
     )
 
@@ -49,7 +50,9 @@ def u(key: Column) -> Column:
     return F.pmod(key * 48271, F.lit(2147483647)) / F.lit(2147483647.0)
 
 
-VOX = f"""SELECT CAST(l_linenumber - 1 AS INTEGER) AS z, CAST(l_partkey % {GRID} AS INTEGER) AS y, CAST(l_orderkey % {GRID} AS INTEGER) AS x,
+#: The depth of the grid, as a scalar.
+DEPTH = f"(SELECT {LAYERS} * (max(l_orderkey) // {SLAB_ORDERS} + 1) FROM lineitem)"
+VOX = f"""SELECT CAST(l_linenumber - 1 + {LAYERS} * (l_orderkey // {SLAB_ORDERS}) AS INTEGER) AS z, CAST(l_partkey % {GRID} AS INTEGER) AS y, CAST(l_orderkey % {GRID} AS INTEGER) AS x,
  CAST(max(CAST(l_quantity AS INTEGER) * 5) AS INTEGER) AS v FROM lineitem GROUP BY 1, 2, 3"""
 FG = f"SELECT *, (CAST(z AS BIGINT) * {GRID} + y) * {GRID} + x AS id FROM ({VOX}) WHERE v >= {THRESHOLD}"
 DET = """SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) * 100 AS post_z, CAST(embedding[2] AS DOUBLE) * 100 AS post_y, CAST(embedding[3] AS DOUBLE) * 100 AS post_x,

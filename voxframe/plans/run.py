@@ -13,14 +13,22 @@ from voxframe.sources import volume
 from voxframe.sources.detections import write_csv, write_json
 
 
-def predicted_voxels(spark: SparkSession, path: str, threshold: float, indicator: str = "pred_syn_indicators", vectors: str = "pred_partner_vectors") -> DataFrame:
-    """Voxels (z, y, x, p, vz, vy, vx) of at least the threshold; vectors are read for those only, chunk by chunk."""
+def indicator_voxels(spark: SparkSession, path: str, threshold: float, indicator: str = "pred_syn_indicators") -> DataFrame:
+    """Voxels (z, y, x, p) of at least the threshold."""
     volume.register(spark)
-    read = lambda d: spark.read.format("volume").option("path", path).option("dataset", d).load()
-    p = volume.to_voxels(read(indicator)).select("z", "y", "x", (F.col("v") / 255.0).alias("p")).where(F.col("p") >= threshold)
-    v = volume.to_voxels(read(vectors), ("vz", "vy", "vx"))
-    zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("vz", "vy", "vx")}
-    return p.join(v, ["z", "y", "x"], "left").withColumns(zero)
+    v = spark.read.format("volume").option("path", path).option("dataset", indicator).option("rows", "voxels").load()
+    return v.select("z", "y", "x", (F.col("c0") / 255.0).alias("p")).where(F.col("p") >= threshold)
+
+
+def late_vectors(path: str, vectors: str = "pred_partner_vectors"):
+    """For ``extract``: adds vz, vy, vx to voxels; of the vector volume only the chunks with such a voxel are read, each once."""
+    return lambda vox: volume.values_at(vox, path, vectors, ("vz", "vy", "vx"))
+
+
+def extract_volume(spark: SparkSession, path: str, p: ExtractParams, indicator: str = "pred_syn_indicators", vectors: str = "pred_partner_vectors") -> DataFrame:
+    """Detections of predicted volumes. Vectors are read last, and only where a component passed the thresholds."""
+    shape = volume.metadata(path, indicator)["shape"]
+    return extract(indicator_voxels(spark, path, p.cc_threshold, indicator), shape[-2], shape[-1], p, late_vectors(path, vectors))
 
 
 def main(config_path: str) -> None:
@@ -29,9 +37,9 @@ def main(config_path: str) -> None:
     part = config.get("extract", config)
     spark = SparkSession.builder.getOrCreate()
     path = part["input"]
-    attributes, shape = volume.attributes(path, "pred_syn_indicators"), volume.metadata(path, "pred_syn_indicators")["shape"]
+    attributes = volume.attributes(path, "pred_syn_indicators")
     p = ExtractParams.of({"voxel_size": attributes["resolution"], "offset": attributes["offset"], **part})
-    det = extract(predicted_voxels(spark, path, p.cc_threshold), shape[-2], shape[-1], p)
+    det = extract_volume(spark, path, p)
     write_csv(det, part["output"].removesuffix(".json") + ".csv")
     write_json(det, part["output"])
 

@@ -6,22 +6,71 @@ import heapq
 
 import numpy as np
 
-FAR = 1e12
+#: More than any squared distance.
+NO_HOLE = 1 << 60
+
+
+def lower_envelope(g: list[int], left: bool, right: bool) -> list[int]:
+    """For each place i of a run the least (i - j)**2 + g[j] over its places j and, with left or right, a 0 next to that end;
+    in time linear in the run."""
+    places: list[int] = []  # of the parabolas of the envelope, each from its start on
+    values: list[int] = []
+    starts: list[int] = []
+    sources = [(-1, 0)] * left + [(i, v) for i, v in enumerate(g) if v < NO_HOLE] + [(len(g), 0)] * right
+    for q, f in sources:
+        start = 0
+        while places:
+            p = places[-1]
+            start = -((values[-1] + p * p - f - q * q) // (2 * (q - p)))  # the first place where q is no higher than p
+            if start > starts[-1]:
+                break
+            places.pop()
+            values.pop()
+            starts.pop()
+            start = 0
+        places.append(q)
+        values.append(f)
+        starts.append(start)
+    if not places:
+        return [NO_HOLE] * len(g)
+    out, k = [], 0
+    for i in range(len(g)):
+        while k + 1 < len(places) and starts[k + 1] <= i:
+            k += 1
+        out.append((i - places[k]) ** 2 + values[k])
+    return out
+
+
+def least_in_runs(at: np.ndarray, g: np.ndarray, new: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The lower envelope of g over each run of neighbouring places (new marks the first of each). The cells next to a run's ends
+    are 0 if they lie within lo..hi."""
+    head = np.flatnonzero(new)
+    end = np.concatenate((head[1:], [len(at)])) - 1
+    left, right = at[head] > lo[head], at[end] < hi[end]
+    run = np.cumsum(new) - 1
+    before = np.where(left[run], (at - at[head][run] + 1) ** 2, NO_HOLE)
+    after = np.where(right[run], (at[end][run] - at + 1) ** 2, NO_HOLE)
+    out = np.minimum(np.minimum(before, after), g)
+    known = np.zeros(len(head), bool)
+    known[run[g < NO_HOLE]] = True  # with no g but NO_HOLE the ends are all there is
+    for a, b, i, j in zip(*[v[known & (end > head)].tolist() for v in (head, end, left, right)], strict=True):
+        out[a : b + 1] = lower_envelope(g[a : b + 1].tolist(), i, j)
+    return out
 
 
 def distance_transform(mask: np.ndarray) -> np.ndarray:
     """Exact Euclidean distance of each True voxel to the nearest False voxel of the array; inf if there is none."""
-    d = np.where(mask, FAR, 0.0)
-    for axis in range(mask.ndim):
-        n = mask.shape[axis]
-        i = np.arange(n)
-        cost = (i[:, None] - i[None, :]) ** 2.0
-        moved = np.moveaxis(d, axis, -1)
-        out = np.full_like(moved, FAR)
-        for k in range(n):
-            out = np.minimum(out, moved[..., k : k + 1] + cost[:, k])
-        d = np.moveaxis(out, -1, axis)
-    return np.where(d >= FAR, np.inf, np.sqrt(d)) * mask
+    g, shape = np.where(mask, np.int64(NO_HOLE), 0), mask.shape
+    for axis in reversed(range(mask.ndim)):
+        flat = np.moveaxis(g, axis, -1).reshape(-1, shape[axis])
+        line, at = np.nonzero(flat)
+        if len(at):
+            new = np.ones(len(at), bool)
+            new[1:] = (line[1:] != line[:-1]) | (at[1:] != at[:-1] + 1)
+            flat = flat.copy()
+            flat[line, at] = least_in_runs(at, flat[line, at], new, np.zeros_like(at), np.full_like(at, shape[axis] - 1))
+        g = np.moveaxis(flat.reshape([n for i, n in enumerate(shape) if i != axis] + [shape[axis]]), -1, axis)
+    return np.where(g >= NO_HOLE, np.inf, np.sqrt(g.astype(np.float64)))
 
 
 def local_peaks(dist: np.ndarray, min_distance: int, floor: float = 0.5) -> list[tuple[int, ...]]:

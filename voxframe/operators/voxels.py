@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from voxframe.operators.components import connected_components
+from voxframe.functions.kernels import NO_HOLE, least_in_runs
+from voxframe.operators.components import connected_components, least_of_component
+from voxframe.operators.keys import dealt_anew
+from voxframe.storage import written
 
 AXES = ("z", "y", "x")
 
@@ -29,12 +37,82 @@ def edges6(fg: DataFrame) -> DataFrame:
     return ahead.join(fg.select(F.col("id").alias("b"), *AXES), list(AXES)).select("a", "b")
 
 
-def label(fg: DataFrame) -> DataFrame:
-    """fg plus comp, the least voxel id of its 6-connected component; fg needs id."""
-    e = edges6(fg).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    loops = fg.select(F.col("id").alias("u"), F.col("id").alias("v"))
-    parts = connected_components(e.unionAll(loops))
-    return fg.join(parts.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id")
+#: Voxels of a block along z, y and x, whose components are found in one go.
+BLOCK = (16, 64, 64)
+
+
+def blockwise_labels(fg: DataFrame, block: tuple[int, int, int] = BLOCK) -> DataFrame:
+    """fg plus ``_local``, the least id of the voxel's component within its block, and ``_faces``, the sides of the block that it
+    lies on: 1, 2, 4 for the lower side of z, y and x, 8, 16, 32 for the upper one. A block is worked off by one task."""
+    keys = [F.floor(F.col(a) / n).cast("int").alias(f"_k{a}") for a, n in zip(AXES, block, strict=True)]
+    own, cells, steps = fg.columns, block[0] * block[1] * block[2], (block[1] * block[2], block[2], 1)
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        k = np.stack([table.column(f"_k{a}").to_numpy() for a in AXES]).astype(np.int64)
+        at = np.stack([table.column(a).to_numpy() for a in AXES]) - k * np.array(block)[:, None]
+        ids, new = table.column("id").to_numpy(), np.ones(len(k[0]), bool)
+        new[1:] = (k[:, 1:] != k[:, :-1]).any(axis=0)
+        code = (np.cumsum(new) - 1) * cells + sum(a * s for a, s in zip(at, steps, strict=True))
+        order = np.argsort(code, kind="stable")
+        code, ids_in_order = code[order], ids[order]
+        u, v = [], []
+        for i, step in enumerate(steps):
+            inner = np.flatnonzero(at[i][order] < block[i] - 1)
+            to = np.searchsorted(code, code[inner] + step)
+            found = to < len(code)
+            found[found] = code[to[found]] == code[inner[found]] + step
+            u.append(ids_in_order[inner[found]])
+            v.append(ids_in_order[to[found]])
+        node, least = least_of_component(np.concatenate(u), np.concatenate(v))
+        local = ids.copy()
+        if len(node):
+            spot = np.minimum(np.searchsorted(node, ids), len(node) - 1)
+            local = np.where(node[spot] == ids, least[spot], ids)
+        faces = sum((at[i] == 0) * (1 << i) + (at[i] == block[i] - 1) * (8 << i) for i in range(3)).astype(np.int32)
+        kept = [table.column(c).combine_chunks() for c in own]
+        return pa.RecordBatch.from_arrays([*kept, pa.array(local), pa.array(faces)], [*own, "_local", "_faces"])
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by block; whole blocks are worked off together."""
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size < cells:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            k = np.stack([table.column(f"_k{a}").to_numpy() for a in AXES])
+            ends = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1
+            if len(ends):
+                yield solve(table.slice(0, ends[-1]))
+                table = table.slice(ends[-1]).combine_chunks()
+            held, size = table.to_batches(), table.num_rows
+        if held:
+            yield solve(pa.Table.from_batches(held))
+
+    schema = StructType([*fg.schema, StructField("_local", LongType()), StructField("_faces", IntegerType())])
+    names = [f"_k{a}" for a in AXES]
+    return fg.select(*own, *keys).repartition(*names).sortWithinPartitions(*names).mapInArrow(local, schema)
+
+
+def label(fg: DataFrame, block: tuple[int, int, int] = BLOCK) -> DataFrame:
+    """fg plus comp, the least voxel id of its 6-connected component; fg needs id.
+
+    Components are found within blocks first. Only voxels on the sides of blocks are then joined, so that the links between
+    blocks grow with surfaces; the components of these links rename what belongs together.
+    """
+    lab = written(blockwise_labels(fg, block), "block-labels")
+    sides = []
+    for i, axis in enumerate(AXES):
+        ahead = [(F.col(a) + (1 if a == axis else 0)).alias(a) for a in AXES]
+        upper = lab.where(F.col("_faces").bitwiseAND(8 << i) != 0).select(*ahead, F.col("_local").alias("u"))
+        lower = lab.where(F.col("_faces").bitwiseAND(1 << i) != 0).select(*AXES, F.col("_local").alias("v"))
+        sides.append(upper.join(lower, list(AXES)).select("u", "v"))
+    links = sides[0].unionByName(sides[1]).unionByName(sides[2]).distinct()
+    parts = connected_components(links).where("node <> component")
+    out = lab.join(parts.select(F.col("node").alias("_local"), "component"), "_local", "left")
+    return out.select(*fg.columns, F.coalesce("component", "_local").alias("comp"))
 
 
 def measure(labelled: DataFrame, score: str = "mean", value: Column | None = None) -> DataFrame:
@@ -85,44 +163,52 @@ def unravel(voxel: Column, height: int, width: int) -> dict[str, Column]:
     return {"z": F.floor(voxel / (height * width)).cast("int"), "y": F.pmod(F.floor(voxel / width), F.lit(height)).cast("int"), "x": F.pmod(voxel, F.lit(width)).cast("int")}
 
 
-#: More than any squared distance in a box.
-NO_HOLE = 1 << 60
-
-
-def _nearest_on_lines(cells: DataFrame, axis: str) -> DataFrame:
-    """cells (comp, z, y, x, own, g) with g the least of g at a cell of the same line plus the squared distance to it. A
-    line of a box is one group, and costs the square of its length."""
-    others = ["comp", *[a for a in AXES if a != axis]]
-    line = F.sort_array(F.collect_list(F.struct(axis, "own", "g"))).alias("line")
-
-    def least(c: Column) -> Column:
-        return F.array_min(F.transform("line", lambda o: o["g"] + (o[axis] - c[axis]).cast("long") * (o[axis] - c[axis])))
-
-    out = cells.groupBy(*others).agg(line).withColumn("line", F.transform("line", lambda c: F.struct(c[axis].alias(axis), c["own"].alias("own"), least(c).alias("g"))))
-    return out.select(*others, F.explode("line").alias("c")).select(*others, "c.*")
+def _line_pass(rows: DataFrame, axis: str) -> DataFrame:
+    """rows (comp, z, y, x, the box, g) with g the least, over the cells of the same line of the box, of the squared distance to a
+    cell plus its g, which is 0 outside the component. Lines are dealt to tasks; a line takes time linear in its voxels."""
+    line = ["comp", *[a for a in AXES if a != axis]]
+    names = rows.columns
+
+    def told(batch: pa.Table) -> pa.RecordBatch:
+        value = {c: batch.column(c).to_numpy() for c in names}
+        at, new = value[axis].astype(np.int64), np.ones(batch.num_rows, bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | np.any([value[c][1:] != value[c][:-1] for c in line], axis=0)
+        value["g"] = least_in_runs(at, value["g"], new, value[f"{axis}0"], value[f"{axis}1"])
+        return pa.RecordBatch.from_arrays([pa.array(value[c]) for c in names], names)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by line; the last line of a batch waits for the next."""
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*held, batch]).combine_chunks()
+            ends = np.flatnonzero(np.any([np.diff(table.column(c).to_numpy()) != 0 for c in line], axis=0)) + 1
+            if len(ends):
+                yield told(table.slice(0, ends[-1]))
+                table = table.slice(ends[-1]).combine_chunks()
+            held = table.to_batches()
+        if held:
+            yield told(pa.Table.from_batches(held))
+
+    return rows.repartition(*line).sortWithinPartitions(*line, axis).mapInArrow(work, rows.schema)
 
 
 def edt_peaks(labelled: DataFrame) -> DataFrame:
-    """Voxel of each component that is farthest from the background inside the component's tight box.
+    """(comp, ez, ey, ex, edt): the voxel of each component that is farthest from the background inside the component's tight box.
 
-    The border of the box is not background; a component that fills its box has infinite distance, so its first voxel
-    in raster order is taken; ties go to the first voxel. Distances are exact, by one pass along each axis: the
-    nearest hole on the voxel's own line, then the best line of its plane, then the best plane.
+    The border of the box is not background; a component that fills its box has infinite distance (null), so its first
+    voxel in raster order is taken; ties go to the first voxel. Distances are exact, by one pass along each axis over the
+    component's own voxels: in a line, only the run that a voxel is in and the cells next to its ends can be
+    nearest, and the lower envelope of their parabolas gives all of a run at once. No cell of a box is made.
     """
-    box = labelled.groupBy("comp").agg(*[F.min(c).alias(f"{c}0") for c in AXES], *[F.max(c).alias(f"{c}1") for c in AXES])
-    cells = box.select("comp", F.explode(F.sequence("z0", "z1")).alias("z"), "y0", "y1", "x0", "x1")
-    cells = cells.select("comp", "z", F.explode(F.sequence("y0", "y1")).alias("y"), "x0", "x1").select("comp", "z", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
-    cells = cells.join(labelled.select("comp", *AXES, F.lit(True).alias("own")), ["comp", *AXES], "left").withColumn("own", F.coalesce("own", F.lit(False)))
-    line = Window.partitionBy("comp", "z", "y").orderBy("x")
-    hole = F.when(~F.col("own"), F.col("x"))
-    before = F.col("x") - F.last(hole, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first(hole, ignorenulls=True).over(line.rowsBetween(Window.currentRow, Window.unboundedFollowing)) - F.col("x")
-    near = F.least(before, after).cast("long")
-    cells = cells.withColumn("g", F.coalesce(near * near, F.lit(NO_HOLE)))
-    for axis in ("y", "z"):
-        cells = _nearest_on_lines(cells, axis)
+    rows = labelled.select("comp", *[F.col(a).cast("int").alias(a) for a in AXES])
+    box = rows.groupBy("comp").agg(*[F.min(c).alias(f"{c}0") for c in AXES], *[F.max(c).alias(f"{c}1") for c in AXES]).withColumn("comp", dealt_anew("comp"))
+    cells = rows.join(box, "comp").withColumn("g", F.lit(NO_HOLE).cast("long"))
+    for axis in reversed(AXES):
+        cells = _line_pass(cells, axis)
     far = F.max(F.struct(F.col("g").alias("d"), *[(-F.col(c)).alias(c) for c in AXES])).alias("m")
-    best = cells.where("own").groupBy("comp").agg(far)
+    best = cells.groupBy("comp").agg(far)
     return best.select("comp", *[(-F.col(f"m.{c}")).alias(f"e{c}") for c in AXES], F.when(F.col("m.d") < NO_HOLE, F.sqrt(F.col("m.d").cast("double"))).alias("edt"))
 
 

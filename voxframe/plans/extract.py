@@ -10,16 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.functions.kernels import distance_transform, split_mask
+from voxframe.functions.kernels import split_mask
 from voxframe.operators import grid, voxels
 from voxframe.operators.nms import nms
 from voxframe.operators.ranking import global_index
 from voxframe.storage import written
 
 
-SMALL_BOX = 256
-
-
 @dataclass(frozen=True)
 class ExtractParams:
     cc_threshold: float = 0.5
@@ -87,25 +84,8 @@ def split_components(labelled: DataFrame, p: ExtractParams) -> DataFrame:
 
 
 def edt_locations(labelled: DataFrame) -> DataFrame:
-    """(comp, ez, ey, ex): by joins for components in a box of at most SMALL_BOX voxels, of which there may be many, and by
-    the distance kernel, one component at a time, for the others."""
-
-    def peak(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = pdf[["z", "y", "x"]].to_numpy()
-        lo = at.min(axis=0)
-        mask = np.zeros(at.max(axis=0) - lo + 1, bool)
-        mask[tuple((at - lo).T)] = True
-        best = np.unravel_index(np.argmax(np.where(mask, np.nan_to_num(distance_transform(mask), posinf=1e30), -1)), mask.shape)
-        return pd.DataFrame([(pdf["comp"].iloc[0], *[float(b + o) for b, o in zip(best, lo, strict=True)])], columns=["comp", "ez", "ey", "ex"])
-
-    rows = labelled.select("comp", "z", "y", "x")
-    cells = F.lit(1)
-    for a in "zyx":
-        cells = cells * (F.max(a) - F.min(a) + 1)
-    large = rows.groupBy("comp").agg(cells.alias("n")).where(F.col("n") > SMALL_BOX).select("comp")
-    by_kernel = rows.join(large, "comp", "left_semi").groupBy("comp").applyInPandas(peak, "comp long, ez double, ey double, ex double")
-    by_joins = voxels.edt_peaks(rows.join(large, "comp", "left_anti")).select("comp", *[F.col(f"e{a}").cast("double").alias(f"e{a}") for a in "zyx"])
-    return by_joins.unionByName(by_kernel)
+    """(comp, ez, ey, ex) as doubles."""
+    return voxels.edt_peaks(labelled.select("comp", "z", "y", "x")).select("comp", *[F.col(f"e{a}").cast("double").alias(f"e{a}") for a in "zyx"])
 
 
 def _places(lab: DataFrame, measured: DataFrame, p: ExtractParams) -> DataFrame:

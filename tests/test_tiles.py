@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions import kernels
 from voxframe.operators import nms as nms_module
-from voxframe.operators import voxels
+from voxframe.operators import ordered, series, voxels
 from voxframe.operators.nms import nms
 
 AT = ("post_z", "post_y", "post_x")
@@ -140,3 +140,56 @@ def test_envelope_is_linear():
     assert kernels.lower_envelope(g, True, False)[:3] == [1, 1, 1] and time.perf_counter() - start < 5
     flat = kernels.distance_transform(np.pad(np.ones((1, 3, 30_000), bool), ((0, 0), (1, 1), (1, 1))))
     assert flat.max() == 2.0
+
+
+@pytest.fixture
+def metric(spark):
+    """Three series, one of them with nearly all rows."""
+    rng = random.Random(11)
+    rows = [("long" if i % 50 else None if i % 100 else "few", i, float(rng.randrange(1000)), f"2024-01-01 00:{i // 60 % 60:02}:{i % 60:02}") for i in range(3000)]
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, "tag string, step long, value double, ts string"), sorted(rows, key=lambda r: r[1])
+
+
+def by_tag(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r[0], []).append(r)
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_scans_over_ranges(spark, metric, parts):
+    df, rows = metric
+    tagged = by_tag(rows)
+    best, rate, kept = {}, {}, set()
+    for own in tagged.values():
+        top, stopped, last = float("-inf"), False, None
+        for r in own:
+            top = max(top, r[2])
+            best[r[1]] = top
+            rate[r[1]] = None if last is None else (r[1] - last[1]) / max((int(r[3][14:16]) - int(last[3][14:16])) * 60 + int(r[3][17:]) - int(last[3][17:]), 1e-6)
+            stopped |= last is not None and r[2] < last[2]
+            kept |= set() if stopped else {r[1]}
+            last = r
+    assert {r["step"]: r["best"] for r in series.running_best(df, ["tag"], "step", "value", parts).collect()} == best
+    assert {r["step"]: r["rate"] for r in series.throughput(df, ["tag"], "step", "ts", parts).collect()} == rate
+    assert {r["step"] for r in series.early_stop(df, ["tag"], "step", "value", parts).collect()} == kept
+    rising = df.withColumn("value", F.when(F.col("step") < 2000, F.col("step")).otherwise(-F.col("step")).cast("double"))
+    assert {r["step"] for r in series.early_stop(rising, ["tag"], "step", "value", parts).collect()} == set(range(2000))
+    ema = {r["tag"]: (r["ema"], r["n"]) for r in series.ema(df, ["tag"], "step", "value", 0.9, parts).collect()}
+    mean = {r["tag"]: (r["mean"], r["n"]) for r in series.mean_times(df, ["tag"], "step", "value", 3, parts).collect()}
+    for tag, own in tagged.items():
+        e = own[0][2]
+        for r in own[1:]:
+            e = 0.9 * e + 0.1 * r[2]
+        assert ema[tag] == (pytest.approx(e), len(own)) and mean[tag] == (pytest.approx(sum(r[2] for r in own[3:]) / (len(own) - 3)), len(own) - 3)
+
+
+def test_one_series_is_spread_over_all_ranges(spark):
+    df = spark.range(2_000_000).select(F.lit("only").alias("tag"), F.col("id").alias("step"), (F.col("id") % 1000).cast("double").alias("value"))
+    sizes = [r["count"] for r in ordered.in_ranges(df, ["tag"], "step", 16).groupBy(ordered.RANGE).count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * 2_000_000 / 16
+    r = ordered.ranked(df, ["tag"], "step", 16).agg(F.max("_i").alias("i"), F.min("_n").alias("n"), F.count_if(F.expr("_i <> step")).alias("bad")).first()
+    assert (r["i"], r["n"], r["bad"]) == (1_999_999, 2_000_000, 0)
+    assert series.running_best(df.where("step < 0"), ["tag"], "step", "value").count() == 0

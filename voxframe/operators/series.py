@@ -5,35 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxframe.operators import ordered
 
-def ema(df: DataFrame, keys: list[str], order: str, value: str, alpha: float = 0.98) -> DataFrame:
+
+def ema(df: DataFrame, keys: list[str], order: str, value: str, alpha: float = 0.98, parts: int | None = None) -> DataFrame:
     """Last exponential average of each series: e0 = x0, e = alpha e + (1 - alpha) x.
 
-    A value's final weight depends only on its distance from the end of its series, so one ranking and one sum do.
+    A value's final weight depends only on its distance from the end of its series, so places and one partial sum do.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    n = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    n = ordered.ranked(df, keys, order, parts)
     weight = F.pow(F.lit(alpha), F.col("_n") - 1 - F.col("_i")) * F.when(F.col("_i") == 0, 1.0).otherwise(1 - alpha)
     return n.groupBy(*keys).agg(F.sum(F.col(value) * weight).alias("ema"), F.count("*").alias("n"))
 
 
-def throughput(df: DataFrame, keys: list[str], step: str, ts: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(step)
-    seconds = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    dt = seconds - F.lag(seconds).over(w)
-    return df.withColumn("rate", (F.col(step) - F.lag(step).over(w)) / F.greatest(dt, F.lit(1e-6)))
+def throughput(df: DataFrame, keys: list[str], step: str, ts: str, parts: int | None = None) -> DataFrame:
+    """df with the steps a second since the row before."""
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
+    rows = ordered.in_ranges(df, keys, step, parts)
+    rows = ordered.carried(rows, keys, {"_last": F.max(F.struct(step, ts))}, {"_past": ordered.previous(keys, "_last")})
+    w = ordered.within(keys, step)
+    past = F.when(F.row_number().over(w) == 1, F.col("_past")).otherwise(F.lag(F.struct(step, ts)).over(w))
+    rows = rows.withColumn("_past", past)
+    dt = seconds(F.col(ts)) - seconds(F.col(f"_past.{ts}"))
+    return rows.withColumn("rate", (F.col(step) - F.col(f"_past.{step}")) / F.greatest(dt, F.lit(1e-6))).select(*df.columns, "rate")
 
 
-def running_best(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("best", F.max(value).over(w))
+def running_best(df: DataFrame, keys: list[str], order: str, value: str, parts: int | None = None) -> DataFrame:
+    rows = ordered.in_ranges(df, keys, order, parts)
+    rows = ordered.carried(rows, keys, {"_best": F.max(value)}, {"_past": F.max("_best").over(ordered.earlier(keys))})
+    w = ordered.within(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("best", F.greatest("_past", F.max(value).over(w))).select(*df.columns, "best")
 
 
-def early_stop(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+def early_stop(df: DataFrame, keys: list[str], order: str, value: str, parts: int | None = None) -> DataFrame:
     """Rows of each series before its first strict drop."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    drop = F.when(F.col(value) < F.lag(value).over(w), 1).otherwise(0)
-    return df.withColumn("_d", drop).withColumn("_s", F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("_s = 0").drop("_d", "_s")
+    rows, w = ordered.in_ranges(df, keys, order, parts), ordered.within(keys, order)
+    rows = rows.withColumn("_drop", F.coalesce(F.col(value) < F.lag(value).over(w), F.lit(False)))
+    end = lambda f: f(F.struct(order, value))
+    summary = {"_first": end(F.min), "_last": end(F.max), "_any": F.bool_or("_drop")}
+    at_start = F.coalesce(F.col(f"_first.{value}") < ordered.previous(keys, "_last")[value], F.lit(False))
+    carry = {"_start": at_start, "_over": F.coalesce(F.bool_or(F.col("_any") | F.col("_start")).over(ordered.earlier(keys)), F.lit(False)) | F.col("_start")}
+    told = ordered.carried(rows, keys, summary, carry)
+    gone = F.bool_or("_drop").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return told.withColumn("_gone", gone).where(~F.col("_over") & ~F.col("_gone")).select(*df.columns)
 
 
 def leaderboard(df: DataFrame, value: str, tie: str, n: int = 20) -> DataFrame:
@@ -60,10 +74,10 @@ def repair_missing(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.select(F.col("r.s.z").alias("z"), *columns, F.col("r.f").alias("v"))
 
 
-def mean_times(df: DataFrame, keys: list[str], order: str, value: str, warm_up: int = 1) -> DataFrame:
+def mean_times(df: DataFrame, keys: list[str], order: str, value: str, warm_up: int = 1, parts: int | None = None) -> DataFrame:
     """Mean of each series after its first ``warm_up`` values."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("_i", F.row_number().over(w)).where(F.col("_i") > warm_up).groupBy(*keys).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+    rows = ordered.ranked(df, keys, order, parts)
+    return rows.where(F.col("_i") >= warm_up).groupBy(*keys).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
 
 
 def bars(df: DataFrame, value: str, top: float, width: int = 40) -> DataFrame:

@@ -28,7 +28,7 @@ def result(spark, name, by="doc_id"):
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{i}" for i in range(1, 14)}
 
 
 def digest(spans):

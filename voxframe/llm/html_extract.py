@@ -7,8 +7,10 @@ region. It is filled up to the edges of the innermost element that holds all of
 article are not lost, and its boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, reader comments) is
 left out. Each page is handled on its own, in time linear in its length, so nothing is shuffled.
 
-A class or id that sounds like boilerplate does not make an element boilerplate if it holds the page's article or more
-than half of its words (but for reader comments), or if it is an article's header.
+Classes, ids and roles are read as attributes; within an article only one that is such a word as a whole counts. One
+that sounds like boilerplate does not make an element boilerplate if it holds the page's article or more than half of
+its words (but for reader comments), or if it is an article's header. Elements after the one with most of the
+words are left out if they say little to a line. Scripts, styles and the like end no block.
 
 Defined cases: null or empty html gives an empty text; unclosed, stray and cut-off tags and any depth of nesting are
 tolerated; pages without words give an empty text; repeated rows are each extracted; other columns pass through, but for
@@ -39,11 +41,13 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9]*)")
-_MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\shidden(?=[\s>=/])|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br del picture source".split())
 #: Elements that are a part of a text, never the whole of it.
 BLOCKS_OF_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tr td th figure figcaption details summary address hgroup".split())
+#: Lines that belong to a text wherever they stand in it.
+TEXT_LINES = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILER_TAGS = frozenset("nav header footer aside form head menu button select option dialog fieldset legend".split())
 BOILER_MARKS = frozenset(
@@ -52,13 +56,30 @@ BOILER_MARKS = frozenset(
     "related recommended recommendations breadcrumb breadcrumbs widget pagination pager login signup search toolbar skip complementary "
     "contentinfo copyright".split()
 )
+#: Words that go with such a word in a class or id without changing what it means ("site-header", not "search-results").
+PLAIN_MARKS = frozenset(
+    "site page top bottom left right wrapper wrap container box block list links link bar item items inner outer global primary secondary main area "
+    "section posts articles stories content column col slot unit zone panel".split()
+)
 COMMENT_MARKS = frozenset("comment comments reply replies respond disqus".split())
 MAIN_TAGS = frozenset(("article", "main"))
 MAIN_MARKS = frozenset("main article content post entry story articlebody".split())
 
 
-def _marks(tag: str) -> set[str]:
-    return {w for m in _MARK.finditer(tag) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())}
+def attributes(tag: str) -> dict[str, str]:
+    """Names (lower case) and values of a tag's attributes; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(tag, _NAME.match(tag).end()):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def _sounds_like(names: list[str], within_article: bool) -> bool:
+    """Whether a class, id or role is a word for boilerplate, or outside an article such a word and plain ones."""
+    if within_article:
+        return any(n in BOILER_MARKS for n in names)
+    parts = [{w for w in re.split(r"[^a-z]+", n) if w} for n in names]
+    return any(p & BOILER_MARKS and p <= BOILER_MARKS | PLAIN_MARKS for p in parts)
 
 
 class _Node:
@@ -71,15 +92,17 @@ class _Node:
 
 
 def _element(name: str, tag: str, node: _Node, order: int) -> _Node:
-    marks = _marks(tag)
+    own = attributes(tag)
+    names = [n for a in ("class", "id", "role") for n in own.get(a, "").lower().split()]
+    words = {w for n in names for w in re.split(r"[^a-z0-9]+", n)}
     if name in ("html", "body"):
         mark = ""
-    elif _HIDDEN.search(tag) or (name in BOILER_TAGS and not (name == "header" and node.main)):
+    elif own.get("hidden", "until-found") != "until-found" or _UNSEEN.search(own.get("style", "")) or (name in BOILER_TAGS and not (name == "header" and node.main)):
         mark = "tag"
-    elif marks & COMMENT_MARKS:
+    elif words & COMMENT_MARKS:
         mark = "comment"
-    elif marks & BOILER_MARKS:
-        mark = "" if marks & BOILER_MARKS == {"header"} and (node.main or marks & MAIN_MARKS) else "marked"
+    elif _sounds_like(names, node.main):
+        mark = "" if words & BOILER_MARKS == {"header"} and (node.main or words & MAIN_MARKS) else "marked"
     else:
         mark = ""
     return _Node(name, node, order, mark, node.main or (name in MAIN_TAGS and mark not in ("tag", "comment")))
@@ -102,8 +125,6 @@ def parse(page: str) -> tuple[list[tuple[str, str, _Node, int, bool]], list[_Nod
         if m[1] or name in ("br", "wbr", "img"):
             if name == "br":
                 out.append(("br", " ", node, block, linked))
-            elif m[1] and name not in ("svg", "iframe"):
-                block += 1
             continue
         if name in INLINE:
             if name == "a":
@@ -234,6 +255,35 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return at
 
 
+def _end_of_article(toks: list[tuple[str, str, _Node, int]], top: _Node) -> int:
+    """The last element of the article within top. Where one child of top has most of its words, elements after it that say little
+    to a line (reader comments and footers that no tag or name tells) do not belong to the article; lines of text do."""
+    words: Counter[_Node] = Counter()
+    child: dict[_Node, _Node] = {}
+    lines: dict[_Node, set[int]] = {}
+    kept = 0
+    for kind, s, x, block in toks:
+        if kind in ("word:text", "word:link") and top.order <= x.order <= top.last and (n := len(s.split())):
+            kept += n
+            path = []
+            while x not in child and x is not top and x.parent is not top:
+                path.append(x)
+                x = x.parent
+            x = child.get(x, x)
+            child.update((y, x) for y in path)  # so that each element is climbed once
+            words[x] += n
+            lines.setdefault(x, set()).add(block)
+    body, most = max(words.items(), key=lambda w: w[1], default=(top, 0))
+    if body is top or body.name in BLOCKS_OF_TEXT or 2 * most < kept or top.main:
+        return top.last
+    after = sorted((x for x in words if x is not top and x.order > body.last), key=lambda x: x.order)
+    usual = most / len(lines[body])
+    for i, x in enumerate(after):
+        if all(y.name not in TEXT_LINES and 3 * words[y] < usual * len(lines[y]) for y in after[i:]):
+            return x.order - 1
+    return top.last
+
+
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
@@ -246,9 +296,10 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     top, last = min(held, key=lambda x: x.order), max(x.order for x in held)
     while top.parent and (top.last < last or top.name in BLOCKS_OF_TEXT):
         top = top.parent
+    end = _end_of_article(toks, top)
     parts, now = [], None
     for kind, s, x, block in toks:
-        if (kind in ("word:text", "word:link") or (kind == "tag:br")) and top.order <= x.order <= top.last:
+        if (kind in ("word:text", "word:link") or (kind == "tag:br")) and top.order <= x.order <= end:
             if block != now:
                 parts.append([])
                 now = block

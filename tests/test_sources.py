@@ -1,5 +1,6 @@
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,15 +85,61 @@ def test_blocks_resume(spark, tmp_path):
     assert got.count() == 14 and got.agg(F.sum("v")).first()[0] == 2 * sum(range(14))
 
 
-def test_online_average(spark, tmp_path):
-    src, cp = str(tmp_path / "m"), str(tmp_path / "c")
-    spark.createDataFrame([("a", i, float(i)) for i in range(5)], "tag string, step long, value double").coalesce(1).write.parquet(src)
-    q = blocks.online_ema(spark.readStream.schema("tag string, step long, value double").parquet(src)).writeStream.format("memory").queryName("ema").outputMode("update").option("checkpointLocation", cp).trigger(availableNow=True).start()
-    q.awaitTermination()
-    e = 0.0
-    for i in range(1, 5):
-        e = 0.98 * e + 0.02 * i
-    assert spark.table("ema").first()["ema"] == pytest.approx(e)
+def run_series(spark, src, cp, per_batch=1, idle=None):
+    stream = spark.readStream.schema("tag string, step long, value double, ts string").option("maxFilesPerTrigger", per_batch).parquet(src)
+    out = []
+    q = blocks.online_series(stream, idle_seconds=idle).writeStream.foreachBatch(lambda df, n: out.extend(map(tuple, df.collect())))
+    q.outputMode("update").option("checkpointLocation", cp).trigger(availableNow=True).start().awaitTermination()
+    return out
+
+
+def test_online_series_over_any_batches(spark, tmp_path):
+    rows = [("a", i, float(i * 7 % 5), f"2024-01-01 00:00:{i:02}") for i in range(0, 40, 2)] + [("b", 3, 1.5, "2024-01-01 00:00:01")]
+    e = rows[0][2]
+    for r in rows[1:20]:
+        e = 0.98 * e + 0.02 * r[2]
+    schema = "tag string, step long, value double, ts string"
+    for n, cuts in enumerate(([0, 21], [0, 4, 5, 13, 21], [0, 20, 21])):
+        src, cp, last = str(tmp_path / f"m{n}"), str(tmp_path / f"c{n}"), {}
+        for a, b in zip(cuts, cuts[1:]):
+            spark.createDataFrame(rows[a:b][::-1], schema).coalesce(1).write.mode("append").parquet(src)
+            last |= {r[0]: r for r in run_series(spark, src, cp)}  # a restart for each part
+        assert last == {"a": ("a", 38, pytest.approx(e), 1.0), "b": ("b", 3, 1.5, None)}
+    spark.createDataFrame(rows[:3], schema).coalesce(1).write.mode("append").parquet(src)  # late rows change nothing
+    assert [(r[1], r[2]) for r in run_series(spark, src, cp)] == [(38, pytest.approx(e))]
+
+
+class Handle:
+    """A state and timers as the processor sees them."""
+
+    def __init__(self):
+        self.value, self.timers = None, []
+        self.exists = lambda: self.value is not None
+        self.get = lambda: self.value
+        self.listTimers = lambda: list(self.timers)
+        self.deleteTimer = self.timers.remove
+        self.registerTimer = self.timers.append
+        self.getCurrentProcessingTimeInMs = lambda: 1000
+
+    def getValueState(self, name, schema):
+        return self
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+def test_idle_tags_are_forgotten():
+    handle, state = Handle(), blocks.SeriesState(0.5, 3.0)
+    state.init(handle)
+    rows = lambda *steps: iter([pd.DataFrame({"step": [s], "value": [float(s)], "seconds": [float(s)]}) for s in steps])
+    told = [next(state.handleInputRows(("a",), rows(*s), handle)) for s in ((5, 4), (6,), (2,))]
+    assert [(t["step"][0], t["ema"][0]) for t in told] == [(5, 4.5), (6, 5.25), (6, 5.25)]  # step 2 is late
+    assert handle.timers == [4000]
+    assert list(state.handleExpiredTimer(("a",), handle, None)) == [] and handle.value is None
+    assert next(state.handleInputRows(("a",), rows(2), handle))["ema"][0] == 2.0
 
 
 def test_search(spark):

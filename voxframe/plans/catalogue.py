@@ -1,4 +1,4 @@
-"""Registered queries and their SQL oracles (run at sf0.01, whose voxel grid the SQL is written for)."""
+"""Registered queries and their SQL oracles (run at sf0.01, whose depth some of the SQL is written for)."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from voxframe.plans import fixtures as fx
 from voxframe.plans.fixtures import COMPONENTS, DEPTH, DET, FG, GRID, VOX, detections, sql_u, table, u, volume_shape
 from voxframe.plans.fixtures import voxels as voxel_table
 from voxframe.storage import written
+from voxframe.streaming import blocks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -297,6 +298,18 @@ def ema_series(spark, sf_dir):
     return series.ema(e, ["tag"], "event_id", "value").select("tag", *r6("ema"), "n")
 
 
+@query(
+    """WITH n AS (SELECT event_type AS tag, event_id, value, epoch_us(ts) / 1e6 AS t, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n, lag(event_id) OVER w AS before, lag(epoch_us(ts)) OVER w / 1e6 AS past
+  FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id))
+ SELECT tag, max(event_id) AS step, round(sum(value * 0.98::DOUBLE ** (n - 1 - i) * CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 1 - 0.98::DOUBLE END), 6) AS ema,
+  round(max(CASE WHEN i = n - 1 THEN (event_id - before) / greatest(t - past, 1e-6) END), 4) AS rate FROM n GROUP BY tag"""
+)
+def online_series(spark, sf_dir):
+    """The stateful operator of streams over a whole table."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("tag"), F.col("event_id").alias("step"), "value", "ts")
+    return blocks.online_series(e).select("tag", "step", *r6("ema"), F.round("rate", 4).alias("rate"))
+
+
 @query("SELECT event_id, round((event_id - lag(event_id) OVER w) / greatest(epoch_us(ts) / 1e6 - lag(epoch_us(ts)) OVER w / 1e6, 1e-6), 4) AS rate FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)")
 def throughput(spark, sf_dir):
     return series.throughput(table(spark, sf_dir, "events"), ["event_type"], "event_id", "ts").select("event_id", F.round("rate", 4).alias("rate"))

@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.operators.voxels import minmax_normalise
-
 
 def grey_rgb(vox: DataFrame) -> DataFrame:
-    """r, g, b of v, scaled to the range of the whole table."""
-    n = minmax_normalise(vox.withColumn("_k", F.lit(0)), ["_k"]).drop("_k")
-    return n.withColumns({c: F.col("n") for c in "rgb"}).drop("n")
+    """r, g, b of v, scaled to the range of the whole table, whose ends are one row for all tasks."""
+    ends = vox.agg(F.min("v").cast("double").alias("_lo"), F.max("v").cast("double").alias("_hi"))
+    n = (F.col("v") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-8))
+    return vox.join(F.broadcast(ends)).withColumns({c: n for c in "rgb"}).drop("_lo", "_hi")
+
+
+#: Fixed value: the red that a mask is shown in.
+MASK_COLOUR = (1.0, 0.2, 0.2)
 
 
-def overlay(rgb: DataFrame, mask: str = "m", colour: tuple[float, float, float] = (1.0, 0.2, 0.2)) -> DataFrame:
-    return rgb.withColumns({c: F.col(c) * (1 - F.col(mask)) + F.lit(k) * F.col(mask) for c, k in zip("rgb", colour, strict=True)})
+def overlay(rgb: DataFrame, mask: str = "m", colour: tuple[float, float, float] = MASK_COLOUR) -> DataFrame:
+    m = F.least(F.greatest(F.col(mask), F.lit(0.0)), F.lit(1.0))
+    return rgb.withColumns({c: F.col(c) * (1 - m) + F.lit(k) * m for c, k in zip("rgb", colour, strict=True)})
 
 
 def spread_picks(zs: DataFrame, most: int = 6) -> DataFrame:

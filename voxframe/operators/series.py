@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,21 +61,36 @@ def leaderboard(df: DataFrame, value: str, tie: str, n: int = 20) -> DataFrame:
 
 
 def repair_missing(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Replace missing slices (``missing``) of each column by the mean of the neighbours, one after the other: a repaired
-    slice feeds the next; a missing first or last slice becomes 0."""
-    order = F.sort_array(F.collect_list(F.struct("z", "v", "missing"))).alias("s")
-    cols = df.groupBy(*columns).agg(order)
-    zero = F.array().cast("array<double>")
-
-    def step(acc, i):
-        s = F.col("s")
-        here = F.get(s, i)
-        mean = F.when((i > 0) & (i < F.size(s) - 1), (F.element_at(acc, -1) + F.get(s, i + 1)["v"]) / 2).otherwise(0.0)
-        return F.concat(acc, F.array(F.when(here["missing"], mean).otherwise(here["v"])))
-
-    fixed = F.aggregate(F.sequence(F.lit(0), F.size("s") - 1), zero, step)
-    out = cols.withColumn("f", fixed).select(*columns, F.explode(F.arrays_zip("s", "f")).alias("r"))
-    return out.select(F.col("r.s.z").alias("z"), *columns, F.col("r.f").alias("v"))
+    """(z, columns, v): missing slices (``missing``) of each column replaced by the mean of the neighbours, one after the other: a
+    repaired slice feeds the next; a missing first or last slice becomes 0. Columns are dealt to tasks and scanned in time
+    linear in their depth."""
+    names = ["z", *columns, "v"]
+
+    def fix(table: pa.Table) -> pa.RecordBatch:
+        v = table.column("v").to_numpy().copy()
+        new = np.any([np.diff(table.column(c).to_numpy()) != 0 for c in columns], axis=0) if table.num_rows > 1 else np.zeros(0, bool)
+        first, last = np.concatenate(([True], new)), np.concatenate((new, [True]))
+        for i in np.flatnonzero(table.column("missing").to_numpy(zero_copy_only=False)):
+            v[i] = 0.0 if first[i] or last[i] else (v[i - 1] + v[i + 1]) / 2
+        return pa.RecordBatch.from_arrays([*[table.column(c).combine_chunks() for c in names[:-1]], pa.array(v)], names)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by column; the last column of a batch waits for the next."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*held, batch]).combine_chunks()
+            ends = np.flatnonzero(np.any([np.diff(table.column(c).to_numpy()) != 0 for c in columns], axis=0)) + 1
+            if len(ends):
+                yield fix(table.slice(0, ends[-1]))
+                table = table.slice(ends[-1]).combine_chunks()
+            held = table.to_batches()
+        if held:
+            yield fix(pa.Table.from_batches(held))
+
+    rows = df.select("z", *columns, F.col("v").cast("double").alias("v"), "missing").repartition(*columns).sortWithinPartitions(*columns, "z")
+    return rows.mapInArrow(scan, rows.select(*names).schema)
 
 
 def mean_times(df: DataFrame, keys: list[str], order: str, value: str, warm_up: int = 1, parts: int | None = None) -> DataFrame:

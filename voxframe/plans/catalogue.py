@@ -805,11 +805,11 @@ def cube_percentiles(spark, sf_dir):
     return voxels.cube_percentiles(voxel_table(spark, sf_dir), volume_shape(spark, sf_dir), 50, 4).select(*r6("lo", "hi"))
 
 
-@query(f"SELECT z, y, x, round(n * (1 - m) + m, 6) AS r, round(n * (1 - m) + 0.2 * m, 6) AS g FROM (SELECT z, y, x, (v - min(v) OVER ()) / greatest(max(v) OVER () - min(v) OVER (), 1e-8)::DOUBLE AS n, CASE WHEN v >= 225 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS m FROM ({VOX}))")
+@query(f"SELECT z, y, x, round(n * (1 - m) + m, 6) AS r, round(n * (1 - m) + 0.2 * m, 6) AS g FROM (SELECT z, y, x, (v - min(v) OVER ()) / greatest(max(v) OVER () - min(v) OVER (), 1e-8)::DOUBLE AS n, CASE WHEN v >= 245 THEN 1.0::DOUBLE WHEN v >= 225 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS m FROM ({VOX}))")
 def overlay_image(spark, sf_dir):
     from voxframe.operators import images
 
-    v = images.grey_rgb(voxel_table(spark, sf_dir)).withColumn("m", F.when(F.col("v") >= 225, 0.5).otherwise(0.0))
+    v = images.grey_rgb(voxel_table(spark, sf_dir)).withColumn("m", F.when(F.col("v") >= 245, 1.5).when(F.col("v") >= 225, 0.5).otherwise(-0.5))
     return images.overlay(v).select("z", "y", "x", *r6("r", "g"))
 
 

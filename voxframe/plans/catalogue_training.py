@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.operators import augment, blend, grid, nn, sampling, series, voxels
+from voxframe.operators.ranking import global_index
 from voxframe.plans import catalogue
 from voxframe.plans import fixtures as fx
 from voxframe.plans.catalogue import _FEAT, AX, UNIT, _features, foreground, query, r6, unit_voxels
@@ -118,9 +119,10 @@ _BY = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedpri
 @query(f"SELECT row_number() OVER (ORDER BY {_BY}) - 1 AS row_id, l_linenumber::DOUBLE AS z, l_partkey::DOUBLE AS y, l_suppkey::DOUBLE AS x FROM lineitem")
 def points_csv_scan(spark, sf_dir):
     path = new_path(spark, "points")
-    li = table(spark, sf_dir, "lineitem").coalesce(1).sortWithinPartitions(*_BY.split(", "))
+    li = table(spark, sf_dir, "lineitem").repartitionByRange(5, *_BY.split(", ")).sortWithinPartitions(*_BY.split(", "))
     li.select(F.concat_ws(",", "l_linenumber", "l_partkey", "l_suppkey").alias("value")).write.text(path)
-    return points.read_points(spark, path).select("row_id", "z", "y", "x")
+    numbered = global_index(points.read_points(spark, path), [F.asc("file"), F.asc("row_id")])
+    return numbered.select(F.col("id").alias("row_id"), "z", "y", "x")
 
 
 @query(f"SELECT z, y, x, v + 1 AS v FROM ({VOX})")

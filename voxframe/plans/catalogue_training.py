@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.operators import augment, blend, grid, nn, sampling, series, voxels
+from voxframe.operators import augment, blend, chunked, grid, nn, sampling, series, voxels
 from voxframe.operators.ranking import global_index
 from voxframe.plans import catalogue
 from voxframe.plans import fixtures as fx
@@ -471,3 +472,44 @@ def unet_forward(spark, sf_dir):
     skips = nn.encoder(_features(spark, sf_dir), [([_weights(2, 4)], 2), ([_weights(2, 2)], 2)], [(1, 2, 2)], shape)
     out = nn.decoder(skips, [(up, 2, (1, 2, 2))], [([_weights(2, 4)], 2)])
     return nn.heads(out, {"logit": [0.6, -0.4], "vz": [0.5, 0.25]}, {"logit": 0.1}).select(*AX, F.round("logit", 4).alias("logit"), F.round("vz", 4).alias("vz"))
+
+
+# ---- networks on dense chunks
+
+_CHUNK = (4, 32, 12)
+_DENSE = f"(SELECT CAST(c AS INTEGER) AS c, CAST(z AS INTEGER) AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, coalesce(v, 0) AS v FROM (SELECT * FROM (SELECT unnest(range({DEPTH})) AS z), range({GRID}) b(y), range({GRID // 4}) d(x), range(4) e(c)) LEFT JOIN {_FEAT} f USING (c, z, y, x))"
+
+
+def _dense(spark, sf_dir):
+    shape = (volume_shape(spark, sf_dir)[0], GRID, GRID // 4)
+    return written(chunked.from_voxels(_features(spark, sf_dir), 4, shape, _CHUNK), "chunks")
+
+
+@query(catalogue.ORACLES["conv3d"].replace(_FEAT, _DENSE))
+def conv3d_chunks(spark, sf_dir):
+    out = chunked.conv3d(_dense(spark, sf_dir), chunked.kernel_array(catalogue.KERNEL, -1), _CHUNK)
+    return chunked.to_voxels(out).select("c", *AX, F.round("v", 5).alias("v"))
+
+
+@query(catalogue.ORACLES["unet_forward"].replace(_FEAT, _DENSE))
+def unet_chunks(spark, sf_dir):
+    """The network of unet_forward, chunk by chunk."""
+
+    def block(rows, out, into, chunk):
+        return written(chunked.group_norm(written(chunked.conv3d(rows, chunked.kernel_array(_weights(out, into), -1), chunk), "chunks"), out, rectify=True), "chunks")
+
+    half = (_CHUNK[0], _CHUNK[1] // 2, _CHUNK[2] // 2)
+    fine = block(_dense(spark, sf_dir), 2, 4, _CHUNK)
+    coarse = block(chunked.max_pool3d(fine, (1, 2, 2), _CHUNK), 2, 2, half)
+    up = np.array([[[[[0.5 + 0.25 * o - 0.1 * c + 0.05 * dy for _ in range(2)] for dy in range(2)]] for c in range(2)] for o in range(2)])
+    last = block(chunked.concat_channels(fine, chunked.conv_transpose3d(coarse, up)), 2, 4, _CHUNK)
+    both = chunked.to_voxels(chunked.heads(last, np.array([[0.6, -0.4], [0.5, 0.25]]), np.array([0.1, 0.0])))
+    return both.groupBy(*AX).agg(*[F.round(F.max(F.when(F.col("c") == i, F.col("v"))), 4).alias(n) for i, n in enumerate(("logit", "vz"))])
+
+
+@query(f"SELECT z, y, x, round(1 / (1 + exp(-(v - 1))), 4) AS p FROM ({catalogue.ORACLES['conv3d'].replace(_FEAT, _DENSE).replace('round(sum(v * w), 5)', 'sum(v * w)')}) WHERE c = 1")
+def predict_chunks(spark, sf_dir):
+    """A model over chunks with context; it is made once in each worker."""
+    w = chunked.kernel_array(catalogue.KERNEL, -1)[1:]
+    out = chunked.predict(_dense(spark, sf_dir), lambda: lambda a: 1 / (1 + np.exp(1 - chunked.convolved(a[:, 1:-1, 2:-2, :], w))), _CHUNK, (2, 3, 1))
+    return chunked.to_voxels(out).select(*AX, F.round("v", 4).alias("p"))

@@ -99,6 +99,24 @@ def blocks(spark, shape: tuple[int, int, int], block: tuple[int, int, int], cont
     return df.withColumns(cols)
 
 
+def reading_blocks(
+    spark, shape: tuple[int, int, int], size: tuple[int, int, int], stride: tuple[int, int, int], context: tuple[int, int, int],
+    offset: tuple[int, int, int] = (0, 0, 0), volume: tuple[int, int, int] | None = None,
+) -> DataFrame:
+    """One row per block of a region (its shape, and its offset in the volume) that has something to write and to read: blk_*, the write
+    box w* in the region, the read box r* in the volume, and what is missing of it before and after (pad_*0, pad_*1)."""
+    whole = volume or tuple(o + s for o, s in zip(offset, shape, strict=True))
+    df = blocks(spark, tuple(-(-s // t) for s, t in zip(shape, stride, strict=True)), (1, 1, 1)).select("blk_z", "blk_y", "blk_x")
+    cols, keep = {}, F.lit(True)
+    for a, s, n, t, c, o, v in zip("zyx", shape, size, stride, context, offset, whole, strict=True):
+        lo = F.col(f"blk_{a}") * t
+        first, last = lo + o - c, lo + o + n + c
+        r0, r1 = F.greatest(first, F.lit(0)), F.least(last, F.lit(v))
+        cols |= {f"w{a}0": lo, f"w{a}1": F.least(lo + n, F.lit(s)), f"r{a}0": r0, f"r{a}1": r1, f"pad_{a}0": r0 - first, f"pad_{a}1": last - r1}
+        keep = keep & (F.col(f"w{a}1") > F.col(f"w{a}0")) & (F.col(f"r{a}1") > F.col(f"r{a}0"))
+    return df.withColumns(cols).where(keep)
+
+
 def halo_rows(vox: DataFrame, shape: tuple[int, int, int], block: tuple[int, int, int], context: tuple[int, int, int]) -> DataFrame:
     """Each voxel of the shape once for every block whose read box holds it, with ``owned`` for the one whose write box
     does. Voxels outside the shape belong to no block."""

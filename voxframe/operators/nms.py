@@ -82,8 +82,8 @@ def _round(rows: DataFrame, edge: float, corner: list[float], radius: float, inc
     return dealt.mapInArrow(solve, schema)
 
 
-def nms(det: DataFrame, radius: float, inclusive: bool = False, columns: tuple[str, ...] = POST, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Rows that a greedy pass by (score desc, id) would keep.
+def nms(det: DataFrame, radius: float, inclusive: bool = False, columns: tuple[str, ...] = POST, tile_rows: int = TILE_ROWS, later_first: bool = False) -> DataFrame:
+    """Rows that a greedy pass by (score desc, id) would keep; with later_first the greater id goes first among equal scores.
 
     Space is cut into tiles. Each tile runs the greedy pass over its rows and those within the radius of its sides, best
     first, as far as the order allows: a row is gone once a better one that is surely kept is near, kept once no near
@@ -94,6 +94,9 @@ def nms(det: DataFrame, radius: float, inclusive: bool = False, columns: tuple[s
     """
     if radius <= 0:
         return det
+    if later_first:
+        back = nms(det.withColumn("id", -F.col("id")), radius, inclusive, columns, tile_rows)
+        return back.withColumn("id", -F.col("id"))
     known = F.col("score").isNotNull()
     for c in columns:
         known = known & F.coalesce(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.lit(False))

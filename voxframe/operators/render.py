@@ -32,6 +32,16 @@ def indicator(points: DataFrame, radius: tuple[float, float, float], shape: tupl
     return blobs(points, radius, shape).select("z", "y", "x").distinct()
 
 
+def pasted(points: DataFrame, values: list[str], radius: tuple[float, float, float], shape: tuple[int, int, int], how: str = "last") -> DataFrame:
+    """(z, y, x, values): each point's values over its blob. Where blobs meet, ``last`` takes all values of the point with the greatest
+    id (the last writer), ``max`` the greatest of each value. Voxels are counted with partial aggregates."""
+    cover = blobs(points, radius, shape).select("id", "z", "y", "x").join(points.select("id", *values), "id")
+    if how == "max":
+        return cover.groupBy("z", "y", "x").agg(*[F.max(v).alias(v) for v in values])
+    top = F.max_by(F.struct(*values), "id").alias("_top")
+    return cover.groupBy("z", "y", "x").agg(top).select("z", "y", "x", *[F.col(f"_top.{v}").alias(v) for v in values])
+
+
 def overlaps(blob: DataFrame) -> DataFrame:
     """Voxels that more than one blob covers, with their number."""
     return blob.groupBy("z", "y", "x").agg(F.count("*").alias("n")).where("n > 1")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voxframe.operators.ranking import global_index
+
 
 def weighted_choice(draws: DataFrame, items: DataFrame, key: str, weight: str, cells: int = 1024) -> DataFrame:
     """draws (with u in [0, 1)) plus the key whose share of the summed weights u falls in.
@@ -44,6 +46,23 @@ def elastic_context(sigma: tuple[float, float, float] = (1.0, 3.0, 3.0), enabled
     return tuple(max(math.ceil(s) * 3 + 2, int(4 * s) + 4) if enabled else 0 for s in sigma)
 
 
+def in_output_region(pairs: DataFrame, input_size: tuple[int, int, int], output_size: tuple[int, int, int], context: tuple[int, int, int] = (0, 0, 0), post: tuple[str, ...] = ("post_z", "post_y", "post_x")) -> DataFrame:
+    """Rows whose post lies in the output box in the middle of a crop (its input box after the context); pre and all else go along."""
+    keep = F.lit(True)
+    for c, n, m, k in zip(post, input_size, output_size, context, strict=True):
+        lo = k + (n - m) // 2
+        keep = keep & (F.col(c) >= lo) & (F.col(c) < lo + m)
+    return pairs.where(keep)
+
+
+def batches(crops: DataFrame, draw: str, size: int, drop_last: bool = False) -> DataFrame:
+    """crops with ``batch`` and ``place``: in the order of their draws, ``size`` to a batch."""
+    out = global_index(crops, [F.asc(draw)], "_n")
+    if drop_last:
+        out = out.where(F.col("_n") < crops.count() // size * size)
+    return out.withColumns({"batch": F.floor(F.col("_n") / size), "place": (F.col("_n") % size).cast("int")}).drop("_n")
+
+
 def first_accepted(candidates: DataFrame, draw: str, attempt: str, accepted: Column, u: Column, probability: float) -> DataFrame:
     """The draw loop at once: of the attempts of each draw, the first that is accepted; draws without one are left out."""
     ok = reject(candidates, accepted, u, probability)

@@ -152,6 +152,12 @@ def nms_strict(spark, sf_dir):
     return nms(detections(spark, sf_dir), 8.0).select("id", *r6("score"))
 
 
+@query(_nms_sql("<").replace(f"({DET})", f"(SELECT * REPLACE (round(score, 1) AS score) FROM ({DET}))").replace("score DESC, id", "score DESC, id DESC"))
+def nms_later_first(spark, sf_dir):
+    d = detections(spark, sf_dir).withColumn("score", F.round("score", 1))
+    return nms(d, 8.0, later_first=True).select("id", *r6("score"))
+
+
 @query(_nms_sql("<="))
 def nms_inclusive(spark, sf_dir):
     return nms(detections(spark, sf_dir), 8.0, inclusive=True).select("id", *r6("score"))
@@ -462,6 +468,19 @@ def write_roi_ownership(spark, sf_dir):
     return h.groupBy("blk_z", "blk_y", "blk_x").agg(F.count("*").alias("n"), F.count_if("owned").alias("n_owned"))
 
 
+@query(
+    f"""SELECT *, wz0 + 5 - 2 AS rz0_full, rz0 - (wz0 + 3) AS pad_z0 FROM (SELECT CAST(z AS INTEGER) AS blk_z, CAST(y AS INTEGER) AS blk_y, CAST(x AS INTEGER) AS blk_x, CAST(z * 3 AS INTEGER) AS wz0, CAST(least(z * 3 + 4, d) AS INTEGER) AS wz1,
+  CAST(greatest(z * 3 + 3, 0) AS INTEGER) AS rz0, CAST(least(z * 3 + 11, d + 2) AS INTEGER) AS rz1, CAST(greatest(y * 30 - 16, 0) AS INTEGER) AS ry0, CAST(least(y * 30 + 40, 90) AS INTEGER) AS ry1, CAST(greatest(x * 30 - 2, 0) AS INTEGER) AS rx0, CAST(least(x * 30 + 54, {GRID}) AS INTEGER) AS rx1
+  FROM (SELECT d, unnest(range((d + 2) // 3)) AS z FROM (SELECT {DEPTH} AS d)), range(4) b(y), range(4) c(x)) WHERE rz1 > rz0 AND ry1 > ry0 AND rx1 > rx0"""
+)
+def reading_blocks(spark, sf_dir):
+    """Blocks of a region that lies askew in a smaller volume: those without anything to read are left out."""
+    s = volume_shape(spark, sf_dir)
+    b = grid.reading_blocks(spark, s, (4, 40, 40), (3, 30, 30), (2, 8, 8), (5, -8, 2 + 4), (s[0] + 2, 90, GRID))
+    b = b.withColumn("rz0_full", F.col("wz0") + 5 - 2)
+    return b.select("blk_z", "blk_y", "blk_x", "wz0", "wz1", "rz0", "rz1", "ry0", "ry1", "rx0", "rx1", "rz0_full", "pad_z0")
+
+
 @query(f"SELECT z, y, x, round((v - lo) / greatest(hi - lo, 1e-8), 6) AS n FROM (SELECT *, min(v) OVER (PARTITION BY z, y // 32)::DOUBLE AS lo, max(v) OVER (PARTITION BY z, y // 32)::DOUBLE AS hi FROM ({VOX}))")
 def block_minmax_normalise(spark, sf_dir):
     v = voxel_table(spark, sf_dir).withColumn("b", F.floor(F.col("y") / 32))
@@ -526,6 +545,16 @@ def render_indicator(spark, sf_dir):
     return render.indicator(_points(spark, sf_dir), RADIUS, SHAPE)
 
 
+@query(f"SELECT CAST(z AS INTEGER) AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(arg_max(vz, id), 6) AS vz, round(arg_max(vx, id), 6) AS vx FROM {_BLOB} b JOIN (SELECT id, vz, vx FROM ({DET})) d USING (id) GROUP BY 1, 2, 3")
+def paste_last(spark, sf_dir):
+    return render.pasted(_points(spark, sf_dir), ["vz", "vx"], RADIUS, SHAPE).select("z", "y", "x", *r6("vz", "vx"))
+
+
+@query(f"SELECT CAST(z AS INTEGER) AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(max(vy), 6) AS vy FROM {_BLOB} b JOIN (SELECT id, vy FROM ({DET})) d USING (id) GROUP BY 1, 2, 3")
+def paste_max(spark, sf_dir):
+    return render.pasted(_points(spark, sf_dir), ["vy"], RADIUS, SHAPE, "max").select("z", "y", "x", *r6("vy"))
+
+
 @query(f"SELECT CAST(z AS INTEGER) AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, count(*) AS n FROM {_BLOB} GROUP BY 1, 2, 3 HAVING count(*) > 1")
 def blob_overlaps(spark, sf_dir):
     return render.overlaps(render.blobs(_points(spark, sf_dir), RADIUS, SHAPE))

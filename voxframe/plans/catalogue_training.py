@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from voxframe.operators import augment, blend, chunked, grid, nn, sampling, seri
 from voxframe.operators.ranking import global_index
 from voxframe.plans import catalogue
 from voxframe.plans import fixtures as fx
+from voxframe.plans import study
 from voxframe.plans.catalogue import _FEAT, AX, UNIT, _features, foreground, query, r6, unit_voxels
 from voxframe.plans.fixtures import COMPONENTS, DEPTH, DET, GRID, VOX, detections, sql_u, table, u, volume_shape
 from voxframe.plans.fixtures import voxels as voxel_table
@@ -513,3 +515,63 @@ def predict_chunks(spark, sf_dir):
     w = chunked.kernel_array(catalogue.KERNEL, -1)[1:]
     out = chunked.predict(_dense(spark, sf_dir), lambda: lambda a: 1 / (1 + np.exp(1 - chunked.convolved(a[:, 1:-1, 2:-2, :], w))), _CHUNK, (2, 3, 1))
     return chunked.to_voxels(out).select(*AX, F.round("v", 4).alias("p"))
+
+
+# ---- crops in batches, studies
+
+_CROP, _OUT_BOX = (4, 24, 24), (2, 12, 12)
+_DRAWS = f"(SELECT o_orderkey AS draw, CAST(floor({sql_u('o_orderkey * 3 + 11')} * ({DEPTH} - 4 + 1)) AS INTEGER) AS oz, CAST(floor({sql_u('o_orderkey * 3 + 12')} * ({GRID} - 24 + 1)) AS INTEGER) AS oy, CAST(floor({sql_u('o_orderkey * 3 + 13')} * ({GRID} - 24 + 1)) AS INTEGER) AS ox FROM orders WHERE o_orderkey % 16 = 3)"
+
+
+@query(
+    f"""WITH d AS {_DRAWS}, v AS MATERIALIZED ({VOX}), hit AS (SELECT DISTINCT draw FROM d JOIN v ON v.v >= 245 AND z BETWEEN oz + 1 AND oz + 2 AND y BETWEEN oy + 6 AND oy + 17 AND x BETWEEN ox + 6 AND ox + 17),
+ ok AS (SELECT *, row_number() OVER (ORDER BY draw) - 1 AS n FROM d SEMI JOIN hit USING (draw))
+ SELECT n // 8 AS batch, CAST(n % 8 AS INTEGER) AS place, draw, sum(v.v)::BIGINT AS total FROM ok JOIN v ON z BETWEEN oz AND oz + 3 AND y BETWEEN oy AND oy + 23 AND x BETWEEN ox AND ox + 23 GROUP BY ALL"""
+)
+def crop_batches(spark, sf_dir):
+    """Crops at drawn places whose output region holds a bright voxel, read from a volume and put into batches."""
+    shape, path = volume_shape(spark, sf_dir), _stored(spark, sf_dir)
+    key = F.col("draw") * 3
+    offsets = {f"o{a}": sampling.crop_offset(u(key + 11 + i), F.lit(s - n)) for i, (a, s, n) in enumerate(zip(AX, shape, _CROP))}
+    draws = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 16 == 3).select(F.col("o_orderkey").alias("draw")).withColumns(offsets)
+    crops = volume.read_boxes(draws, path, "RAW", _CROP)
+    lo = [(n - m) // 2 for n, m in zip(_CROP, _OUT_BOX)]
+
+    def judge(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a = np.frombuffer(batch.column(1)[i].as_py(), np.uint8).reshape(_CROP)
+                inner = a[tuple(slice(b, b + m) for b, m in zip(lo, _OUT_BOX))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([int(a.sum())], pa.int64()), pa.array([int(inner.max())], pa.int64())], ["draw", "total", "brightest"])
+
+    told = crops.select("draw", "data").mapInArrow(judge, "draw long, total long, brightest long").where("brightest >= 245")
+    return sampling.batches(told, "draw", 8).select("batch", "place", "draw", "total")
+
+
+@query(
+    f"""WITH p AS (SELECT z, y, x, v FROM ({VOX})), g AS (SELECT z % 8 AS post_z, y % 40 AS post_y, x % 40 AS post_x, v AS pre_z, y AS pre_y, x AS pre_x FROM p)
+ SELECT * FROM g WHERE post_z >= 3 AND post_z < 6 AND post_y >= 10 AND post_y < 30 AND post_x >= 15 AND post_x < 25"""
+)
+def output_region(spark, sf_dir):
+    v = voxel_table(spark, sf_dir)
+    g = v.select(*[(F.col(a) % n).alias(f"post_{a}") for a, n in zip(AX, (8, 40, 40))], F.col("v").alias("pre_z"), F.col("y").alias("pre_y"), F.col("x").alias("pre_x"))
+    return sampling.in_output_region(g, (5, 36, 30), (3, 20, 10), (2, 2, 5))
+
+
+@query(
+    """WITH t AS (SELECT o_orderkey AS number, ln(o_totalprice) AS a, (o_custkey % 100)::DOUBLE AS b, o_orderpriority AS c, -abs(o_totalprice - 150000) / 1000 - abs(o_custkey % 100 - 40) AS value FROM orders),
+ k AS (SELECT *, row_number() OVER (ORDER BY value DESC, number) <= least(25, ceil(0.1 * count(*) OVER ())) AS good FROM t),
+ s AS (SELECT good, count(*) AS n, stddev_pop(a) AS sa, stddev_pop(b) AS sb FROM k GROUP BY good),
+ c AS (SELECT n_nationkey AS candidate, ln(50000.0::DOUBLE + 8000 * n_nationkey) AS ca, (n_nationkey * 4)::DOUBLE AS cb, CASE WHEN n_nationkey % 2 = 0 THEN '1-URGENT' ELSE '5-LOW' END AS cc FROM nation),
+ w AS (SELECT candidate, good, n, greatest(sa * n ** -0.2, 0.05) AS ha, greatest(sb * n ** -0.2, 1.0) AS hb, a, b, c, ca, cb, cc FROM k JOIN s USING (good), c),
+ d AS (SELECT candidate, good, sum(exp(-0.5 * ((a - ca) / ha) ** 2) / ha * exp(-0.5 * ((b - cb) / hb) ** 2) / hb * (CASE WHEN c = cc THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END + 1.0::DOUBLE / n) / n) AS s FROM w GROUP BY ALL)
+ SELECT candidate, round(ln(max(CASE WHEN good THEN s END) + 1e-300) - ln(max(CASE WHEN NOT good THEN s END) + 1e-300), 6) AS ratio FROM d GROUP BY candidate"""
+)
+def tpe_ratios(spark, sf_dir):
+    """Density ratios of candidates over a table of trials derived from orders."""
+    price, b = F.col("o_totalprice"), (F.col("o_custkey") % 100)
+    value = -F.abs(price - 150000) / 1000 - F.abs(b - 40)
+    trials = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("number"), F.log(price).alias("a"), b.cast("double").alias("b"), F.col("o_orderpriority").alias("c"), value.alias("value"))
+    n = F.col("n_nationkey")
+    who = table(spark, sf_dir, "nation").select(n.alias("candidate"), F.log(50000.0 + 8000 * n).alias("a"), (n * 4).cast("double").alias("b"), F.when(n % 2 == 0, "1-URGENT").otherwise("5-LOW").alias("c"))
+    return study.density_ratios(study.split(trials), who, {"a": 5.0, "b": 100.0, "c": 0.0}).select("candidate", *r6("ratio"))

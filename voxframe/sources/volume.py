@@ -507,3 +507,40 @@ def values_at(vox: DataFrame, path: str, dataset: str, names: tuple[str, ...]) -
 
     schema = StructType([*vox.select(*own).schema, *[StructField(n, DoubleType()) for n in names]])
     return vox.select(*own, *ids).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(gather, schema)
+
+
+#: Chunks that a task keeps while it reads boxes.
+KEPT_CHUNKS = 64
+
+
+def read_boxes(boxes: DataFrame, path: str, dataset: str, size: tuple[int, int, int]) -> DataFrame:
+    """boxes (oz, oy, ox and other columns) with channels, dtype and data: the dense contents of the box of this size, 0 beyond
+    the volume. Boxes are dealt by place, so that neighbours share the chunks that a task has read."""
+    m = metadata(path, dataset)
+    chunks, shape, channels = m["chunks"][-3:], m["shape"][-3:], _channels(m)
+    own = boxes.columns
+    kind = np.dtype(m["dtype"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple[int, ...], np.ndarray] = {}
+        for batch in batches:
+            at = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("oz", "oy", "ox")]
+            for i, o in enumerate(zip(*at, strict=True)):
+                out = np.zeros((channels, *size), kind)
+                for k, lo, hi in chunk_parts(list(o), list(size), shape, chunks):
+                    key = tuple(k)
+                    if key not in kept:
+                        if len(kept) >= KEPT_CHUNKS:
+                            kept.pop(next(iter(kept)))
+                        kept[key] = _held(f"{path}/{dataset}", m, key, channels)
+                    part = kept[key][(slice(None), *[slice(a - n * c, b - n * c) for a, b, n, c in zip(lo, hi, k, chunks, strict=True)])]
+                    out[(slice(None), *[slice(a - s, b - s) for a, b, s in zip(lo, hi, o, strict=True)])] = part
+                row = batch.slice(i, 1)
+                more = [pa.array([channels], pa.int32()), pa.array([kind.str]), pa.array([out.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*[row.column(row.schema.get_field_index(c)) for c in own], *more], [*own, "channels", "dtype", "data"])
+
+    from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
+
+    schema = StructType([*boxes.schema, StructField("channels", IntegerType()), StructField("dtype", StringType()), StructField("data", BinaryType())])
+    near = [F.floor(F.col(f"o{a}") / c) for a, c in zip("zyx", chunks, strict=True)]
+    return boxes.repartitionByRange(*near).sortWithinPartitions(*near).mapInArrow(read, schema)

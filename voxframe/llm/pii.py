@@ -2,7 +2,7 @@
 
 Protected entities are the values found by the patterns. Over the whole corpus, n(t) counts the documents with term
 t, n(e) those with entity e, and n(t, e) those in which t stands within ``context_words`` words of e (copies count in
-all three). A term discloses e if it stands beside e in ``min_support`` documents and
+all three; a word that is not whole within ``context_chars`` characters of e is no neighbour). A term discloses e if it stands beside e in ``min_support`` documents and
 its pointwise mutual information with e reaches ``disclosure`` of e's information content; in documents that hold e,
 all its occurrences are then spans of kind ``term``. Everything is column expressions and joins on keys.
 
@@ -81,9 +81,12 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _near(t: Column, s: Column, p: PiiParams) -> Column:
-    lo = F.greatest(s["start"] - p.context_chars, F.lit(0))
-    before = F.regexp_extract_all(F.substr(t, lo + 1, s["start"] - lo), F.lit(WORD), F.lit(0))
-    after = F.regexp_extract_all(F.substr(t, s["end"] + 1, F.lit(p.context_chars)), F.lit(WORD), F.lit(0))
+    """The words beside a span that lie whole within context_chars of it; one character more tells whether the last is cut."""
+    lo = F.greatest(s["start"] - p.context_chars - 1, F.lit(0))
+    left, right = F.substr(t, lo + 1, s["start"] - lo), F.substr(t, s["end"] + 1, F.lit(p.context_chars + 1))
+    left = F.when(s["start"] > p.context_chars, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
+    right = F.when(F.length(right) > p.context_chars, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
+    before, after = (F.regexp_extract_all(x, F.lit(WORD), F.lit(0)) for x in (left, right))
     k = p.context_words
     return F.transform(
         F.concat(F.slice(before, F.greatest(F.size(before) - (k - 1), F.lit(1)), k), F.slice(after, F.lit(1), k)), F.lower

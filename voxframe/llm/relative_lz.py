@@ -169,30 +169,53 @@ def remove_repeated_passages(docs: DataFrame, text: str = "text", length: int =
     source = source.withColumn("_rlz_id", F.xxhash64("_rlz_key", "_rlz_n"))
     work = source.select("_rlz_bytes", "_rlz_key", "_rlz_n").where(F.col("_rlz_n") >= 2 * length - 1)  # so many words need as many bytes
 
+    ranges_of = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+
     def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "run", "key", "n", "lo", "hi"]
+        """A row for each run that a text has, with all its places in the text; neighbouring ones in one range."""
+        names = ["anchor", "run", "key", "n", "times", "ranges"]
         for batch in batches:
             parts, held = [], 0
             for raw, key, n in zip(_arrow(batch, "_rlz_bytes"), _arrow(batch, "_rlz_key"), _arrow(batch, "_rlz_n"), strict=True):
                 words = word_hashes(raw)
-                for a in range(0, len(words) - length + 1, PIECE):
-                    anchor, run, lo, hi = runs(words[a : a + PIECE + length - 1], length, gram)
-                    k = len(lo)
-                    parts.append((anchor.view(np.int64), run.view(np.int64), np.full(k, key, np.int64), np.full(k, n, np.int32), (lo + a).astype(np.int32), (hi + a).astype(np.int32)))
-                    held += k
+                found = [(*runs(words[a : a + PIECE + length - 1], length, gram), a) for a in range(0, len(words) - length + 1, PIECE)]
+                if not found:
+                    continue
+                anchor, run = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+                lo, hi = (np.concatenate([f[i] + f[4] for f in found]) for i in (2, 3))
+                order = np.lexsort((lo, run, anchor))
+                anchor, run, lo, hi = anchor[order], run[order], lo[order], hi[order]
+                head = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (run[1:] != run[:-1])))
+                first = np.concatenate(([True], head[1:] | (lo[1:] > hi[:-1] + 1)))  # of a range
+                start, at = np.flatnonzero(head), np.flatnonzero(first)
+                last = np.concatenate((at[1:], [len(lo)])) - 1
+                times = np.diff(np.concatenate((start, [len(lo)])))
+                offsets = np.concatenate((np.searchsorted(at, start), [len(at)]))
+                k = len(start)
+                parts.append((anchor[start].view(np.int64), run[start].view(np.int64), np.full(k, key, np.int64), np.full(k, n, np.int32), times.astype(np.int32), np.diff(offsets), lo[at], hi[last]))
+                held += len(at)
                 if held > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names)
+                    yield run_rows(parts, names)
                     parts, held = [], 0
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names)
+                yield run_rows(parts, names)
+
+    def run_rows(parts: list[tuple], names: list[str]) -> pa.RecordBatch:
+        *plain, sizes, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
+        places = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (lo, hi)], ["lo", "hi"])
+        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+        return pa.RecordBatch.from_arrays([*[pa.array(x) for x in plain], pa.ListArray.from_arrays(offsets, places).cast(ranges_of)], names)
 
-    records = written(work.mapInArrow(find_runs, "anchor long, run long, key long, n int, lo int, hi int"), "runs")
-    again = records.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select(dealt_anew("anchor"))
+    records = written(work.mapInArrow(find_runs, "anchor long, run long, key long, n int, times int, ranges array<struct<lo:int,hi:int>>"), "runs")
+    again = records.groupBy("anchor").agg(F.sum("times").alias("c")).where("c > 1").select(dealt_anew("anchor"))
     repeated = written(records.join(again, "anchor", "left_semi"), "repeated-runs")
     discard(records)
 
-    distinct = written(repeated.groupBy("anchor", "run").agg(F.count("*").alias("c"), F.min(F.struct("key", "n", "lo", "hi")).alias("one")), "distinct-runs")
-    whole = repeated.join(distinct.where("c > 1").select(dealt_anew("anchor"), "run"), ["anchor", "run"], "left_semi").select("key", "n", "lo", "hi")
+    one = F.struct("key", "n", F.col("ranges")[0]["lo"].alias("lo"), F.col("ranges")[0]["hi"].alias("hi"))
+    distinct = repeated.groupBy("anchor", "run").agg(F.sum("times").alias("c"), F.min(one).alias("one"))
+    # of a range of neighbouring runs with equal words, only the first is meant
+    distinct = written(distinct.withColumn("one", F.col("one").withField("hi", F.least("one.hi", F.col("one.lo") + (length - gram)))), "distinct-runs")
+    whole = repeated.join(distinct.where("c > 1").select(dealt_anew("anchor"), "run"), ["anchor", "run"], "left_semi").select("key", "n", F.inline("ranges"))
     several = distinct.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select(dealt_anew("anchor"), "k")
     wanted = distinct.join(several, "anchor").select("anchor", "k", "one.*").groupBy("key", "n").agg(F.collect_set(F.struct("anchor", "k", "lo", "hi")).alias("_rlz_at"))
     one_of_each = work.dropDuplicates(["_rlz_key", "_rlz_n"])  # copies of a text go before the shuffle
@@ -265,7 +288,7 @@ def remove_repeated_passages(docs: DataFrame, text: str = "text", length: int =
     same = windows.groupBy("window", "anchor").agg(F.count("*").alias("c")).where("c > 1").select(dealt_anew("window"), "anchor")
     single = windows.join(same, ["window", "anchor"], "left_semi").select("key", "n", "lo", F.col("lo").alias("hi"))
     text_id = F.xxhash64("key", "n").alias("_rlz_of")
-    held = repeated.where("lo = 0").groupBy(text_id).agg(F.count("*").alias("_rlz_held"))  # a text's first run comes once a copy
+    held = repeated.where("ranges[0].lo = 0").groupBy(text_id).agg(F.count("*").alias("_rlz_held"))  # a text's first run comes once a copy
     found = whole.unionByName(few).unionByName(single).groupBy(text_id).agg(F.collect_set(F.struct("lo", "hi", "n")).alias("_rlz_at"))
     found = written(found.join(held, "_rlz_of", "left").select("_rlz_of", "_rlz_at", F.coalesce("_rlz_held", F.lit(1).cast("long")).alias("_rlz_held")), "repeated-passages")
     discard(repeated)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from voxframe.llm.repeats import Hashes, _arrow, _least, _powers
+from voxframe.llm.repeats import RUNS, Hashes, _arrow, _least, _powers, collapsed, run_rows
 from voxframe.operators.keys import attach, dealt_anew
 from voxframe.storage import discard, written
 
@@ -169,44 +169,25 @@ def remove_repeated_passages(docs: DataFrame, text: str = "text", length: int =
     source = source.withColumn("_rlz_id", F.xxhash64("_rlz_key", "_rlz_n"))
     work = source.select("_rlz_bytes", "_rlz_key", "_rlz_n").where(F.col("_rlz_n") >= 2 * length - 1)  # so many words need as many bytes
 
-    ranges_of = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-
     def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each run that a text has, with all its places in the text; neighbouring ones in one range."""
-        names = ["anchor", "run", "key", "n", "times", "ranges"]
+        """A row for each run that a text has, with all its places in the text."""
         for batch in batches:
-            parts, held = [], 0
+            texts, held = [], 0
             for raw, key, n in zip(_arrow(batch, "_rlz_bytes"), _arrow(batch, "_rlz_key"), _arrow(batch, "_rlz_n"), strict=True):
                 words = word_hashes(raw)
                 found = [(*runs(words[a : a + PIECE + length - 1], length, gram), a) for a in range(0, len(words) - length + 1, PIECE)]
                 if not found:
                     continue
-                anchor, run = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-                lo, hi = (np.concatenate([f[i] + f[4] for f in found]) for i in (2, 3))
-                order = np.lexsort((lo, run, anchor))
-                anchor, run, lo, hi = anchor[order], run[order], lo[order], hi[order]
-                head = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (run[1:] != run[:-1])))
-                first = np.concatenate(([True], head[1:] | (lo[1:] > hi[:-1] + 1)))  # of a range
-                start, at = np.flatnonzero(head), np.flatnonzero(first)
-                last = np.concatenate((at[1:], [len(lo)])) - 1
-                times = np.diff(np.concatenate((start, [len(lo)])))
-                offsets = np.concatenate((np.searchsorted(at, start), [len(at)]))
-                k = len(start)
-                parts.append((anchor[start].view(np.int64), run[start].view(np.int64), np.full(k, key, np.int64), np.full(k, n, np.int32), times.astype(np.int32), np.diff(offsets), lo[at], hi[last]))
-                held += len(at)
+                both = [np.concatenate([f[i] for f in found]) for i in (0, 1)] + [np.concatenate([f[i] + f[4] for f in found]) for i in (2, 3)]
+                texts.append((key, n, collapsed(*both)))
+                held += len(texts[-1][2][4])
                 if held > 50_000:
-                    yield run_rows(parts, names)
-                    parts, held = [], 0
-            if parts:
-                yield run_rows(parts, names)
-
-    def run_rows(parts: list[tuple], names: list[str]) -> pa.RecordBatch:
-        *plain, sizes, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
-        places = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (lo, hi)], ["lo", "hi"])
-        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-        return pa.RecordBatch.from_arrays([*[pa.array(x) for x in plain], pa.ListArray.from_arrays(offsets, places).cast(ranges_of)], names)
-
-    records = written(work.mapInArrow(find_runs, "anchor long, run long, key long, n int, times int, ranges array<struct<lo:int,hi:int>>"), "runs")
+                    yield run_rows(texts, ["anchor", "run"])
+                    texts, held = [], 0
+            if texts:
+                yield run_rows(texts, ["anchor", "run"])
+
+    records = written(work.mapInArrow(find_runs, "anchor long, run long, " + RUNS), "runs")
     again = records.groupBy("anchor").agg(F.sum("times").alias("c")).where("c > 1").select(dealt_anew("anchor"))
     repeated = written(records.join(again, "anchor", "left_semi"), "repeated-runs")
     discard(records)

@@ -99,6 +99,32 @@ def runs(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     return grams[at[lo]], h.of(lo, hi + length), lo, hi
 
 
+def collapsed(anchor: np.ndarray, run: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(anchor, run, times, ranges of each, lo, hi): the runs of one text by what they hold, each with its places; neighbouring
+    places make one range. A text of one word over and over has one run."""
+    order = np.lexsort((lo, run, anchor))
+    anchor, run, lo, hi = anchor[order], run[order], lo[order], hi[order]
+    head = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (run[1:] != run[:-1])))
+    first = np.concatenate(([True], head[1:] | (lo[1:] > hi[:-1] + 1)))  # of a range
+    start, at = np.flatnonzero(head), np.flatnonzero(first)
+    last = np.concatenate((at[1:], [len(lo)])) - 1
+    times = np.diff(np.concatenate((start, [len(lo)])))
+    ranges = np.diff(np.concatenate((np.searchsorted(at, start), [len(at)])))
+    return anchor[start], run[start], times, ranges, lo[at], hi[last]
+
+
+RUNS = "key long, n int, times int, ranges array<struct<lo:int,hi:int>>"
+
+
+def run_rows(texts: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """Rows (names[:2], key, n, times, ranges) of texts (key, n, collapsed runs)."""
+    parts = [(a.view(np.int64), r.view(np.int64), np.full(len(a), key, np.int64), np.full(len(a), n, np.int32), times.astype(np.int32), ranges, lo, hi) for key, n, (a, r, times, ranges, lo, hi) in texts]
+    *plain, sizes, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
+    places = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (lo, hi)], ["lo", "hi"])
+    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+    return pa.RecordBatch.from_arrays([*[pa.array(x) for x in plain], pa.ListArray.from_arrays(offsets, places)], [*names[:2], "key", "n", "times", "ranges"])
+
+
 def _pieces(n: int, length: int) -> Iterator[tuple[int, int]]:
     """Pieces that share length - 1 bytes, so that each window is in exactly one."""
     step = max(PIECE, 2 * length)
@@ -120,32 +146,33 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     work = source.select("_rep_bytes", "_rep_key", "_rep_n")
 
     def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "span", "key", "n", "lo", "hi"]
+        """A row for each run that a text has, with all its places in the text."""
         for batch in batches:
-            parts, held = [], 0
+            texts, held = [], 0
             for raw, key, n in zip(_arrow(batch, "_rep_bytes"), _arrow(batch, "_rep_key"), _arrow(batch, "_rep_n"), strict=True):
                 if n < length:
                     continue
                 data = np.frombuffer(raw, np.uint8)
-                for a, b in _pieces(n, length):
-                    anchor, span, lo, hi = runs(data[a:b], length, gram)
-                    k = len(lo)
-                    parts.append((anchor.view(np.int64), span.view(np.int64), np.full(k, key, np.int64), np.full(k, n, np.int32), (lo + a).astype(np.int32), (hi + a).astype(np.int32)))
-                    held += k
+                found = [(*runs(data[a:b], length, gram), a) for a, b in _pieces(n, length)]
+                both = [np.concatenate([f[i] for f in found]) for i in (0, 1)] + [np.concatenate([f[i] + f[4] for f in found]) for i in (2, 3)]
+                texts.append((key, n, collapsed(*both)))
+                held += len(texts[-1][2][4])
                 if held > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names)
-                    parts, held = [], 0
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names)
+                    yield run_rows(texts, ["anchor", "span"])
+                    texts, held = [], 0
+            if texts:
+                yield run_rows(texts, ["anchor", "span"])
 
-    records = written(work.where(F.col("_rep_n") >= length).mapInArrow(find_runs, "anchor long, span long, key long, n int, lo int, hi int"), "runs")
-    again = records.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select(dealt_anew("anchor"))
+    records = written(work.where(F.col("_rep_n") >= length).mapInArrow(find_runs, "anchor long, span long, " + RUNS), "runs")
+    again = records.groupBy("anchor").agg(F.sum("times").alias("c")).where("c > 1").select(dealt_anew("anchor"))
     repeated = written(records.join(again, "anchor", "left_semi"), "repeated-runs")
     discard(records)
 
-    spans = repeated.groupBy("anchor", "span").agg(F.count("*").alias("c"), F.min(F.struct("key", "n", "lo", "hi")).alias("rep"))
-    spans = written(spans, "spans")
-    whole = repeated.join(spans.where("c > 1").select("anchor", "span"), ["anchor", "span"], "left_semi").select("key", "n", "lo", "hi")
+    one = F.struct("key", "n", F.col("ranges")[0]["lo"].alias("lo"), F.col("ranges")[0]["hi"].alias("hi"))
+    spans = repeated.groupBy("anchor", "span").agg(F.sum("times").alias("c"), F.min(one).alias("rep"))
+    # a range of neighbouring equal runs is as wide as it is long; one run has at most length - gram + 1 windows
+    spans = written(spans.withColumn("rep", F.col("rep").withField("hi", F.least("rep.hi", F.col("rep.lo") + (length - gram)))), "spans")
+    whole = repeated.join(spans.where("c > 1").select("anchor", "span"), ["anchor", "span"], "left_semi").select("key", "n", F.inline("ranges"))
     several = spans.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select(dealt_anew("anchor"), "k")
     borders = (
         spans.join(several, "anchor").select("anchor", "k", "rep.*")
@@ -216,7 +243,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     same = windows.groupBy("window", "anchor").agg(F.count("*").alias("c")).where("c > 1").select(dealt_anew("window"), "anchor")
     single = windows.join(same, ["window", "anchor"], "left_semi").select("key", "n", "lo", F.col("lo").alias("hi"))
     text_id = F.xxhash64("key", "n").alias("_rep_of")
-    held = repeated.where("lo = 0").groupBy(text_id).agg(F.count("*").alias("_rep_held"))  # a text's first run comes once a copy
+    held = repeated.where("ranges[0].lo = 0").groupBy(text_id).agg(F.count("*").alias("_rep_held"))  # a text's first run comes once a copy
     found = whole.unionByName(few).unionByName(single).groupBy(text_id).agg(F.collect_set(F.struct("lo", "hi", "n")).alias("_rep_at"))
     found = written(found.join(held, "_rep_of", "left").select("_rep_of", "_rep_at", F.coalesce("_rep_held", F.lit(1).cast("long")).alias("_rep_held")), "repeats")
 

@@ -24,3 +24,40 @@ def test_parts_are_numbered_as_their_masks():
     mask = np.random.default_rng(2).random((6, 9, 9)) < 0.75
     label, parts = kernels.split_labels(mask, 2, 4), kernels.split_mask(mask, 2, 4)
     assert len(parts) == label.max() + 1 and all((p == (label == i)).all() for i, p in enumerate(parts))
+
+
+def _points(spark, rng, n, first, spread=3.0):
+    """Dense points, a tight cluster, copies of one place and some far away."""
+    at = np.concatenate((rng.normal(0, spread, (n, 3)), rng.normal(9, 1e-3, (n // 4, 3)), np.full((n // 8, 3), 1.5), rng.normal(0, 300, (5, 3))))
+    rows = [(first + i, *map(float, p)) for i, p in enumerate(at)]
+    return rows, spark.createDataFrame(rows, "id long, post_z double, post_y double, post_x double")
+
+
+def _distances(a, b):
+    p, q = np.array([r[1:] for r in a]), np.array([r[1:] for r in b])
+    d = np.zeros((len(p), len(q)))
+    for i in range(3):
+        d += (p[:, None, i] - q[None, :, i]) ** 2
+    return np.sqrt(d)
+
+
+def test_nearest_pairs_few_rows(spark, monkeypatch):
+    """Against brute force; the fullest cell of a round's first join is small, so dense rows are not paired with each other."""
+    from voxframe.operators import grid
+
+    rng = np.random.default_rng(3)
+    (a, left), (b, right) = _points(spark, rng, 240, 0), _points(spark, rng, 320, 10_000)
+    made, join = [], grid.radius_join
+
+    def counted(*args, **kw):
+        out = join(*args, **kw)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(grid, "radius_join", counted)
+    got = {r["l_id"]: (r["r_id"], r["dist"]) for r in grid.nearest(left, right).collect()}
+    d = _distances(a, b)
+    best = d.argmin(axis=1)
+    assert {k: v[0] for k, v in got.items()} == {r[0]: b[j][0] for r, j in zip(a, best)}
+    assert sum(made) < len(a) * len(b) / 10
+

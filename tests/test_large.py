@@ -61,3 +61,17 @@ def test_nearest_pairs_few_rows(spark, monkeypatch):
     assert {k: v[0] for k, v in got.items()} == {r[0]: b[j][0] for r, j in zip(a, best)}
     assert sum(made) < len(a) * len(b) / 10
 
+
+def test_greedy_matches_of_dense_rows(spark):
+    """Against the greedy pass by (dist, l_id, r_id), with copies at one place."""
+    from voxframe.operators import grid
+
+    rng = np.random.default_rng(4)
+    (a, left), (b, right) = _points(spark, rng, 60, 0), _points(spark, rng, 90, 10_000)
+    d = _distances(a, b)
+    used, want = set(), []
+    for dist, l, r in sorted((d[i, j], a[i][0], b[j][0]) for i in range(len(a)) for j in range(len(b)) if d[i, j] < 5.0):
+        if l not in used and r not in used:
+            used |= {l, r}
+            want.append((l, r))
+    assert sorted((r["l_id"], r["r_id"]) for r in grid.matched_one_to_one(left, right, 5.0).collect()) == sorted(want)

@@ -82,3 +82,21 @@ def test_bars_beyond_the_top(spark):
 
     df = spark.createDataFrame([(2500,), (12500,), (0,)], "n long")
     assert {r["n"]: len(r["bar"]) for r in series.bars(df, "n", 5000.0).collect()} == {2500: 20, 12500: 100, 0: 0}
+
+
+def test_points_are_written_by_as_many_tasks_as_there_are_ranges(spark, monkeypatch):
+    import glob
+
+    from voxframe.plans import catalogue_training as ct
+
+    paths, new = [], ct.new_path
+    monkeypatch.setattr(ct, "new_path", lambda s, name: paths.append(new(s, name)) or paths[-1])
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ct.points_csv_scan(spark, "/root/testdata/sf0.001")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(glob.glob(paths[0].removeprefix("file:") + "/part-*")) == 9

@@ -100,3 +100,19 @@ def test_points_are_written_by_as_many_tasks_as_there_are_ranges(spark, monkeypa
         for k, v in old.items():
             spark.conf.set(k, v)
     assert len(glob.glob(paths[0].removeprefix("file:") + "/part-*")) == 9
+
+
+def test_boxes_are_read_by_many_tasks(spark, monkeypatch, tmp_path):
+    from voxframe.sources import volume
+
+    path = f"{tmp_path}/v"
+    volume.create(path, "RAW", [6, 8, 8], [3, 4, 4], "uint8")
+    vox = spark.createDataFrame([(z, y, x, z * 64 + y * 8 + x & 255) for z in range(6) for y in range(8) for x in range(8)], "z int, y int, x int, v int")
+    volume.write_voxels(vox, path, "RAW")
+    monkeypatch.setattr(volume, "BOXES_A_TASK", 3)
+    boxes = spark.createDataFrame([(i, i % 5, i % 7, (3 * i) % 7) for i in range(30)], "draw long, oz int, oy int, ox int")
+    got = volume.read_boxes(boxes, path, "RAW", (2, 2, 2))
+    data = {r["draw"]: np.frombuffer(r["data"], np.uint8).reshape(2, 2, 2) for r in got.collect()}
+    at = np.indices((2, 2, 2))
+    assert all((data[i] == ((at[0] + i % 5) * 64 + (at[1] + i % 7) * 8 + at[2] + (3 * i) % 7 & 255)).all() for i in range(30))
+    assert got.rdd.getNumPartitions() >= 5

@@ -116,3 +116,22 @@ def test_boxes_are_read_by_many_tasks(spark, monkeypatch, tmp_path):
     at = np.indices((2, 2, 2))
     assert all((data[i] == ((at[0] + i % 5) * 64 + (at[1] + i % 7) * 8 + at[2] + (3 * i) % 7 & 255)).all() for i in range(30))
     assert got.rdd.getNumPartitions() >= 5
+
+
+def test_transposed_convolution_shuffles_its_input_only(spark):
+    from voxframe.operators import nn
+
+    rng = np.random.default_rng(5)
+    feat = [(c, z, y, x, float(rng.normal())) for c in range(3) for z in range(2) for y in range(3) for x in range(3) if rng.random() < 0.6]
+    kernel = [(o, c, 0, dy, dx, float(rng.normal())) for o in range(2) for c in range(2) for dy in range(2) for dx in range(2) if (o, dy) != (1, 1)]
+    want = {}
+    for c, z, y, x, v in feat:
+        for o, k, dz, dy, dx, w in kernel:
+            if k == c:
+                at = (o, z + dz, y * 2 + dy, x * 2 + dx)
+                want[at] = want.get(at, 0.5) + v * w
+    got = nn.conv_transpose3d(spark.createDataFrame(feat, "c int, z int, y int, x int, v double"), kernel, (1, 2, 2), 0.5)
+    rows = {tuple(r[a] for a in ("c", "z", "y", "x")): r["v"] for r in got.collect()}
+    assert rows.keys() == want.keys() and all(rows[k] == pytest.approx(want[k]) for k in want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")

@@ -135,3 +135,27 @@ def test_transposed_convolution_shuffles_its_input_only(spark):
     assert rows.keys() == want.keys() and all(rows[k] == pytest.approx(want[k]) for k in want)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Aggregate")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_convolution_shuffles_its_input_only(spark, monkeypatch):
+    from voxframe.operators import nn
+
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(nn, "BLOCK", (2, 3, 4))
+    feat = [(c, z, y, x, float(rng.normal())) for c in range(3) for z in range(5) for y in range(7) for x in range(6) if rng.random() < 0.15]
+    kernel = [(o, c, dz, dy, dx, float(rng.normal())) for o in range(2) for c in range(2) for dz in (-1, 0) for dy in (-1, 0, 1) for dx in (0, 1, 2) if (o, dy, c) != (1, 1, 0)]
+    top = [max(r[i] for r in feat) for i in (1, 2, 3)]
+    want = {}
+    for c, z, y, x, v in feat:
+        for o, k, dz, dy, dx, w in kernel:
+            at = (o, z - dz, y - dy, x - dx)
+            if k == c and all(0 <= a <= t for a, t in zip(at[1:], top)):
+                want[at] = want.get(at, 0.0) + v * w
+    got = nn.conv3d(spark.createDataFrame(feat, "c int, z int, y int, x int, v double"), kernel)
+    rows = {tuple(r[a] for a in ("c", "z", "y", "x")): r["v"] for r in got.collect()}
+    assert rows.keys() == want.keys() and all(rows[k] == pytest.approx(want[k]) for k in want)
+    assert "Aggregate" not in _plan(got)

@@ -182,3 +182,13 @@ def test_gaussian_shuffles_its_input_only(spark, monkeypatch):
     rows = {(r["z"], r["y"], r["x"]): r["p"] for r in got.collect()}
     assert rows.keys() == want.keys() and all(rows[k] == pytest.approx(want[k]) for k in want)
     assert "Aggregate" not in _plan(got)
+
+
+def test_layers_are_not_worked_out_again(spark):
+    """A layer's convolution is read by its norm and by what follows, so it is written."""
+    from voxframe.operators import nn
+
+    feat = spark.createDataFrame([(c, z, y, 0, float(c + z + y)) for c in range(2) for z in range(3) for y in range(4)], "c int, z int, y int, x int, v double")
+    kernel = [(o, c, dz, 0, 0, 1.0 + o) for o in range(2) for c in range(2) for dz in (-1, 0, 1)]
+    out = nn.conv_block(feat, [kernel], 2)
+    assert out.count() == 24 and "MapInArrow" not in _plan(out) and "Generate" not in _plan(out)

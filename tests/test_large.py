@@ -192,3 +192,16 @@ def test_layers_are_not_worked_out_again(spark):
     kernel = [(o, c, dz, 0, 0, 1.0 + o) for o in range(2) for c in range(2) for dz in (-1, 0, 1)]
     out = nn.conv_block(feat, [kernel], 2)
     assert out.count() == 24 and "MapInArrow" not in _plan(out) and "Generate" not in _plan(out)
+
+
+def test_what_grows_with_the_volume_is_not_broadcast(spark):
+    from voxframe.operators import grid, voxels
+    from voxframe.plans import catalogue, extract
+
+    planned = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    vox = catalogue._predicted(spark, "/root/testdata/sf0.001")
+    p = extract.ExtractParams(cc_threshold=0.88, score_thr=0.9, loc_type="peak", suppression=True, suppression_threshold=0.95, suppression_radius=(1.0, 3.0, 3.0))
+    found, lab, passed = extract.locate(vox, 96, 96, p)
+    more = extract.suppressed_pass(vox, lab, passed, grid.partner(found), 96, 96, p)
+    for df in (lab, voxels.label(catalogue.foreground(spark, "/root/testdata/sf0.001")), found, more):
+        assert "BroadcastHashJoin" not in planned(df)

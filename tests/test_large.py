@@ -26,6 +26,54 @@ def test_parts_are_numbered_as_their_masks():
     assert len(parts) == label.max() + 1 and all((p == (label == i)).all() for i, p in enumerate(parts))
 
 
+def _objects(mask):
+    """Rows (z, y, x, id, comp) of a mask's voxels, comp the least id of what hangs together by faces."""
+    from voxframe.operators.components import least_of_component
+
+    ids, u, v = np.arange(mask.size).reshape(mask.shape), [], []
+    for axis in range(3):
+        low, high = (np.take(a, range(k, mask.shape[axis] - 1 + k), axis) for a in (mask,) for k in (0, 1))
+        u.append(np.take(ids, range(mask.shape[axis] - 1), axis)[low & high])
+        v.append(np.take(ids, range(1, mask.shape[axis]), axis)[low & high])
+    comp = ids.ravel().copy()
+    node, least = least_of_component(np.concatenate(u), np.concatenate(v))
+    comp[node] = least
+    return [(int(z), int(y), int(x), int(i), int(comp[i])) for (z, y, x), i in zip(np.argwhere(mask), ids[mask])]
+
+
+def _split_whole(rows, p):
+    """Rows with parts by the kernel, each object in one piece."""
+    out, held = set(), {}
+    for r in rows:
+        held.setdefault(r[4], []).append(r)
+    for own in held.values():
+        at = np.array([r[:3] for r in own])
+        mask = np.zeros(at.max(axis=0) - at.min(axis=0) + 1, bool)
+        mask[tuple((at - at.min(axis=0)).T)] = True
+        label = kernels.split_labels(mask, p.split_min_peak_dist, p.split_min_sub_size) if len(own) >= p.split_min_size else mask - 1
+        out |= {(*r, int(part)) for r, part in zip(own, label[tuple((at - at.min(axis=0)).T)]) if part >= 0}
+    return out
+
+
+@pytest.mark.parametrize("case", range(4))
+def test_objects_are_split_in_blocks(spark, case):
+    """As the kernel splits them whole, though no task sees more than one small block of an object."""
+    from voxframe.plans.extract import ExtractParams, split_components
+
+    rng = np.random.default_rng(20 + case)
+    mask = rng.random((13, 14, 15)) < (0.75, 0.9, 0.6, 0.0)[case]
+    if case == 3:  # balls and necks, wide flat tops, a box that it fills, objects next to each other
+        z, y, x = np.indices(mask.shape)
+        mask |= ((z - 6) ** 2 + (y - 4) ** 2 + (x - 4) ** 2 <= 12) | ((z - 6) ** 2 + (y - 9) ** 2 + (x - 4) ** 2 <= 12) | ((abs(z - 10) <= 1) & (x <= 8) & (y <= 12)) | ((x >= 10) & (x <= 12) & (z <= 11)) | ((x == 14) & (y > 2))
+    p = ExtractParams(split_min_size=20, split_min_peak_dist=(2, 1, 2, 3)[case], split_min_sub_size=(8, 3, 5, 8)[case])
+    rows = _objects(mask)
+    got = split_components(spark.createDataFrame(rows, "z int, y int, x int, id long, comp long"), p, (3, 5, 4))
+    assert got.columns == ["z", "y", "x", "id", "comp", "part"]
+    got = [tuple(r) for r in got.collect()]
+    assert len(got) == len(set(got)) and set(got) == _split_whole(rows, p)
+    assert max(r[5] for r in got) > 1
+
+
 def _points(spark, rng, n, first, spread=3.0):
     """Dense points, a tight cluster, copies of one place and some far away."""
     at = np.concatenate((rng.normal(0, spread, (n, 3)), rng.normal(9, 1e-3, (n // 4, 3)), np.full((n // 8, 3), 1.5), rng.normal(0, 300, (5, 3))))
